@@ -7,10 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrainframe.llm import decontamination, token_counts
+from terrainframe.llm import decontamination, language, packing, secrets, token_counts
 from terrainframe.llm.common import table
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.fit(docs))
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    base = F.filter("secrets", lambda s: s.kind != "crf")
+    return found.select("doc_id", *map(count, secrets.KINDS), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return counted.select("doc_id", "tokens.n_tokens", "tokens.best_score")
@@ -27,8 +41,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language.held_out("doc_id")
+    model = language.fit(docs, trained=~out)
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", out.alias("held_out"), "language.lang_pred", "language.score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_token_counts, op8_decontamination)}
+    return {f.__name__: f for f in (op4_packing, op5_secrets, op7_token_counts, op8_decontamination, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
