@@ -3,7 +3,7 @@
 Base spans are pattern matches (kinds assign, access, hex), leftmost and non-overlapping per kind; a span is the whole match.
 The field's features are a token's shape, the shapes of two tokens before and one after, and the file's digit and symbol
 shares; weights come from maximum likelihood over windows of at most ``TRAIN_DOCS`` documents (drawn by the hash of their
-ids; at most ``TRAIN_WINDOWS`` with a secret and as many without), tagged by the base patterns, together with windows into which generated credentials are set. Decoding is Viterbi over
+ids; at most ``TRAIN_WINDOWS`` with a secret and as many without), tagged by the base patterns, together with windows into which generated credentials, or harmless long tokens, are set. Decoding is Viterbi over
 the whole text. Its spans of ``LEAST`` or more characters, with letters and digits, that touch no base span are added as kind crf.
 
 Plan: one count, one pass that draws windows (a bounded number of rows to the driver, where the weights are fitted), one
@@ -79,9 +79,9 @@ def shape(token: str) -> list[int]:
     digits = sum("0" <= c <= "9" for c in token)
     other = n - lower - upper - digits
     if n == 1 and not lower + upper + digits:
-        return out + [10 + ("=:\"'`|,.;()[]{}<>".find(token) + 1 if token.isascii() else 0)]
+        return out + [10 + ("=:\"'`|,.;()[]{}<>@".find(token) + 1 if token.isascii() else 0)]
     if not token.isascii():
-        out.append(28)
+        out.append(9)
     out.append(29 + (lower > 0) + 2 * (upper > 0) + 4 * (digits > 0))
     if upper == 1 and lower and "A" <= token[0] <= "Z":
         out.append(37)
@@ -171,6 +171,25 @@ def generated(samples: list[list[str]], n: int = 600) -> Iterator[tuple[list[str
         yield [*words[:at], *lead, rng.choice(forms)(), *[quote] * bool(quote and lead), *words[at:]], [OUT] * (at + len(lead)) + [BEGIN] + [OUT] * (len(words) - at + bool(quote and lead)), [rng.randrange(2), 3 + rng.randrange(3)]
 
 
+def harmless(samples: list[list[str]], n: int = 300) -> Iterator[tuple[list[str], list[int], list[int]]]:
+    """Windows into which an address, a link, a date or a number is set: long mixed tokens that are no secrets."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(4, 14)))
+    forms = [
+        lambda: f"{word()}.{rng.randrange(100):02}@{word()}{rng.randrange(10)}.{word()}.com",
+        lambda: f"https://{word()}{rng.randrange(99)}.{word()}.org/{word()}/{rng.randrange(10**5)}.html",
+        lambda: f"{rng.randrange(1900, 2100)}-{rng.randrange(1, 13):02}-{rng.randrange(1, 29):02}T{rng.randrange(10**6)}",
+        lambda: str(rng.randrange(10**15, 10**16)),
+        lambda: f"{word()}_{word()}{rng.randrange(99)}",
+        lambda: f"+{rng.randrange(1, 99)}-{rng.randrange(100, 999)}-{rng.randrange(10**6, 10**7)}",
+    ]
+    for _ in range(n):
+        words = rng.choice(samples) if samples else ["the", "of", "and"]
+        at = rng.randrange(len(words) + 1)
+        tokens = [*words[:at], *tokenize(rng.choice(forms)())[0], *words[at:]]
+        yield tokens, [OUT] * len(tokens), [rng.randrange(2), 3 + rng.randrange(3)]
+
+
 def fit_weights(given: list[tuple[list[str], list[int], list[int]]]) -> dict:
     """Maximum likelihood with a small quadratic penalty, by adaptive gradient steps over all windows at once."""
     longest, n = max(len(t) for t, _, _ in given), len(given)
@@ -237,7 +256,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_d
     order = random.Random(7)
     order.shuffle(given)
     tagged, others = [x for x in given if any(x[1])], [x for x in given if not any(x[1])]
-    return fit_weights([*tagged[:TRAIN_WINDOWS], *others[:TRAIN_WINDOWS], *generated([t for t, _, _ in others])])
+    plain_windows = [t for t, _, _ in others]
+    return fit_weights([*tagged[:TRAIN_WINDOWS], *others[:TRAIN_WINDOWS], *generated(plain_windows), *harmless(plain_windows)])
 
 
 class Tagger:
