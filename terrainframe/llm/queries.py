@@ -7,10 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrainframe.llm import decontamination, language, packing, secrets, token_counts
+from terrainframe.llm import chat, decontamination, language, packing, quality, resharding, secrets, token_counts
 from terrainframe.llm.common import table
 
 
+OLD_SHARDS, NEW_SHARDS = 24, 16
+
+
+def op1_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 24 shards by a hash of the source, of which one is hot, to 16 of equal bytes."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(OLD_SHARDS)).cast("int")
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), old.alias("old_shard"))
+    placed = resharding.reshard(docs, "size", "old_shard", ["doc_id", "text_crc32"], NEW_SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return judged.select("doc_id", *quality.MEASURES, "base_failed", "kept", "n_removed_lines")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -25,6 +42,20 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.KINDS), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
+ODD_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-7, 0, "user", ODD_TEXT), (-7, 1, "assistant", ODD_TEXT)], "conv_id long, turn long, role string, text string")
+    read = chat.read_back(chat.windows(given.unionByName(odd)))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return counted.select("doc_id", "tokens.n_tokens", "tokens.best_score")
@@ -50,7 +81,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_packing, op5_secrets, op7_token_counts, op8_decontamination, op10_language)}
+    return {f.__name__: f for f in (op1_resharding, op2_quality_rules, op4_packing, op5_secrets, op6_chat_windows, op7_token_counts, op8_decontamination, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
