@@ -23,6 +23,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -35,11 +36,15 @@ from pyspark.sql import types as T
 
 from terrainframe.llm.common import materialise
 
-MAX_CLASS, MEMO, SLICE = 256, 400_000, 2_000_000
+MAX_CLASS, MEMO, SLICE = 256, 500_000, 4_000_000
 #: Characters for which chunk-wise tokenization is the same: no control or special white space, nothing the NFC form changes.
 _ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-įĲ-ɏ]|<\\|")
 
 
+#: The tokenizer's own pattern for plain text in lower case.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+
+
 def cuts(length: int, capacity: int = 4096, waste: float = 0.02, max_class: int = MAX_CLASS) -> list[tuple[int, int]]:
     """(tokens, class) of a document's pieces, in order."""
     out = [(capacity, 1)] * (length // capacity)
@@ -56,39 +61,79 @@ def cuts(length: int, capacity: int = 4096, waste: float = 0.02, max_class: int
     return out
 
 
+def byte_letters() -> dict[int, int]:
+    """The public byte-level alphabet: printable Latin bytes stand for themselves, the others for 256 and up, in order."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
 class Chunks:
-    """Token ids (little-endian unsigned 32 bits) of texts, through a memo of blank-separated chunks."""
+    """Token ids (little-endian unsigned 32 bits) of texts, through a memo of blank-separated chunks.
+
+    The memo has two generations of at most ``MEMO`` entries: what is used again moves to the young one, so frequent chunks stay.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.lower: dict[str, bytes] = {}
+        self.ends = dict(zip(".,", self.whole([".", ","]), strict=True)) | {"": b""}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def word(self, low: str) -> bytes:
+        """A run of letters in lower case is one unit of the pattern, so the merges alone decide."""
+        shown = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
     def learn(self, new: set[str]) -> None:
-        """A last point or comma after a letter is a token run of its own."""
-        memo = self.memo
-        ends = {w for w in new if len(w) > 2 and w[-1] in ".," and w[-2].isalpha()}
-        base = list((new - ends).union([w[:-1] for w in ends], ".,").difference(memo))
-        for i in range(0, len(base), 4000):
-            part = base[i : i + 4000]
-            memo.update(zip(part, self.whole(part), strict=True))
-        for w in ends:
-            memo[w] = memo[w[:-1]] + memo[w[-1]]
+        """Letters with at most one point or comma after them go by their lower case form, other plain chunks by the pattern's parts."""
+        memo, lower, others = self.memo, self.lower, []
+        if len(lower) > MEMO:
+            lower.clear()
+        for w in new:
+            end = w[-1] if w[-1] in ".," else ""
+            core = w[:-1] if end else w
+            if core.isalpha():
+                low = core.lower()
+                ids = lower.get(low)
+                if ids is None:
+                    lower[low] = ids = self.word(low)
+                memo[w] = ids + self.ends[end]
+            else:
+                others.append(w)
+        rest = []
+        for w in others:
+            if w.isascii():
+                memo[w] = b"".join(map(self.part, PARTS.findall(w.lower())))
+            else:
+                rest.append(w)
+        memo.update(zip(rest, self.whole(rest), strict=True))
+
+    def part(self, part: str) -> bytes:
+        ids = self.lower.get(part)
+        if ids is None:
+            self.lower[part] = ids = self.word(part) if part.isalpha() else self.whole([part])[0]
+        return ids
 
     def ids(self, texts: list[str]) -> list[bytes]:
         odd = [i for i, t in enumerate(texts) if _ODD.search(t)]
         apart = set(odd)
         words = [[] if i in apart else t.split() for i, t in enumerate(texts)]
-        new = set().union(*words).difference(self.memo)
+        distinct = set().union(*words)
+        new = distinct.difference(self.memo)
         if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = set().union(*words)
-        self.learn(new)
+            self.old, self.memo, new = self.memo, {}, distinct
+        again = new.intersection(self.old)
+        self.memo.update({w: self.old[w] for w in again})
+        self.learn(new - again)
         get = self.memo.__getitem__
         out = [b"".join(map(get, w)) for w in words]
         for i, x in zip(odd, self.whole([texts[i] for i in odd]), strict=True):

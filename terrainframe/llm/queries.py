@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrainframe.llm import chat, decontamination, language, packing, quality, resharding, secrets, token_counts
+from terrainframe.llm import chat, decontamination, language, packing, quality, resharding, secrets, simhash, token_counts
 from terrainframe.llm.common import table
 
 
@@ -72,6 +72,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = language.held_out("doc_id")
@@ -81,7 +86,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_resharding, op2_quality_rules, op4_packing, op5_secrets, op6_chat_windows, op7_token_counts, op8_decontamination, op10_language)}
+    return {f.__name__: f for f in (op1_resharding, op2_quality_rules, op4_packing, op5_secrets, op6_chat_windows, op7_token_counts, op8_decontamination, op9_simhash, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
