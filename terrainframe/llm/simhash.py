@@ -184,7 +184,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One document of each group, columns as they were; of rows with one id, one stays. Rows without an id stay if no other of their group has one."""
-    kept = groups(docs, id_col, text_col, radius).select(F.col("component_id").alias("_kept")).distinct()
-    first = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
-    return first.dropDuplicates([id_col]).select(docs.columns)
+    """One document of each group, columns as they were: the one of least id, rows without an id last. Of equal rows one stays."""
+    mark = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), mark.alias("mark"))
+    told = lambda x: F.concat_ws(":", x["id"].cast("string"), x["mark"].cast("string"))
+    found = groups(docs.select(order.alias("_order"), F.col(text_col).alias("_body")), "_order", "_body", radius)
+    kept = found.select(told(F.col("component_id")).alias("_key")).distinct()
+    own = docs.withColumn("_key", told(order))
+    return own.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
