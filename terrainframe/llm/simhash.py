@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from terrainframe.llm.common import materialise
 from terrainframe.llm.components import Forest, components
 
-SAMPLE, LEAF, RADIUS, SEED, BLOCK = 16_384, 12_000, 3, 42, 512
+SAMPLE, LEAF, RADIUS, SEED, BLOCK = 16_384, 32_000, 3, 42, 512
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
