@@ -38,11 +38,18 @@ def albers_inverse(x: Column, y: Column) -> tuple[Column, Column]:
     dy = F.lit(RHO0) - y
     rho, theta = F.sqrt(x * x + dy * dy), F.atan2(x, dy)
     q = (F.lit(C) - rho * rho * (N * N / (A * A))) / N
-    phi = F.asin(q / 2)
-    for _ in range(6):
-        s = F.sin(phi)
+
+    def nearer(qp: Column) -> Column:
+        """One step, with q and phi bound as lambda variables, so that the expression grows by a step and not by a factor."""
+        s = F.sin(qp.phi)
         w = 1 - E2 * s * s
-        phi = phi + w * w / (2 * F.cos(phi)) * (q / (1 - E2) - s / w + F.log((1 - E1 * s) / (1 + E1 * s)) / (2 * E1))
+        step = w * w / (2 * F.cos(qp.phi)) * (qp.q / (1 - E2) - s / w + F.log((1 - E1 * s) / (1 + E1 * s)) / (2 * E1))
+        return F.struct(qp.q.alias("q"), (qp.phi + step).alias("phi"))
+
+    found = F.struct(q.alias("q"), F.asin(q / 2).alias("phi"))
+    for _ in range(6):
+        found = F.transform(F.array(found), nearer)[0]
+    phi = found["phi"]
     return F.degrees(theta / N + LON0), F.degrees(phi)
 
 
