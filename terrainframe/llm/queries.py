@@ -94,5 +94,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_resharding, op2_quality_rules, op3_line_dedup, op4_packing, op5_secrets, op6_chat_windows, op7_token_counts, op8_decontamination, op9_simhash, op10_language)}
 
 
+_QUALITY = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, text AS raw FROM documents),
+w AS (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+win AS (SELECT rid, i, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) > 5)),
+again AS (SELECT rid, g FROM win GROUP BY 1, 2 HAVING count(*) > 1),
+hit AS (SELECT rid, count(DISTINCT i + k) AS n FROM win JOIN again USING (rid, g) CROSS JOIN (VALUES (0), (1), (2), (3), (4)) o(k) GROUP BY 1),
+l AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+nl AS (SELECT rid, trim(regexp_replace(lower(line), '[^\p{L}\p{N}]+', ' ', 'g')) AS t FROM l),
+held AS (SELECT host, t, count(DISTINCT raw) AS n FROM nl JOIN d USING (rid) WHERE raw IS NOT NULL AND t <> '' GROUP BY 1, 2),
+hosts AS (SELECT host, count(DISTINCT raw) AS docs FROM d WHERE raw IS NOT NULL GROUP BY 1),
+freq AS (SELECT host, t FROM held JOIN hosts USING (host) WHERE n > 20 AND n > docs * 0.02),
+sums AS (SELECT rid, sum(length(nl.t)) AS all_, sum(CASE WHEN freq.t IS NULL THEN length(nl.t) ELSE 0 END) AS left_, count(freq.t) AS removed FROM nl JOIN d USING (rid) LEFT JOIN freq ON freq.host = d.host AND freq.t = nl.t GROUP BY 1),
+m AS (SELECT d.doc_id, len(w.w) AS n_words, length(regexp_replace(d.text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(d.text) - length(regexp_replace(d.text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(hit.n, 0) AS n_repeat_words, removed, left_ >= all_ * 0.3 AS enough
+    FROM d JOIN w USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN hit USING (rid) JOIN sums USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND enough AS kept, removed AS n_removed_lines FROM m
+"""
+
+_DECONTAMINATION = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(list_slice(w, i, i + 9), ' ') AS g FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT rid, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d CROSS JOIN sizes WHERE len(w) >= n)),
+found AS (SELECT rid, i, n, item_id FROM dw JOIN bw USING (n, g)),
+hit AS (SELECT rid, count(DISTINCT i + k) AS n_hit FROM (SELECT rid, i, unnest(range(0, n)) AS k FROM found) GROUP BY 1),
+items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality_rules": _QUALITY, "op8_decontamination": _DECONTAMINATION}
