@@ -194,10 +194,10 @@ def affine_roundtrip(spark, sf_dir):
 _SEG = "greatest(0.0, least(1.0, coalesce(((px - x0) * (x1 - x0) + (py - y0) * (y1 - y0)) / nullif((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0), 0), 0.0)))"
 
 
-@query(W + f", {POINTS}, {LINES}, n AS (SELECT *, x0 + t * (x1 - x0) AS x, y0 + t * (y1 - y0) AS y FROM (SELECT *, {_SEG} AS t FROM points CROSS JOIN flowlines)), d AS (SELECT *, sqrt((px - x) * (px - x) + (py - y) * (py - y)) AS d FROM n), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, line_id) AS r FROM d WHERE d <= {SNAP}) WHERE r = 1) SELECT p.point_id, round(coalesce(b.x, p.px), 6) AS x, round(coalesce(b.y, p.py), 6) AS y, b.line_id, b.line_id IS NOT NULL AS snapped FROM points p LEFT JOIN b USING (point_id)")
+@query(W + f", {POINTS}, {LINES}, n AS (SELECT *, x0 + t * (x1 - x0) AS x, y0 + t * (y1 - y0) AS y FROM (SELECT *, {_SEG} AS t FROM points CROSS JOIN flowlines)), d AS (SELECT *, sqrt((px - x) * (px - x) + (py - y) * (py - y)) AS d FROM n), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, line_id) AS r FROM d WHERE d <= {SNAP}) WHERE r = 1) SELECT p.point_id, round(coalesce(b.x, p.px), 6) AS x, round(coalesce(b.y, p.py), 6) AS y, coalesce(b.line_id, -1) AS line_id, b.line_id IS NOT NULL AS snapped FROM points p LEFT JOIN b USING (point_id)")
 def snap_pour_points(spark, sf_dir):
     found = joins.snap(points(spark, sf_dir), bridge.view(spark, sf_dir, "part", bridge.FLOWLINES), SNAP)
-    return found.select("point_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "line_id", "snapped")
+    return found.select("point_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.coalesce("line_id", F.lit(-1)).alias("line_id"), "snapped")
 
 
 @query(W + f""", {LINES}, m AS (SELECT b.basin_id, b.x0 AS bx0, b.y0 AS by0, b.x1 AS bx1, b.y1 AS by1, f.x0, f.y0, f.x1 - f.x0 AS dx, f.y1 - f.y0 AS dy FROM basins b JOIN flowlines f ON least(f.x0, f.x1) <= b.x1 AND greatest(f.x0, f.x1) >= b.x0 AND least(f.y0, f.y1) <= b.y1 AND greatest(f.y0, f.y1) >= b.y0),
