@@ -2,42 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_OWN_DIR: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests, one machine)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIR:
-        _OWN_DIR[app] = tempfile.mkdtemp(prefix="terrainframe-")
-    return _OWN_DIR[app]
-
+from terrainframe.tables import materialise, shared_dir, table
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage is cut and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/terrainframe/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["let", "materialise", "shared_dir", "table"]
 
 
 def let(value: Column, body) -> Column:
     """Bind ``value`` to a lambda variable, so that ``body`` may use it many times and it is computed once a row."""
     return F.transform(F.array(value), body)[0]
-
-
-def utf8_size(text: Column) -> Column:
-    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -16,7 +16,6 @@ label is null, and labels in no training document, are not learned; without any
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from uuid import uuid4
 
@@ -189,6 +188,3 @@ def held_out(id_col: str) -> Column:
     """crc32 of the id's text, mod 3, is 1."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
-
-def crc(text: str) -> int:
-    return zlib.crc32(text.encode())
