@@ -180,6 +180,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     linked = found.join(points, "fingerprint")
     named = linked.join(linked.groupBy("component").agg(F.min("least").alias("first")), "component").select("fingerprint", "first")
     owner = points.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("first", "least").alias("component_id"))
+    owner = materialise(owner, "owners")  # a table of its own: both sides are then exchanged, and Spark can split a hot fingerprint
     return marked.join(owner, "fingerprint").select(id_col, "fingerprint", "component_id")
 
 
