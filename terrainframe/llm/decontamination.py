@@ -134,7 +134,9 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no window of the benchmark, columns as they were (the pipeline's decision)."""
-    return scan_benchmark(docs, benchmark, **options).where(F.coalesce(F.col("scan.n_hit"), F.lit(0)) == 0).select(docs.columns)
+    aside = docs.withColumnRenamed("scan", "_scan_of_input") if "scan" in docs.columns else docs
+    kept = scan_benchmark(aside, benchmark, **options).where(F.coalesce(F.col("scan.n_hit"), F.lit(0)) == 0).drop("scan")
+    return kept.withColumnRenamed("_scan_of_input", "scan").select(docs.columns)
 
 
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:

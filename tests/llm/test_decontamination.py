@@ -48,4 +48,6 @@ def test_clean_and_empty(spark):
     b = spark.createDataFrame([("q", "Two, THREE")], "item_id string, text string")
     assert sorted(r.doc_id for r in dc.clean(d, b).collect()) == [2, 3]
     assert dc.clean(d, b.limit(0)).count() == 3
+    named = d.selectExpr("doc_id", "text", "'mine' AS scan")
+    assert [(r.doc_id, r.scan) for r in dc.clean(named, b).orderBy("doc_id").collect()] == [(2, "mine"), (3, "mine")]
     assert dc.clean(d.limit(0), b).count() == 0
