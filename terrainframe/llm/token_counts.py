@@ -47,10 +47,22 @@ class Unigram:
         self.memo: dict[str, tuple[int, float]] = {}
 
     def solve(self, word: str) -> tuple[int, float]:
-        """Matches come by end, then by start. A character pair inside no piece is a sure cut: its sides are solved apart."""
-        if len(word) > 1 and word[-2:] not in self.inside:
-            (n, a), (m, b) = self.known(word[:-1]), self.known(word[-1])
-            return n + m, a + b
+        """A character pair inside no piece is a sure cut: its sides are solved apart, each different part once."""
+        inside, cuts = self.inside, [0]
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in inside:
+                cuts.append(i)
+        if len(cuts) == 1:
+            return self.solve_part(word)
+        parts, n, score = {}, 0, 0.0
+        for part in map(word.__getitem__, map(slice, cuts, [*cuts[1:], len(word)])):
+            if part not in parts:
+                parts[part] = self.memo.get(part) or self.solve_part(part)
+            n, score = n + parts[part][0], score + parts[part][1]
+        return n, score
+
+    def solve_part(self, word: str) -> tuple[int, float]:
+        """Matches come by end, then by start."""
         best, count = [0.0] + [LOWEST] * len(word), [0] * (len(word) + 1)
         done = 0 if not self.alone.issuperset(word) else len(word)
         for last, (length, score) in self.find.iter(word):
@@ -70,9 +82,6 @@ class Unigram:
             best[at + 1], count[at + 1] = best[at] + self.unknown, count[at] + len(word[at].encode())
         return at + 1
 
-    def known(self, word: str) -> tuple[int, float]:
-        return self.memo.get(word) or self.solve(word)
-
     def count(self, text: str) -> tuple[int, float]:
         if not text:
             return 0, 0.0

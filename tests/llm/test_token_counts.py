@@ -41,3 +41,14 @@ def test_edges(spark):
     rows = [(r.doc_id, r.tokens.n_tokens) for r in tc.count_tokens(df).collect()]
     assert rows[:2] == [(1, None), (2, 0)] and rows[2] == rows[3] and rows[4][1] >= 50_000
     assert tc.count_tokens(df.limit(0)).count() == 0
+
+
+def test_long_runs_without_spaces(library, spark):
+    """Runs whose neighbouring pairs lie in no piece, far beyond Python's recursion limit."""
+    chinese = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏"
+    texts = [(chinese * 5_000)[:100_000], ("🙂🚀🎉" * 40_000)[:100_000], (chinese + "🙂the ") * 3_000]
+    model = tc.Unigram(tc.sentencepiece_vocabulary(tc.default_path()))
+    for t in texts:
+        assert model.count(t)[0] == len(library.encode(t, add_special_tokens=False).ids)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert [r.tokens.n_tokens for r in tc.count_tokens(df).collect()] == [model.count(t)[0] for t in texts]
