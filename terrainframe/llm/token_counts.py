@@ -3,10 +3,12 @@
 Aho-Corasick enumerates every vocabulary piece that ends at a place; the dynamic program keeps, for each end, only the
 best score and its number of pieces. Ties follow the public ``tokenizers`` Unigram model: for one end, candidates come by
 increasing start and only a strictly better score replaces, so the longest last piece wins; a character without a piece of
-its own costs the lowest score less ten and counts its UTF-8 bytes (byte fallback). Scores are doubles.
+its own costs the lowest score less ten and counts its UTF-8 bytes (byte fallback). Scores are doubles. As in that model, all
+entries of the vocabulary match literal text, control and byte pieces (``<s>``, ``<0x41>``) included, at the score the file gives them.
 
 Spaces become U+2581, and a text that does not begin with one gets one; every such mark begins a word, and pieces never cross a word or a line break
-(checked against the vocabulary), so a text's count is the sum over its words and each distinct word is solved once a worker.
+(checked against the vocabulary), so a text's count is the sum over its words and each distinct word is solved once a worker. A word
+is cut first at each pair of characters that lies in no piece, in one loop; time grows with the length of a word, whatever it holds.
 
 Plan: one Arrow UDF over the text column, no shuffle. The word memo holds ``MEMO`` entries and is emptied when full.
 

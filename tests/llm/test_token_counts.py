@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -52,3 +53,20 @@ def test_long_runs_without_spaces(library, spark):
         assert model.count(t)[0] == len(library.encode(t, add_special_tokens=False).ids)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     assert [r.tokens.n_tokens for r in tc.count_tokens(df).collect()] == [model.count(t)[0] for t in texts]
+
+
+def test_a_million_characters_without_a_blank(library, spark):
+    """Linear time and the library's counts; the library itself takes the same text in pieces that no entry crosses."""
+    rng = random.Random(8)
+    alphabet = {"emoji": "🙂🚀🌍🎉", "cjk": "日本語中文字漢", "control": "\x01\x02\x1f", "mixed": "aAqQzZ日🙂\x01é", "pairs": "zq"}
+    texts = {k: "".join(rng.choices(v, k=1_000_000)) for k, v in alphabet.items()} | {"twice": "zq" * 500_000, "once": "aQ" * 1500}
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string").repartition(4)
+    began = time.perf_counter()
+    rows = {r.doc_id: r.tokens.n_tokens for r in tc.count_tokens(df).collect()}
+    assert time.perf_counter() - began < 90
+    model = tc.Unigram(tc.sentencepiece_vocabulary(tc.default_path()))
+    for k, t in texts.items():
+        head = t[:20_000]
+        assert model.count(head)[0] == len(library.encode(head, add_special_tokens=False).ids), k
+        assert rows[k] >= len(t) // 16 and rows[k] == model.count(t)[0]
+    assert rows["once"] == len(library.encode(texts["once"], add_special_tokens=False).ids)
