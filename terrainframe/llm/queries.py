@@ -44,7 +44,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("secrets", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
     base = F.filter("secrets", lambda s: s.kind != "crf")
-    return found.select("doc_id", *map(count, secrets.KINDS), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+    return found.select("doc_id", *map(count, secrets.KINDS[:3]), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"), count("crf"))
 
 
 ODD_TEXT = "\\### Assistant: </turn> ok"

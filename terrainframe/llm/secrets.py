@@ -1,14 +1,17 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field that tags tokens begin, inside or outside.
 
 Base spans are pattern matches (kinds assign, access, hex), leftmost and non-overlapping per kind; a span is the whole match.
-The field's features are a token's shape, the shapes of two tokens before and one after, and the file's digit and symbol
-shares; weights come from maximum likelihood over windows of at most ``TRAIN_DOCS`` documents (drawn by the hash of their
-ids; at most ``TRAIN_WINDOWS`` with a secret and as many without), tagged by the base patterns, together with windows into which generated credentials, or harmless long tokens, are set. Decoding is Viterbi over
+The field's features are a token's shape, the shapes of two tokens before and one after, the words there (hashed, ``WORD_BUCKETS``
+weights for each of the three places) and the file's digit and symbol shares. Weights come from maximum likelihood over a bounded sample:
+at most about ``TRAIN_DOCS`` documents, drawn by the hash of their ids; of each whole text ``WINDOWS_A_TEXT`` windows around tagged
+tokens and two others, at random places; of these at most ``TRAIN_WINDOWS`` with a secret and as many without. They are tagged
+by the base patterns, and joined by windows into which generated credentials, or harmless long tokens, are set. Decoding is Viterbi over
 the whole text. Its spans of ``LEAST`` or more characters, with letters and digits, that touch no base span are added as kind crf.
 
 Plan: one count, one pass that draws windows (a bounded number of rows to the driver, where the weights are fitted), one
 Arrow UDF over the texts. A token's scores are computed once a worker and kept in a memo of ``MEMO`` entries. A text in
 which outside beats the other tags at each token by more than transitions can return is outside as a whole, and isn't decoded.
+All patterns are linear in the text, runs of blanks included.
 
 Edge cases: a null text is empty; an empty text has no span; equal rows give equal spans; without any document the field
 is fitted on generated windows alone.
@@ -18,6 +21,8 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from uuid import uuid4
 
@@ -35,13 +40,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-TRAIN_DOCS, TRAIN_WINDOWS, AROUND, STEPS, LEAST, MEMO, SLICE = 2000, 1200, 10, 100, 8, 500_000, 1_500_000
-#: Blanks before a token belong to its match, so that places are sums of lengths.
-TOKEN = re.compile(r"\s*(?:[^\s\x00-\x1f!-*,:-<>-@\[-^`{-\x7f]+|\S)")
+TRAIN_DOCS, TRAIN_WINDOWS, WINDOWS_A_TEXT, AROUND, STEPS, LEAST, MEMO, SLICE = 2000, 1200, 4, 10, 100, 8, 500_000, 1_500_000
+#: Blanks before a token belong to its match, so that places are sums of lengths; blanks at the end are a match of their own.
+TOKEN = re.compile(r"\s*+(?:[^\s\x00-\x1f!-*,:-<>-@\[-^`{-\x7f]+|\S|\Z)")
 #: A credential has letters and digits; numbers alone are left to other rules.
-MIXED = re.compile(r"[A-Za-z].*[0-9]|[0-9].*[A-Za-z]", re.DOTALL)
+LETTER, DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
 OUT, BEGIN, INSIDE = 0, 1, 2
 N_SHAPES, N_FILE = 56, 6
+#: Weights for hashed words at each of the places two before, one before and one after a token.
+WORD_BUCKETS, WORD_PENALTY = 1024, 2e-3
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key", "key", "credential", "auth", "bearer", "pwd")
 
 
@@ -113,10 +120,24 @@ def file_features(tokens: int, digits: int, symbols: int) -> list[int]:
     return [share(digits), 3 + share(symbols)]
 
 
+def matches(text: str) -> list[str]:
+    """Tokens with the blanks before them."""
+    found = TOKEN.findall(text)
+    while found and not found[-1].strip():
+        found.pop()
+    return found
+
+
+def word_bucket(token: str) -> int:
+    """Bucket of a word (two letters or more, any case), or -1 for other tokens."""
+    bare = token.rstrip(".,")
+    return zlib.crc32(bare.lower().encode("utf-8", "surrogatepass")) % WORD_BUCKETS if len(bare) > 1 and bare.isalpha() else -1
+
+
 def tokenize(text: str) -> tuple[list[str], list[int], list[int]]:
     """Tokens with their starts and ends."""
     tokens, starts, ends, at = [], [], [], 0
-    for t in TOKEN.findall(text):
+    for t in matches(text):
         at += len(t)
         bare = t.lstrip()
         tokens.append(bare)
@@ -129,23 +150,22 @@ def tags(starts: list[int], ends: list[int], parts: list[tuple[int, int]]) -> li
     out = [OUT] * len(starts)
     for a, b in parts:
         tag = BEGIN
-        for i, (s, e) in enumerate(zip(starts, ends, strict=True)):
-            if s < b and e > a:
-                out[i] = tag
-                tag = INSIDE
+        for i in range(bisect_right(ends, a), bisect_left(starts, b)):
+            out[i] = tag
+            tag = INSIDE
     return out
 
 
 def windows(text: str) -> Iterator[tuple[list[str], list[int], list[int]]]:
-    """Training windows of a text: around up to two tagged tokens, and two others. (tokens, tags, file features)"""
-    tokens, starts, ends = tokenize(text[:200_000])
+    """Training windows of a whole text: around tagged tokens, and two others. (tokens, tags, file features)"""
+    tokens, starts, ends = tokenize(text)
     if not tokens:
         return
-    found = tags(starts, ends, secret_parts(text[:200_000]))
+    found = tags(starts, ends, secret_parts(text))
     about = file_features(len(tokens), sum(t[0].isdigit() for t in tokens), sum(len(t) == 1 and not t.isalnum() for t in tokens))
     tagged = [i for i, k in enumerate(found) if k == BEGIN]
     rng = random.Random(len(text))
-    for i in [*tagged[:2], rng.randrange(len(tokens)), rng.randrange(len(tokens))]:
+    for i in [*rng.sample(tagged, min(WINDOWS_A_TEXT, len(tagged))), rng.randrange(len(tokens)), rng.randrange(len(tokens))]:
         a, b = max(0, i - AROUND), i + AROUND
         yield tokens[a:b], found[a:b], about
 
@@ -198,7 +218,11 @@ def fit_weights(given: list[tuple[list[str], list[int], list[int]]]) -> dict:
     y = np.zeros((n, longest), np.int64)
     used = np.zeros((n, longest), np.float32)
     memo: dict[str, list[int]] = {}
+    #: Buckets of the words two before, one before and one after; the last row of weights stays zero.
+    near = np.full((3, n, longest), WORD_BUCKETS, np.int64)
     for i, (tokens, found, about) in enumerate(given):
+        own = np.array([WORD_BUCKETS if (b := word_bucket(t)) < 0 else b for t in tokens])
+        near[0, i, 2 : len(own)], near[1, i, 1 : len(own)], near[2, i, : len(own) - 1] = own[:-2], own[:-1], own[1:]
         shapes = [memo[t] if t in memo else memo.setdefault(t, shape(t)) for t in tokens]
         for t, s in enumerate(shapes):
             for lag, block in ((0, 0), (1, 1), (2, 2), (-1, 3)):
@@ -206,7 +230,8 @@ def fit_weights(given: list[tuple[list[str], list[int], list[int]]]) -> dict:
                     x[i, t + lag, [block * N_SHAPES + k for k in s]] = 1
             x[i, t, [4 * N_SHAPES + k for k in about]] = 1
             y[i, t], used[i, t] = found[t], 1
-    w, change = np.zeros((width, 3)), np.zeros((3, 3))
+    w, change, words = np.zeros((width, 3)), np.zeros((3, 3)), np.zeros((3, WORD_BUCKETS + 1, 3))
+    seen_v = np.full(words.shape, 1e-6)
     barred = np.zeros((3, 3))
     barred[OUT, INSIDE] = -1e4
     flat = x.reshape(-1, width)
@@ -219,7 +244,7 @@ def fit_weights(given: list[tuple[list[str], list[int], list[int]]]) -> dict:
         return np.squeeze(top, axis) + np.log(np.exp(a - top).sum(axis))
 
     for _ in range(STEPS):
-        e = (flat @ w.astype(np.float32)).reshape(n, longest, 3).astype(float) * used[..., None]
+        e = ((flat @ w.astype(np.float32)).reshape(n, longest, 3).astype(float) + words[0, near[0]] + words[1, near[1]] + words[2, near[2]]) * used[..., None]
         c = change + barred
         ahead, behind = np.zeros((n, longest, 3)), np.zeros((n, longest, 3))
         ahead[:, 0] = e[:, 0] + np.array([0, 0, -1e4])
@@ -232,13 +257,18 @@ def fit_weights(given: list[tuple[list[str], list[int], list[int]]]) -> dict:
         z = total(ahead[:, -1], 1)
         own = np.exp(np.minimum(0, ahead + behind - z[:, None, None])) * used[..., None]
         two = np.exp(np.minimum(0, ahead[:, :-1, :, None] + c + (e + behind)[:, 1:, None, :] - z[:, None, None, None])) * used[:, 1:, None, None]
+        lost = (truth - own).reshape(-1, 3)
+        grad_v = np.stack([np.column_stack([np.bincount(place.ravel(), lost[:, k], WORD_BUCKETS + 1) for k in range(3)]) for place in near]) / n - WORD_PENALTY * words
+        grad_v[:, WORD_BUCKETS] = 0
         grad_w = flat.T @ (truth - own).reshape(-1, 3).astype(np.float32) / n - 1e-4 * w
         grad_c = (pairs - two.sum((0, 1))) / n - 1e-4 * change
         seen_w += grad_w**2
         seen_c += grad_c**2
+        seen_v += grad_v**2
         w += 0.5 * grad_w / np.sqrt(seen_w)
         change += 0.5 * grad_c / np.sqrt(seen_c)
-    return {"key": uuid4().hex, "w": w.astype(np.float32), "change": (change + barred).astype(np.float32)}
+        words += 0.2 * grad_v / np.sqrt(seen_v)
+    return {"key": uuid4().hex, "w": w.astype(np.float32), "words": words.astype(np.float32), "change": (change + barred).astype(np.float32)}
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> dict:
@@ -264,7 +294,7 @@ class Tagger:
     """A token's part in its own scores and in those of the tokens next to it, kept by token."""
 
     def __init__(self, model: dict):
-        self.w, self.change = model["w"], model["change"]
+        self.w, self.change, self.words = model["w"], model["change"], model["words"]
         free = self.change[self.change > -1e3]
         self.margin = 2 * max(0.0, float(free.max() - self.change[OUT, OUT]))
         self.clear()
@@ -285,11 +315,17 @@ class Tagger:
         rows, kinds, memo, alike, n = [], [], self.memo, self.alike, len(self.rows)
         for t in new:
             bare = t.lstrip()
-            key = plain(bare)
+            key, bucket = plain(bare), word_bucket(bare)
+            if key:
+                key = (*key, bucket)
             row = alike.get(key) if key else None
             if row is None:
                 row = n + len(rows)
-                rows.append(blocks[:, shape(bare)].sum(1))
+                own = blocks[:, shape(bare)].sum(1)
+                own[1] += self.words[1, bucket]
+                own[2] += self.words[0, bucket]
+                own[3] += self.words[2, bucket]
+                rows.append(own)
                 kinds.append(1 if bare[0].isdigit() else 2 if len(bare) == 1 and not bare.isalnum() else 0)
                 if key:
                     alike[key] = row
@@ -299,7 +335,7 @@ class Tagger:
 
     def added(self, texts: list[str]) -> list[list[tuple[int, int]]]:
         """Spans of begin and inside tokens, by text."""
-        found = [TOKEN.findall(t) for t in texts]
+        found = [matches(t) for t in texts]
         self.learn(set().union(*found))
         get = self.memo.__getitem__
         lengths = np.fromiter(map(len, found), np.int64, len(found))
@@ -341,7 +377,7 @@ class Tagger:
                     out[i].append((int(ends[j]) - len(found[i][j].lstrip()), int(ends[j])))
                 else:
                     out[i][-1] = (out[i][-1][0], int(ends[j]))
-        return [[(a, a + n) for a, b in spans if (n := len(texts[i][a:b].rstrip(".,"))) >= LEAST and MIXED.search(texts[i][a:b])] for i, spans in enumerate(out)]
+        return [[(a, a + n) for a, b in spans if (n := len(texts[i][a:b].rstrip(".,"))) >= LEAST and LETTER.search(texts[i][a:b]) and DIGIT.search(texts[i][a:b])] for i, spans in enumerate(out)]
 
 
 def spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, int]]]:

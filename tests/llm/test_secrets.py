@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -59,3 +60,31 @@ def test_edges(spark, model):
     assert [len(r.secrets) for r in rows[:4]] == [0, 0, 1, 1] and not rows[4].secrets
     assert sc.scan(df.limit(0), model).count() == 0
     assert sc.fit(df.limit(0))["w"].shape[1] == 3
+
+
+def test_long_runs_take_linear_time(model):
+    """Ten megabytes of blanks, of letters and of one base pattern's beginning: seconds, not hours."""
+    tagger = sc.Tagger(model)
+    for t in ("a" + " " * 10_000_000, " \n" * 2_000_000 + "token=abcdefgh1" + "\t" * 3_000_000, "a" * 3_000_000, "password " + " " * 3_000_000 + "x", "token" * 300_000):
+        began = time.perf_counter()
+        found = sc.spans([t], tagger)[0]
+        assert time.perf_counter() - began < 20
+        assert [s for s in found if s[1] != 3] == brute_base(t)
+
+
+def test_windows_are_drawn_from_the_whole_text():
+    text = "word " * 100_000 + "token=abcdefgh12345678"
+    assert any(sc.BEGIN in found for _, found, _ in sc.windows(text))
+
+
+def test_words_next_to_a_token_have_weights_of_their_own(model):
+    assert model["words"].shape == (3, sc.WORD_BUCKETS + 1, 3) and not model["words"][:, -1].any() and abs(model["words"]).max() > 0.1
+    assert sc.word_bucket("Token.") == sc.word_bucket("token") >= 0 > sc.word_bucket("x9") == sc.word_bucket("=")
+
+
+@pytest.mark.parametrize("form", [lambda r: "glpat-" + "".join(r.choices("abcdefghijkmnpqrsXYZ0123456789", k=20)), lambda r: "-".join("".join(r.choices("0123456789ABCDEF", k=8)) for _ in range(4)), lambda r: "AIza" + "".join(r.choices("abcdefgh_-XYZ0123456789", k=35))])
+def test_recall_on_forms_it_was_not_trained_on(model, form):
+    tagger, rng = sc.Tagger(model), random.Random(29)
+    prose = "Anat with by of nteres atre are. Thnt eringing onheed, "
+    texts = [prose + f'credential = "{form(rng)}" ' + prose for _ in range(60)]
+    assert sum(any(k == 3 for _, k, _ in s) for s in sc.spans(texts, tagger)) >= 42
