@@ -3,9 +3,9 @@
 Class k holds pieces of at most ``capacity // k`` tokens, k of which fill a sequence. Each document is cut, without looking at
 any other: whole capacities first; then a remainder that would leave more than ``waste`` of its slot empty gives up a
 head of exactly the next class's slot, until the rest fits. So workers cut independently, and a class's sequences are
-filled by count alone: the piece with running number i in class k goes to the class's sequence i div k. The last, partly
-filled sequence of each class (fewer than k pieces, so at most ``MAX_CLASS**2 / 2`` pieces in all, whatever the input) is
-refilled by best fit on the driver.
+filled by count alone: the piece with running number i in class k goes to the class's sequence i div k. Classes go up to the capacity:
+4,096 pieces of one token fill a sequence. The last, partly filled sequence of each class (fewer than k pieces, so about
+``3 * capacity * log(capacity) / 2`` pieces in all at most, whatever the input) is refilled by best fit on the driver.
 
 Plan: one pass tokenizes and writes pieces (numbered by partition and class); counts by (partition, class) are summed over
 partitions by a window inside each class; offsets come from a window over one sequence's pieces. Only piece rows are
@@ -13,13 +13,15 @@ shuffled, never texts. The tokenizer file's path is a parameter, read on the exe
 
 A text is tokenized through a memo of its blank-separated chunks, which is exact where the tokenizer's pattern can't cross
 blanks and its normaliser changes no character of the chunk but case; any text with a character outside plain Latin or
-with a special token's mark goes through the tokenizer whole.
+with a special token's mark goes through the tokenizer whole. Only a tokenizer file whose normaliser, pattern and kind of model are those of
+``CHUNKED`` takes this way; the texts of any other go through its tokenizer whole.
 
 Edge cases: a null text is empty and still gives its end token; equal rows are packed one by one; a null doc_id is kept.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -36,23 +38,34 @@ from pyspark.sql import types as T
 
 from terrainframe.llm.common import materialise
 
-MAX_CLASS, MEMO, SLICE = 256, 500_000, 4_000_000
+MEMO, SLICE = 500_000, 4_000_000
 #: Characters for which chunk-wise tokenization is the same: no control or special white space, nothing the NFC form changes.
 _ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-įĲ-ɏ]|<\\|")
 
 
-#: The tokenizer's own pattern for plain text in lower case.
+#: Parts of a tokenizer file for which chunks are exact (fixed values).
+CHUNKED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: The same pattern for plain text in lower case.
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
-def cuts(length: int, capacity: int = 4096, waste: float = 0.02, max_class: int = MAX_CLASS) -> list[tuple[int, int]]:
+def cuts(length: int, capacity: int = 4096, waste: float = 0.02) -> list[tuple[int, int]]:
     """(tokens, class) of a document's pieces, in order."""
     out = [(capacity, 1)] * (length // capacity)
     rest = length % capacity
     while rest:
-        k = min(capacity // rest, max_class)
+        k = capacity // rest
         slot = capacity // k
-        if rest >= slot * (1 - waste) or k == max_class:
+        if rest >= slot * (1 - waste):
             out.append((rest, k))
             break
         head = capacity // (k + 1)
@@ -79,11 +92,15 @@ class Chunks:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        model = spec["model"]
+        self.chunked = all(spec.get(k) == v for k, v in CHUNKED.items()) and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback")) and all("<|" in t["content"] for t in spec["added_tokens"])
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.lower: dict[str, bytes] = {}
-        self.ends = dict(zip(".,", self.whole([".", ","]), strict=True)) | {"": b""}
+        self.ends = dict(zip(".,", self.whole([".", ","]), strict=True)) | {"": b""} if self.chunked else {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -124,6 +141,8 @@ class Chunks:
         return ids
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        if not self.chunked:
+            return self.whole(texts)
         odd = [i for i, t in enumerate(texts) if _ODD.search(t)]
         apart = set(odd)
         words = [[] if i in apart else t.split() for i, t in enumerate(texts)]

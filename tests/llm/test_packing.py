@@ -7,10 +7,10 @@ import numpy as np
 from terrainframe.llm import packing
 
 
-def check(rows, texts, capacity=4096):
+def check(rows, texts, capacity=4096, path=None):
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(packing.default_path())
+    tok = Tokenizer.from_file(path or packing.default_path())
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
@@ -58,3 +58,18 @@ def test_ids_and_empty(spark):
     rows = packing.pack(df, with_ids=True).collect()
     assert len(rows) == 3 and all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in rows)
     assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_another_tokenizer_goes_whole(spark, sf_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    check(packing.pack(docs, tokenizer_path=path).collect(), {r.doc_id: r.text for r in docs.collect()}, path=path)
+
+
+def test_tiny_documents_fill_sequences_too(spark):
+    """Empty and one-word documents: classes go up to the capacity, so padding stays small."""
+    texts = {i: ["", None, "the", "the cat"][i % 4] for i in range(30_000)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    assert check(packing.pack(df).collect(), texts) > 0.8
