@@ -16,18 +16,18 @@ def brute(text, items, window=10):
             for i in range(len(words) - len(w) + 1):
                 if tuple(words[i : i + len(w)]) == w:
                     hit.update(range(i, i + len(w)))
-                    ids.add(item)
+                    ids.update([] if item is None else [item])
     return len(words), len(hit), sorted(ids)
 
 
 def test_against_brute_force(spark):
     rng = random.Random(3)
     some = lambda n: "".join(rng.choice(["a", "B", "cé", "1x"]) + rng.choice([" ", ", ", "\n", "_"]) for _ in range(n))
-    items = [(i, some(rng.randrange(0, 8))) for i in range(12)] + [(12, None), (13, ""), (14, "B"), (15, "B")]
+    items = [(i, some(rng.randrange(0, 8))) for i in range(12)] + [(12, None), (13, ""), (14, "B"), (15, "B"), (None, some(5))]
     docs = [(i, some(rng.randrange(0, 60))) for i in range(60)] + [(60, None), (61, ""), (62, "..."), (5, some(9))]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    for size in (1 << 20, 30):
-        got = sorted(((r.text or ""), r.scan.n_words, r.scan.n_hit, list(r.scan["items"])) for r in dc.scan_benchmark(d, b, window=4, max_benchmark_bytes=size).collect())
+    for size in (1 << 20, 3, 1):
+        got = sorted(((r.text or ""), r.scan.n_words, r.scan.n_hit, list(r.scan["items"])) for r in dc.scan_benchmark(d, b, window=4, max_windows=size).collect())
         want = []
         for _, t in docs:
             n, h, ids = brute(t, items, 4)
@@ -48,6 +48,21 @@ def test_clean_and_empty(spark):
     b = spark.createDataFrame([("q", "Two, THREE")], "item_id string, text string")
     assert sorted(r.doc_id for r in dc.clean(d, b).collect()) == [2, 3]
     assert dc.clean(d, b.limit(0)).count() == 3
-    named = d.selectExpr("doc_id", "text", "'mine' AS scan")
-    assert [(r.doc_id, r.scan) for r in dc.clean(named, b).orderBy("doc_id").collect()] == [(2, "mine"), (3, "mine")]
+    named = d.selectExpr("doc_id", "text", "'mine' AS scan", "1 AS row", "2 AS _scan_of_input")
+    assert [tuple(r) for r in dc.clean(named, b).orderBy("doc_id").collect()] == [(2, None, "mine", 1, 2), (3, "four", "mine", 1, 2)]
     assert dc.clean(d.limit(0), b).count() == 0
+
+
+def test_memory_of_the_automaton():
+    """Under a hundred bytes a node: the bound on windows bounds a worker's memory."""
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(20_000)).encode()
+    found = dc.Benchmark([("q", text)], 10)
+    stats = found.find.get_stats()
+    assert stats["nodes_count"] <= 10 * 20_000 and stats["total_size"] < 100 * stats["nodes_count"]
+
+
+def test_items_without_an_id_are_hit_but_not_listed(spark):
+    d, b = spark.createDataFrame([(1, "one two three")], "doc_id long, text string"), spark.createDataFrame([(None, "two")], "item_id string, text string")
+    r = dc.scan_benchmark(d, b).first().scan
+    assert r.n_hit == 1 and not r["items"]
