@@ -1,8 +1,9 @@
 """Chat formatting in budgeted windows. DataFrame functions only.
 
 Prefix sums of the turns' tokens choose spans of whole turns that fit the budget; every window after the first repeats the
-system turn (a first turn with that role) and as many turns before its span as fit the history budget (at most
-``HISTORY_TURNS``). Targets are the texts of assistant turns; those that are repeated as history are masked, so each is a
+system turn (a first turn with that role) and as many turns before its span as fit the history budget. A turn's tokens are
+those of a column that the caller names (counted by any tokenizer, as ``token_counts`` does), or else an estimate: a word counts one for each
+``LETTERS`` letters, a number one for each three digits, a mark one. Each turn costs ``OVERHEAD`` more for its marks. Targets are the texts of assistant turns; those that are repeated as history are masked, so each is a
 target once. A turn larger than the budget is a window of its own, never cut.
 
 Template: ``<turn>role<text>text</turn>``. Inside roles and texts a backslash becomes two and ``<`` becomes ``\\l``, so no
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from terrainframe.llm.common import let
 
-BUDGET, HISTORY, HISTORY_TURNS, OVERHEAD = 2048, 256, 32, 3
+BUDGET, HISTORY, OVERHEAD, LETTERS = 2048, 256, 3, 5
 
 
 def escape(text: Column) -> Column:
@@ -35,14 +36,15 @@ def unescape(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Words and marks, as a measure of length."""
-    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")) + OVERHEAD
+    """Parts of words and numbers, and marks, as an estimate of length."""
+    return F.regexp_count(text, F.lit(rf"\p{{L}}{{1,{LETTERS}}}|\p{{N}}{{1,3}}|[^\s\p{{L}}\p{{N}}]"))
 
 
-def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens_col: str | None = None) -> DataFrame:
     """conv_id, window, formatted, n_repeated (leading turns that are repeated), loss (start and length in code points)."""
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    turns = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), tokens(text).cast("long").alias("n"))
+    n = tokens(text).cast("long") if tokens_col is None else F.greatest(F.coalesce(F.col(f"`{tokens_col}`").cast("long"), F.lit(0)), F.lit(0))
+    turns = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), (n + OVERHEAD).alias("n"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     summed = turns.withColumns({"after": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)), "i": F.row_number().over(order)})
     turn = F.struct("i", "role", F.concat(F.lit("<turn>"), escape(F.col("role")), F.lit("<text>")).alias("head"), escape(F.col("text")).alias("body"), "n", "after")
@@ -60,7 +62,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     begin = lambda i: F.get(F.col("t"), i)["after"] - F.get(F.col("t"), i)["n"]
 
     def window(s: Column, k: Column) -> Column:
-        low = F.greatest(F.when(system, 1).otherwise(0), s - HISTORY_TURNS)
+        low = F.greatest(F.when(system, 1).otherwise(0), s - history // OVERHEAD)
         near = F.filter(F.sequence(F.least(low, s), s), lambda j: begin(s) - begin(j) <= history)
         end = F.coalesce(F.get(F.col("starts"), k + 1), F.size("t"))
         back = F.slice(F.col("t"), near[0] + 1, s - near[0])

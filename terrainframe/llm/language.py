@@ -2,8 +2,8 @@
 
 Model: for each learned language, log probabilities of hashed letter trigrams (words in lower case between marks), learned
 from at most ``PER_LANGUAGE`` labelled documents of each language, drawn by the hash of their ids; a word's score for a
-language is the sum over its trigrams. Scripts that hold under ``SCRIPT_SHARE`` of a language's letters rule it out for words
-of that script, unless no language is left. Labels of consecutive words are decoded by Viterbi with a fixed penalty for a
+language is the sum over its trigrams. Scripts that hold under ``SCRIPT_SHARE`` of a language's letters rule it out for all words
+with a letter of that script, unless no language is left. Labels of consecutive words are decoded by Viterbi with a fixed penalty for a
 switch; spans are its runs, and the text's language is the one whose spans hold most letters, ``score`` their share.
 
 Plan: a count of the labels, one pass that draws and counts trigrams (summed by language before the shuffle), one Arrow
@@ -42,9 +42,16 @@ _SCRIPT = np.array([NAMES.index(s) for _, s in SCRIPTS])
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def scripts_of(word: str) -> int:
-    """The script of the word's first letter."""
-    return int(_SCRIPT[np.searchsorted(_STARTS, ord(word[0]), side="right") - 1])
+LATIN = NAMES.index("Latin")
+
+
+def scripts_of(word: str) -> list[int]:
+    """The scripts of the word's letters, of which most are of the first."""
+    if word.isascii():
+        return [LATIN]
+    found = _SCRIPT[np.searchsorted(_STARTS, np.fromiter(map(ord, word), np.int64, len(word)), side="right") - 1]
+    counts = np.bincount(found, minlength=len(NAMES))
+    return [int(k) for k in np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]]
 
 
 def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +91,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     grams[lang] = grams.get(lang, 0) + found
                     own = letters.setdefault(lang, np.zeros(len(NAMES), np.int64))
                     for w in words:
-                        own[scripts_of(w)] += len(w)
+                        own[scripts_of(w)[0]] += len(w)
         for lang, own in grams.items():
             full = np.concatenate((letters[lang], own))
             used = np.flatnonzero(full)
@@ -107,10 +114,19 @@ class Labeller:
 
     def __init__(self, model: dict, switch: float):
         self.model, self.memo = model, {}
+        self.bars: dict[tuple[int, ...], np.ndarray] = {}
         n = len(model["langs"])
         self.change = (np.float32(-switch) * (1 - np.eye(n))).astype(np.float32)
         self.rows, self.size = np.zeros((0, n), np.float32), np.zeros(0, np.int32)
 
+    def barred(self, word: str) -> np.ndarray:
+        """What a language loses that hardly uses one of the word's scripts (of its first, if that would leave none)."""
+        scripts = tuple(scripts_of(word))
+        if scripts not in self.bars:
+            uses = self.model["uses"][list(scripts)].all(0)
+            self.bars[scripts] = np.float32(1e4) * ~(uses if uses.any() else self.model["uses"][scripts[0]])
+        return self.bars[scripts]
+
     def learn(self, words: set[str]) -> None:
         if len(self.memo) + len(words) > MEMO:
             self.memo, self.rows, self.size = {}, self.rows[:0], self.size[:0]
@@ -120,9 +136,7 @@ class Labeller:
         low = [x if len(x := w.lower()) == len(w) else w for w in new]
         hashed, starts = trigrams(low)
         scores = np.add.reduceat(self.model["grams"][hashed], starts, axis=0)
-        for i, w in enumerate(new):
-            if not w.isascii():
-                scores[i] -= np.float32(1e4) * ~self.model["uses"][scripts_of(w)]
+        scores -= np.array([self.barred(w) for w in new])
         self.memo.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
         self.rows = np.concatenate((self.rows, scores))
         self.size = np.concatenate((self.size, np.array([sum(map(str.isalpha, w)) for w in new], np.int32)))

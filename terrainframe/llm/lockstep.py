@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 
+CELLS = 4_000_000
+
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, change: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
     """Best labels of sequences laid end to end.
 
     ``scores`` (total, labels), ``lengths`` of the sequences, ``change[i, j]`` added from label i to j, ``start`` added at
-    the first place. Ties go to the lower label. Memory is two bytes a place and label beyond the scores.
+    the first place. Ties go to the lower label. Memory is two bytes a place and label beyond the scores, and at most about
+    ``CELLS`` numbers for one step.
     """
     total, labels = scores.shape
     out = np.zeros(total, np.int16)
@@ -29,9 +32,13 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, change: np.ndarray, start:
         if n < len(best):
             final[n : len(best)] = best[n:]
             best = best[:n]
-        step = best[:, :, None] + change
-        back[at[:n] + t] = came = step.argmax(1)
-        best = step[np.arange(n)[:, None], came, lane] + scores[at[:n] + t]
+        some = max(1, CELLS // (labels * labels))
+        new = scores[at[:n] + t]
+        for a in range(0, n, some):
+            step = best[a : a + some, :, None] + change
+            back[at[a : min(n, a + some)] + t] = came = step.argmax(1)
+            new[a : a + some] += step[np.arange(len(came))[:, None], came, lane]
+        best = new
     final[: len(best)] = best
     label = final.argmax(1)
     for t in range(longest - 1, -1, -1):

@@ -33,7 +33,7 @@ def test_windows_keep_to_the_budget(spark):
     rows, df = make(spark)
     budget, history = 200, 90
     n = {(c, i): chat for c, i in ()}
-    sizes = {r.text: r.n for r in df.select("text", chat.tokens(F.coalesce("text", F.lit(""))).alias("n")).distinct().collect()}
+    sizes = {r.text: r.n for r in df.select("text", (chat.tokens(F.coalesce("text", F.lit(""))) + chat.OVERHEAD).alias("n")).distinct().collect()}
     for w in chat.windows(df, budget, history).where("conv_id in (97, 5, 9)").collect():
         turns = w.formatted.split("</turn>")[:-1]
         texts = [t.split("<text>", 1)[1].replace("\\\\", "\0").replace("\\l", "<").replace("\0", "\\") for t in turns]
@@ -48,3 +48,23 @@ def test_windows_keep_to_the_budget(spark):
 def test_empty(spark):
     _, df = make(spark)
     assert chat.read_back(chat.windows(df.limit(0))).count() == 0
+
+
+def test_many_short_turns_fill_the_history(spark):
+    """History is bounded by its tokens alone: 256 tokens hold 85 empty turns."""
+    df = spark.createDataFrame([(1, t, "user" if t % 2 else "assistant", "", 0) for t in range(2000)], "conv_id long, turn long, role string, text string, n long")
+    found = chat.windows(df).orderBy("window").collect()
+    assert [w.n_repeated for w in found][1:] == [256 // chat.OVERHEAD] * (len(found) - 1) and len(found) > 2
+    assert chat.windows(df, tokens_col="n").count() == len(found)
+
+
+def test_tokens_of_a_column(spark):
+    df = spark.createDataFrame([(1, t, "user", "w", None if t == 3 else 97) for t in range(10)], "conv_id long, turn long, role string, text string, tokens long")
+    found = chat.windows(df, budget=200, history=0, tokens_col="tokens").collect()
+    assert len(found) == 5 and all(w.n_repeated == 0 for w in found)
+
+
+def test_long_turns(spark):
+    df = spark.createDataFrame([(1, 0, "system", "s " * 3000), (1, 1, "user", "<u> " * 50_000), (1, 2, "assistant", "\\a " * 50_000)], "conv_id long, turn long, role string, text string")
+    back = chat.read_back(chat.windows(df)).first()
+    assert [t.text for t in back.turns] == ["s " * 3000, "<u> " * 50_000, "\\a " * 50_000] and back.loss_text == "\\a " * 50_000

@@ -58,3 +58,29 @@ def test_edges(spark, model):
     few = language.fit(spark.createDataFrame([(i, rng.choice(["алло да", "hello yes"])) for i in range(40)], "doc_id long, text string").withColumn("lang", F.when(F.col("text").startswith("h"), "en").otherwise("ru")))
     got = language.identify(spark.createDataFrame([(1, "да нет"), (2, "no yes")], "doc_id long, text string"), few).collect()
     assert [r.language.lang_pred for r in got] == ["ru", "en"]
+
+
+def test_scripts_rule_out_languages_for_every_word(spark):
+    """Latin words never go to a Cyrillic language, however flat its model; a word of two scripts goes by both."""
+    rows = [(i, "hello yes the house") for i in range(400)] + [(i, "да") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.when(F.col("text").startswith("h"), "en").otherwise("ru"))
+    model = language.fit(docs)
+    texts = ["zzqqxx jjkkvv", "Éqzz", "дада", "qqдqq"]
+    got = language.Labeller(model, language.SWITCH).predict(texts)
+    assert [x[0] for x in got[:3]] == ["en", "en", "ru"] and language.scripts_of("qqдqq") == [language.LATIN, language.NAMES.index("Cyrillic")]
+
+
+def test_many_labels_and_a_very_long_word(monkeypatch):
+    """Steps are taken in parts, with the same labels."""
+    import numpy as np
+
+    from terrainframe.llm import lockstep
+
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(1, 40, 50)
+    scores, change = rng.normal(size=(lengths.sum(), 60)).astype(np.float32), (-2 * (1 - np.eye(60))).astype(np.float32)
+    whole = lockstep.viterbi(scores, lengths, change)
+    monkeypatch.setattr(lockstep, "CELLS", 7200)
+    assert (lockstep.viterbi(scores, lengths, change) == whole).all()
+    letters = language.trigrams(["a" * 1_000_000])
+    assert len(letters[0]) == 1_000_000
