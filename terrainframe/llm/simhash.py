@@ -1,7 +1,7 @@
 """SimHash near-duplicates through vantage-point trees.
 
 Fingerprint: bit k is set if over half of the XXH64 values (seed 42) of a text's 3-word shingles, repeats counted, have it.
-Equal fingerprints are one point. A tree over a sample of at most ``SAMPLE`` points splits the space by Hamming distance to vantage points:
+Equal fingerprints are one point. A tree over a sample of at most ``SAMPLE`` points splits the space by Hamming distance to vantage points, into leaves of about ``LEAF`` points:
 each point's home is one leaf. A point whose home is the outer side of a split and that lies within ``radius`` of the border also
 visits the inner side, and there follows both sides wherever the triangle bound allows a neighbour; so each pair within the
 radius meets in the home leaf of one of them. In a leaf, points are put into rings around two more vantage points, ring
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from terrainframe.llm.common import materialise
 from terrainframe.llm.components import Forest, components
 
-SAMPLE, LEAF, RADIUS, SEED, BLOCK = 16_384, 32_000, 3, 42, 512
+SAMPLE, LEAF, RADIUS, SEED, BLOCK = 1 << 18, 4096, 3, 42, 512
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -50,12 +50,12 @@ def fingerprint(text: bytes | None, size: int = 3) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, text_col: str = "text", size: int = 3) -> DataFrame:
     """``docs`` with ``fingerprint`` (a long of the same bits)."""
 
     def marks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            values = np.array([fingerprint(t) for t in texts.cast(pa.binary()).to_pylist()], np.uint64)
+            values = np.array([fingerprint(t, size) for t in texts.cast(pa.binary()).to_pylist()], np.uint64)
             yield pa.array(values.view(np.int64))
 
     return docs.drop("fingerprint").withColumn("fingerprint", F.arrow_udf(marks, "long")(F.col(text_col).cast("string")))
@@ -150,8 +150,9 @@ def near_links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     spark = points.sparkSession
     n = points.count()
     depth = max(0, int(np.ceil(np.log2(max(1, n) / LEAF))))
-    sample = points.orderBy(F.xxhash64("fingerprint"), "fingerprint").limit(SAMPLE).collect()
-    tree = spark.sparkContext.broadcast(Tree(np.array([r.fingerprint for r in sample], np.int64).view(np.uint64), min(depth, 12)))
+    share = min(1.0, 64 * 2.0**depth / max(1, n), SAMPLE / max(1, n))
+    sample = points.where(F.shiftrightunsigned(F.xxhash64("fingerprint"), 32) <= int(share * 0xFFFFFFFF)).select("fingerprint").toArrow()
+    tree = spark.sparkContext.broadcast(Tree(sample.column("fingerprint").to_numpy().view(np.uint64), depth))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,5 +192,5 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     told = lambda x: F.concat_ws(":", x["id"].cast("string"), x["mark"].cast("string"))
     found = groups(docs.select(order.alias("_order"), F.col(text_col).alias("_body")), "_order", "_body", radius)
     kept = found.select(told(F.col("component_id")).alias("_key")).distinct()
-    own = docs.withColumn("_key", told(order))
-    return own.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), told(order).alias("_key"))
+    return rows.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select("row.*")
