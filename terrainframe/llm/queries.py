@@ -18,8 +18,9 @@ def op1_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From 24 shards by a hash of the source, of which one is hot, to 16 of equal bytes."""
     text = F.coalesce(F.col("text"), F.lit(""))
     old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(OLD_SHARDS)).cast("int")
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), old.alias("old_shard"))
-    placed = resharding.reshard(docs, "size", "old_shard", ["doc_id", "text_crc32"], NEW_SHARDS)
+    given = table(spark, sf_dir, "documents")
+    docs = given.select("doc_id", "text", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), old.alias("old_shard"))
+    placed = resharding.rewritten(docs, "size", "old_shard", ["doc_id", "text_crc32"], NEW_SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
