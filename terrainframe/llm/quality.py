@@ -1,14 +1,16 @@
 """Quality rules: text measures, and cross-document line frequency within a host. DataFrame functions only.
 
 Lines are normalised (lower case, runs of other than letters and digits become one blank, trimmed) and hashed. For each host the
-documents that hold a line are counted, equal texts once. A line held by more than ``max(min_docs, share * documents of
+documents that hold a line are counted, equal texts once (or each row, with ``count_copies``: then copies of one text make all its lines
+frequent, and all the copies are rejected; README has figures). A line held by more than ``max(min_docs, share * documents of
 the host)`` is removed from the host's documents; a document with less than ``min_left`` of its normalised characters left
 is rejected. Base rules reject before that: under 10 words, or over a fifth of the words in repeated 5-word windows.
 
 Plan: (host, line, text) is made distinct before lines are counted, so one common line or host is summed in each task
 first. A host has at most (mean lines a document) / share frequent lines, so they travel as one array per host; the
-arrays are broadcast when there are at most ``BROADCAST_LINES`` lines in all, else joined by host with Spark's skew
-handling. Texts are never shuffled on the broadcast path.
+arrays are broadcast when there are at most ``BROADCAST_LINES`` lines in all. Beyond that they are joined by host and one of ``SALTS``
+numbers, drawn from the text's hash, so that a hot host's texts go to as many tasks. The rows are the same either way. Texts are never
+shuffled on the broadcast path.
 
 Edge cases: a null text has no words and fails the base rules; a null host is a host of its own; blank lines are neither
 counted nor removed; repeated rows are judged one by one. Input columns named like the results are replaced.
@@ -24,7 +26,7 @@ from terrainframe.llm.common import let, materialise
 BLANKS = " \t\n\x0b\f\r"
 WORD_BREAK = r"[ \x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-WINDOW, MIN_DOCS, SHARE, MIN_LEFT, BROADCAST_LINES = 5, 20, 0.02, 0.3, 200_000
+WINDOW, MIN_DOCS, SHARE, MIN_LEFT, BROADCAST_LINES, SALTS = 5, 20, 0.02, 0.3, 200_000, 64
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -71,27 +73,32 @@ def lines_of(text: Column) -> Column:
     return F.transform(normal, lambda x: let(F.trim(x), lambda y: F.struct(F.xxhash64(y).alias("h"), F.length(y).alias("n"))))
 
 
-def frequent_lines(docs: DataFrame, text_col: str, host_col: str, min_docs: int, share: float) -> DataFrame:
+def frequent_lines(docs: DataFrame, text_col: str, host_col: str, min_docs: int, share: float, count_copies: bool = False) -> DataFrame:
     """(host, line): lines above their host's limit."""
     text, host = F.col(text_col).cast("string"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host")
     given = docs.where(text.isNotNull()).select(host, F.xxhash64(text).alias("doc"), F.array_distinct(F.transform(F.filter(lines_of(text), lambda x: x.n > 0), lambda x: x.h)).alias("lines"))
-    held = given.select("host", "doc", F.explode("lines").alias("line")).distinct()
+    held = given.select("host", "doc", F.explode("lines").alias("line"))
+    hosts = docs.where(text.isNotNull()).select(host, F.xxhash64(text).alias("doc"))
+    if not count_copies:
+        held, hosts = held.distinct(), hosts.distinct()
     counts = held.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
-    hosts = docs.where(text.isNotNull()).select(host, F.xxhash64(text).alias("doc")).distinct().groupBy("host").agg(F.count("*").alias("docs"))
-    return counts.join(hosts, "host").where(F.col("n") > F.col("docs") * share).select("host", "line")
+    return counts.join(hosts.groupBy("host").agg(F.count("*").alias("docs")), "host").where(F.col("n") > F.col("docs") * share).select("host", "line")
 
 
-def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, min_left: float = MIN_LEFT, count_copies: bool = False) -> DataFrame:
     """``docs`` with the measures, base_failed, n_removed_lines, clean_text (without removed lines) and kept."""
     added = [*MEASURES, "base_failed", "n_removed_lines", "clean_text", "kept"]
     keep = [c for c in docs.columns if c not in added or c in (text_col, host_col)]
-    found = materialise(frequent_lines(docs, text_col, host_col, min_docs, share), "frequent-lines")
-    by_host = found.groupBy("host").agg(F.collect_list("line").alias("frequent")).withColumnRenamed("host", "_host")
-    if found.count() <= BROADCAST_LINES:
-        by_host = F.broadcast(by_host)
+    found = materialise(frequent_lines(docs, text_col, host_col, min_docs, share, count_copies), "frequent-lines")
+    by_host = found.groupBy("host").agg(F.collect_list("line").alias("frequent"))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))
     text = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))
-    joined = row.join(by_host, F.coalesce(F.col(f"row.`{host_col}`").cast("string"), F.lit("")) == F.col("_host"), "left")
+    row = row.withColumn("host", F.coalesce(F.col(f"row.`{host_col}`").cast("string"), F.lit("")))
+    if found.count() <= BROADCAST_LINES:
+        joined = row.join(F.broadcast(by_host), "host", "left")
+    else:
+        salted = by_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = row.withColumn("salt", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
     left = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + x.n)
     rare = lambda x: ~F.array_contains(F.col("frequent"), x.h)
 
