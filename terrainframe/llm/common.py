@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from terrainframe.tables import materialise, shared_dir, table
+from terrainframe.tables import discard, materialise, shared_dir, table
 
-__all__ = ["let", "materialise", "shared_dir", "table"]
+__all__ = ["discard", "let", "materialise", "shared_dir", "table"]
 
 
 def let(value: Column, body) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrainframe.llm.common import materialise
+from terrainframe.llm.common import discard, materialise
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -29,6 +29,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         low = _least(large)
         small = large.join(low, "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = materialise(small.unionByName(low.where("u <> m").select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        discard(large)
+        discard(now)
         now = small
         several = now.groupBy("u").count().where("count > 1").select("u")
         if several.unionByName(now.select("u").join(now.select(F.col("v").alias("u")), "u", "left_semi")).isEmpty():
