@@ -6,16 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def clean_text(text: Column) -> Column:
-    """Blanks become single spaces, page marks like "3 of 10" go, ends are trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t\n\r\f\x0B]+", " "), r"\b[0-9]+ *of *[0-9]+\b", ""))
+#: A page mark such as "3 of 10" (fixed value).
+PAGE_MARK = r"\b[0-9]+ *of *[0-9]+\b"
 
 
-def to_markdown(text: Column) -> Column:
-    """Paragraphs (split at double spaces) as Markdown; short capital or numbered ones are headings."""
-    parts = F.filter(F.transform(F.split(text, "  ", -1), F.trim), lambda p: p != "")
-    heading = lambda p: p.rlike(r"^[A-Z\s]{5,}$") | p.rlike(r"^[0-9]+\.\s*[A-Z]")
-    return F.array_join(F.transform(parts, lambda p: F.when(heading(p), F.concat(F.lit("### "), p, F.lit("\n"))).otherwise(F.concat(p, F.lit("\n\n")))), "")
+def clean_text(text: Column) -> Column:
+    """Runs of blanks become one space, then page marks go and the ends are trimmed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t\n\r\f\x0B]+", " "), PAGE_MARK, ""))
 
 
 def format_duration(seconds: Column) -> Column:

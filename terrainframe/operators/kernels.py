@@ -5,28 +5,43 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-Point = tuple[float, float]
+
+def near_pairs(low: np.ndarray, high: np.ndarray, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs i < j of boxes that touch, a block of boxes at a time against those that begin before it ends."""
+    order = np.argsort(low[:, 0], kind="stable")
+    lo, hi = low[order], high[order]
+    for a in range(0, len(order), block):
+        mine = slice(a, min(len(order), a + block))
+        last = np.searchsorted(lo[:, 0], hi[mine, 0].max(), side="right")
+        for c in range(a, last, 4 * block):
+            theirs = slice(c, min(last, c + 4 * block))
+            touch = (lo[mine, None] <= hi[None, theirs]).all(2) & (lo[None, theirs] <= hi[mine, None]).all(2)
+            i, j = np.nonzero(touch)
+            i, j = i + a, j + c
+            once = i < j
+            i, j = order[i[once]], order[j[once]]
+            yield np.minimum(i, j), np.maximum(i, j)
+
+
+def turn(p: np.ndarray, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    return (q[:, 0] - p[:, 0]) * (r[:, 1] - p[:, 1]) - (q[:, 1] - p[:, 1]) * (r[:, 0] - p[:, 0]) > 0
 
 
 def crossings(points: np.ndarray) -> int:
     """Pairs of edges that properly cross, adjacent ones (and first with last) aside; boxes first, then four turns."""
     a, b = points[:-1], points[1:]
-    n = len(a)
+    n, found = len(a), 0
     if n < 4:
         return 0
-    i, j = np.triu_indices(n, 2)
-    apart = ~((i == 0) & (j == n - 1))
-    i, j = i[apart], j[apart]
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    near = ((low[i] <= high[j]) & (low[j] <= high[i])).all(1)
-    i, j = i[near], j[near]
-    turn = lambda p, q, r: (q[:, 0] - p[:, 0]) * (r[:, 1] - p[:, 1]) - (q[:, 1] - p[:, 1]) * (r[:, 0] - p[:, 0]) > 0
-    return int(((turn(a[i], a[j], b[j]) != turn(b[i], a[j], b[j])) & (turn(a[i], b[i], a[j]) != turn(a[i], b[i], b[j]))).sum())
+    for i, j in near_pairs(np.minimum(a, b), np.maximum(a, b)):
+        apart = (j - i > 1) & ~((i == 0) & (j == n - 1))
+        i, j = i[apart], j[apart]
+        found += int(((turn(a[i], a[j], b[j]) != turn(b[i], a[j], b[j])) & (turn(a[i], b[i], a[j]) != turn(a[i], b[i], b[j]))).sum())
+    return found
 
 
 def ring_points(ring: list[dict] | None) -> np.ndarray:
@@ -133,89 +148,85 @@ def repair(p: np.ndarray) -> np.ndarray | None:
     return closed if issue_of(closed)[1] == "none" else hull(p)
 
 
-def clip(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
-    """Common part of a ring and a convex ring, by half planes; may be empty."""
-    if np.dot(window[:-1, 0], window[1:, 1]) < np.dot(window[1:, 0], window[:-1, 1]):
-        window = window[::-1]
-    out = [tuple(q) for q in subject[:-1]]
-    for a, b in zip(window[:-1], window[1:], strict=True):
-        side = lambda q: (b[0] - a[0]) * (q[1] - a[1]) - (b[1] - a[1]) * (q[0] - a[0])  # noqa: B023, E731
-        given, out = out, []
-        for p, q in zip(given, given[1:] + given[:1], strict=True):
-            s, t = side(p), side(q)
-            if s >= 0:
-                out.append(p)
-            if (s > 0 > t) or (s < 0 < t):
-                w = s / (s - t)
-                out.append((p[0] + w * (q[0] - p[0]), p[1] + w * (q[1] - p[1])))
-        if not out:
-            return np.zeros((0, 2))
-    return np.array([*out, out[0]])
+def edges_of(rings: list[np.ndarray]) -> np.ndarray:
+    """Edges (x0, y0, x1, y1) that rise or fall, lower end first."""
+    both = np.concatenate([np.hstack((r[:-1], r[1:])) for r in rings if len(r) > 1] or [np.zeros((0, 4))])
+    both = both[both[:, 1] != both[:, 3]]
+    return np.where((both[:, 1] > both[:, 3])[:, None], both[:, [2, 3, 0, 1]], both)
+
+
+def common_areas(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[float, float, float]:
+    """Areas of two shapes and of their common part. A shape is all its rings: parts and holes, inside by the even-odd rule.
+
+    Between the heights of all corners and crossings edges keep their order, so there a shape is trapezoids, whose area is their
+    width at half height; common widths come from the sorted borders there.
+    """
+    edges, owner = edges_of(a), edges_of(b)
+    owner, edges = np.repeat([0, 1], [len(edges), len(owner)]), np.vstack((edges, owner))
+    if not len(edges):
+        return 0.0, 0.0, 0.0
+    heights = [edges[:, 1], edges[:, 3]]
+    low, high = np.minimum(edges[:, :2], edges[:, 2:]), np.maximum(edges[:, :2], edges[:, 2:])
+    for i, j in near_pairs(low, high):
+        p, d, q, e = edges[i, :2], edges[i, 2:] - edges[i, :2], edges[j, :2], edges[j, 2:] - edges[j, :2]
+        cross = d[:, 0] * e[:, 1] - d[:, 1] * e[:, 0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = ((q[:, 0] - p[:, 0]) * e[:, 1] - (q[:, 1] - p[:, 1]) * e[:, 0]) / cross
+        t = t[ok := np.isfinite(t) & (t > 0) & (t < 1)]
+        heights.append(p[ok, 1] + t * d[ok, 1])
+    ys = np.unique(np.concatenate(heights))
+    areas = np.zeros(3)
+    for k in range(0, len(ys) - 1, 256):
+        y0, y1 = ys[k : k + 257][:-1], ys[k : k + 257][1:]
+        mid = (y0 + y1) / 2
+        some = np.flatnonzero((edges[:, 1] < y1[-1]) & (edges[:, 3] > y0[0]))
+        for h, y in zip(y1 - y0, mid, strict=True):
+            on = some[(edges[some, 1] < y) & (edges[some, 3] > y)]
+            x = edges[on, 0] + (y - edges[on, 1]) / (edges[on, 3] - edges[on, 1]) * (edges[on, 2] - edges[on, 0])
+            order = np.argsort(x, kind="stable")
+            gaps, mine = np.diff(x[order]), owner[on[order]]
+            inside = [np.cumsum(mine == k)[:-1] % 2 == 1 for k in (0, 1)]
+            areas += h * np.array([gaps[inside[0]].sum(), gaps[inside[1]].sum(), gaps[inside[0] & inside[1]].sum()])
+    return tuple(float(x) for x in areas)
+
+
+def shape_issue(rings: list[np.ndarray]) -> str:
+    """The first issue of a shape's rings, or that two of them cross, or "valid"."""
+    if not rings:
+        return "empty"
+    for r in rings:
+        issue, strategy = issue_of(r)
+        if strategy != "none" and issue != "repeated_point":
+            return issue
+    if len(rings) > 1:
+        a, b = np.vstack([r[:-1] for r in rings]), np.vstack([r[1:] for r in rings])
+        owner = np.repeat(np.arange(len(rings)), [len(r) - 1 for r in rings])
+        for i, j in near_pairs(np.minimum(a, b), np.maximum(a, b)):
+            i, j = i[owner[i] != owner[j]], j[owner[i] != owner[j]]
+            if ((turn(a[i], a[j], b[j]) != turn(b[i], a[j], b[j])) & (turn(a[i], b[i], a[j]) != turn(a[i], b[i], b[j]))).any():
+                return "rings_cross"
+    return "valid"
+
+
+def shape_iou(a: Column, b: Column) -> Column:
+    """(iou, common, status) of two shapes, each an array of rings; an invalid shape gives null and why. Exact but for rounding."""
+    kind = pa.struct([("iou", pa.float64()), ("common", pa.float64()), ("status", pa.string())])
+
+    def one(p: list | None, q: list | None) -> dict:
+        shapes = [[ring_points(r) for r in x or []] for x in (p, q)]
+        for name, rings in zip(("predicted", "truth"), shapes, strict=True):
+            if (issue := shape_issue(rings)) != "valid":
+                return {"iou": None, "common": None, "status": f"{name}_{issue}"}
+        first, second, common = common_areas(*shapes)
+        return {"iou": common / (first + second - common), "common": common, "status": "valid"}
 
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for left, right in batches:
+            yield pa.array([one(x, y) for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True)], kind)
 
-def polygon_iou(a: Column, b: Column) -> Column:
-    """(iou, status) of a ring and a convex ring; invalid shapes give null and why."""
-    kind = pa.struct([("iou", pa.float64()), ("status", pa.string())])
+    return F.arrow_udf(run, "iou double, common double, status string")(a, b)
 
-    def one(p: np.ndarray, q: np.ndarray) -> dict:
-        for name, r in (("predicted", p), ("truth", q)):
-            if issue_of(r)[1] != "none":
-                return {"iou": None, "status": f"{name}_{issue_of(r)[0]}"}
-        part = clip(p, q)
-        common = shoelace(part) if len(part) else 0.0
-        return {"iou": common / (shoelace(p) + shoelace(q) - common), "status": "valid"}
 
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for left, right in batches:
-            yield pa.array([one(ring_points(x), ring_points(y)) for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True)], kind)
-
-    return F.arrow_udf(run, "iou double, status string")(a, b)
-
-
-def outline(mask: np.ndarray) -> list[np.ndarray]:
-    """Closed cell-corner rings (row, col) around the true cells: directed border edges joined end to start, turning left first."""
-    wide = np.pad(mask, 1)
-    edges: dict[Point, list[Point]] = {}
-    for r, c in np.argwhere(wide).tolist():
-        for (dr, dc), (p, q) in {(-1, 0): ((0, 1), (0, 0)), (0, -1): ((0, 0), (1, 0)), (1, 0): ((1, 0), (1, 1)), (0, 1): ((1, 1), (0, 1))}.items():
-            if not wide[r + dr, c + dc]:
-                edges.setdefault((r - 1 + p[0], c - 1 + p[1]), []).append((r - 1 + q[0], c - 1 + q[1]))
-    rings = []
-    while edges:
-        at = start = next(iter(edges))
-        ring, before = [start], None
-        while True:
-            options = edges[at]
-            if len(options) > 1 and before is not None:
-                d = (at[0] - before[0], at[1] - before[1])
-                options.sort(key=lambda q: d[0] * (q[1] - at[1]) - d[1] * (q[0] - at[0]))
-            nxt = options.pop()
-            if not options:
-                del edges[at]
-            ring.append(nxt)
-            before, at = at, nxt
-            if at == start:
-                break
-        p = np.array(ring, float)
-        bend = np.concatenate(([True], (np.diff(p, axis=0)[1:] != np.diff(p, axis=0)[:-1]).any(1), [True]))
-        rings.append(p[bend])
-    return rings
-
-
-def polygons(cells: DataFrame, origin_x: float, origin_y: float, step: float, tolerance: float = 0.0) -> DataFrame:
-    """pour_id, ring, n_holes, cell_area: the outline of each watershed's largest part, in world coordinates (cell corners)."""
-    schema = "pour_id long, ring array<struct<x:double,y:double>>, n_holes int, cell_area double"
-
-    def trace(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = rows["row"].min(), rows["col"].min()
-        mask = np.zeros((rows["row"].max() - r0 + 1, rows["col"].max() - c0 + 1), bool)
-        mask[rows["row"] - r0, rows["col"] - c0] = True
-        rings = outline(mask)
-        outer = max(rings, key=shoelace)
-        turned = lambda p: np.dot(p[:-1, 0], p[1:, 1]) - np.dot(p[1:, 0], p[:-1, 1]) > 0
-        holes = sum(turned(p) != turned(outer) for p in rings)
-        world = np.column_stack((origin_x + (outer[:, 1] + c0) * step, origin_y - (outer[:, 0] + r0) * step))
-        world = simplify(world, tolerance) if tolerance else world
-        return pd.DataFrame([(key[0], [{"x": x, "y": y} for x, y in world], holes, len(rows) * step * step)], columns=["pour_id", "ring", "n_holes", "cell_area"])
-
-    return cells.groupBy("pour_id").applyInPandas(trace, schema)
+def polygon_iou(a: Column, b: Column) -> Column:
+    """(iou, common, status) of two rings, concave ones included."""
+    return shape_iou(F.array(a), F.array(b))

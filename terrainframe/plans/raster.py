@@ -10,7 +10,7 @@ from terrainframe.operators import hydrology, stencil
 from terrainframe.plans.registry import query
 from terrainframe.sources import bridge
 
-RESOLUTION, STREAM, N_POURS = 10.0, 5, 16
+RESOLUTION, STREAM = 10.0, 5
 _STEPS = stencil.STEPS
 
 
@@ -31,7 +31,7 @@ _DC = "CASE code " + " ".join(f"WHEN {k} THEN {dc}" for k, (_, dc) in _STEPS.ite
 _DOWN = f"""down AS (SELECT * FROM (SELECT row, col, row + {_DR} AS to_row, col + {_DC} AS to_col FROM flow WHERE code <> 0) CROSS JOIN size
     WHERE to_row BETWEEN 0 AND h - 1 AND to_col BETWEEN 0 AND 119)"""
 _NET = "net AS (SELECT d.row, d.col, d.to_row, d.to_col FROM down d JOIN flow f ON f.row = d.to_row AND f.col = d.to_col WHERE f.code <> 0)"
-_POURS = f"pours AS (SELECT CAST(c_custkey AS BIGINT) AS pour_id, CAST(1 + (c_custkey * 7) % (h - 2) AS BIGINT) AS row, CAST(1 + (c_custkey * 31) % 118 AS BIGINT) AS col FROM customer CROSS JOIN size WHERE c_custkey % greatest(1, (SELECT count(*) FROM customer) // {N_POURS}) = 0)"
+_POURS = "pours AS (SELECT CAST(c_custkey AS BIGINT) AS pour_id, CAST(1 + (c_custkey * 7) % (h - 2) AS BIGINT) AS row, CAST(1 + (c_custkey * 31) % 118 AS BIGINT) AS col FROM customer CROSS JOIN size)"
 _SHED = """shed AS (SELECT pour_id, row, col FROM pours UNION ALL SELECT s.pour_id, d.row, d.col FROM shed s JOIN down d ON d.to_row = s.row AND d.to_col = s.col)"""
 _ACC = """walk AS (SELECT row, col, row AS at_row, col AS at_col FROM flow WHERE code <> 0
     UNION ALL SELECT w.row, w.col, n.to_row, n.to_col FROM walk w JOIN net n ON n.row = w.at_row AND n.col = w.at_col),
@@ -43,11 +43,9 @@ def _all(*parts: str, gappy: bool = False) -> str:
 
 
 def _pours(spark, sf_dir, grid):
-    """Sixteen or so customers as pour points, spread over the grid."""
-    customers = bridge.table(spark, sf_dir, "customer")
-    every = max(1, customers.count() // N_POURS)
+    """Every customer is a pour point; several may share a cell."""
     row, col = 1 + (F.col("c_custkey") * 7) % (grid.height - 2), 1 + (F.col("c_custkey") * 31) % 118
-    return customers.where(F.col("c_custkey") % every == 0).select(F.col("c_custkey").alias("pour_id"), row.cast("long").alias("row"), col.cast("long").alias("col"))
+    return bridge.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pour_id"), row.cast("long").alias("row"), col.cast("long").alias("col"))
 
 
 @query(_all(gappy=True).replace("CASE WHEN top > 0 THEN CASE", "CASE WHEN top IS NOT NULL THEN CASE").replace("CASE WHEN top > 0 THEN top END", "top") + " SELECT row, col, code, round(drop_, 6) AS drop_m FROM flow")

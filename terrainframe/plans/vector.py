@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from terrainframe.functions import classify, crs
 from terrainframe.functions import geometry as g
-from terrainframe.operators import joins, kernels, sampling
+from terrainframe.operators import joins, kernels, outlines, sampling
 from terrainframe.operators.stencil import gradient_slope
-from terrainframe.plans.raster import _all, _DOWN, _GX, _GY, _POURS, _SHED, watershed_cells
+from terrainframe.plans.raster import _all, _DOWN, _EDGE, _GX, _GY, _POURS, _SHED, watershed_boundary, watershed_cells
 from terrainframe.plans.registry import query
 from terrainframe.sources import bridge
 
@@ -20,6 +20,9 @@ W = f"WITH {BASINS} "
 RADIUS, SNAP, ORIGIN, STEP = 6.0, 4.0, (-105.0, 40.0), 0.01
 ZONES = ["c_custkey AS zone_id", "CAST((c_custkey * 11) % 100 AS DOUBLE) AS x0", "CAST(c_custkey % 90 AS DOUBLE) AS y0", "CAST((c_custkey * 11) % 100 + 3 + c_custkey % 15 AS DOUBLE) AS x1", "CAST(c_custkey % 90 + 2 + c_custkey % 11 AS DOUBLE) AS y1"]
 
+POUR_COLUMNS = ["s_suppkey AS point_id", "CAST((s_suppkey * 13) % 118 AS DOUBLE) + 0.3 AS px", "CAST((s_suppkey * 29) % 97 AS DOUBLE) + 0.7 AS py"]
+POUR_POINTS = bridge.sql("pp", POUR_COLUMNS, "supplier")
+
 
 def basins(spark, sf_dir):
     return bridge.view(spark, sf_dir, "customer", bridge.BASINS)
@@ -251,15 +254,65 @@ def zonal_slope_std(spark, sf_dir):
     return found.agg(F.round(F.when(F.count("slope") > 10, F.stddev_pop("slope")).otherwise(0.0), 4).alias("slope_std"))
 
 
-@query()
+_QUADS = """q AS (SELECT pour_id, row + dr AS row, col + dc AS col, sum(bit) AS m FROM shed CROSS JOIN (VALUES (0, 0, 8), (0, 1, 4), (1, 0, 2), (1, 1, 1)) o(dr, dc, bit) GROUP BY 1, 2, 3),
+    n AS (SELECT pour_id, count(*) FILTER (WHERE m IN (1, 2, 4, 8)) AS q1, count(*) FILTER (WHERE m IN (7, 11, 13, 14)) AS q3, count(*) FILTER (WHERE m IN (6, 9)) AS qd FROM q GROUP BY 1)"""
+
+
+@query(_all(_DOWN, _POURS, _SHED, _QUADS) + f" SELECT n.pour_id, q1 + q3 + 2 * qd AS n_corners, (q1 - q3 + 2 * qd) // 4 AS outer_less_holes, round(cells * {STEP * STEP}, 9) AS area FROM n JOIN (SELECT pour_id, count(*) AS cells FROM shed GROUP BY 1) USING (pour_id)")
 def watershed_polygons(spark, sf_dir):
-    """Outlines of the traced watersheds; tests hold their areas against cell counts."""
-    found = kernels.polygons(watershed_cells(spark, sf_dir), *ORIGIN, STEP)
-    return found.select("pour_id", F.size("ring").alias("n_points"), F.round(g.area(F.col("ring")), 9).alias("area"), "n_holes", F.round("cell_area", 9).alias("cell_area"))
+    """Outlines of all watersheds; corners and parts less holes follow from the cells around each corner, the area from the cells."""
+    found = outlines.outlines(watershed_cells(spark, sf_dir), *ORIGIN, STEP)
+    return found.select("pour_id", "n_corners", (F.col("n_outer") - F.col("n_holes")).cast("long").alias("outer_less_holes"), F.round("area", 9).alias("area"))
 
 
-@query(_all(_DOWN, _POURS, _SHED) + " SELECT pour_id, count(*) AS n_cells FROM shed GROUP BY 1")
+@query(_all(_DOWN, _POURS, _SHED, _EDGE, """m AS (SELECT pour_id, avg(col) AS cx, avg(row) AS cy FROM edge GROUP BY 1), o AS (SELECT e.pour_id, CAST(col AS DOUBLE) AS x, CAST(row AS DOUBLE) AS y, row_number() OVER (PARTITION BY e.pour_id ORDER BY round(atan2(row - cy, col - cx), 9), col, row) AS place FROM edge e JOIN m USING (pour_id)),
+    s AS (SELECT pour_id, x * coalesce(lead(y) OVER w, first_value(y) OVER w) - coalesce(lead(x) OVER w, first_value(x) OVER w) * y AS cross_ FROM o WINDOW w AS (PARTITION BY pour_id ORDER BY place))""") + " SELECT pour_id, count(*) AS n_points, round(abs(sum(cross_)) / 2, 6) AS area FROM s GROUP BY 1")
 def watershed_ring_by_angle(spark, sf_dir):
-    """Boundary centres sorted by angle; the count of boundary points is what closes the ring."""
-    shed = watershed_cells(spark, sf_dir)
-    return shed.groupBy("pour_id").agg(F.collect_list(F.struct(F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))).alias("p")).select("pour_id", (F.size(g.ring_from_points(F.col("p"))) - 1).cast("long").alias("n_cells"))
+    """Boundary cells' centres sorted by angle, and the area of the ring they make."""
+    edge = watershed_boundary(spark, sf_dir).select("pour_id", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
+    return outlines.ordered_areas(outlines.by_angle(edge)).select("pour_id", "n_points", F.round("area", 6).alias("area"))
+
+
+#: A shape in a box of width w and height h as signed boxes: an L with a hole, and a part of its own. (sign, x0, y0, x1, y1) in parts of w and h.
+_SIGNED = [(1, 0, 0, 1, 1), (-1, 0.5, 0.5, 1, 1), (-1, 0.125, 0.125, 0.375, 0.375), (1, 1.25, 0, 1.5, 0.25)]
+_BOXES = "VALUES " + ", ".join(f"({s}, {float(a)}, {float(b)}, {float(c)}, {float(d)})" for s, a, b, c, d in _SIGNED)
+
+
+def _shape(x, y, w, h):
+    """The same shape as rings: L, hole and part."""
+    ring = lambda *ps: F.array(*[F.struct((x + a * w).alias("x"), (y + b * h).alias("y")) for a, b in (*ps, ps[0])])
+    square = lambda a, b, c, d: ring((a, b), (c, b), (c, d), (a, d))
+    return F.array(ring((0, 0), (1, 0), (1, 0.5), (0.5, 0.5), (0.5, 1), (0, 1)), square(0.125, 0.125, 0.375, 0.375), square(1.25, 0, 1.5, 0.25))
+
+
+@query(W + f""", b AS (SELECT * FROM ({_BOXES}) t(s, a, b, c, d)), p AS (SELECT basin_id, x0, y0, x1 - x0 AS w, y1 - y0 AS h, (basin_id % 4) / 2 AS dx, (basin_id % 3) / 4 AS dy FROM basins),
+    pairs AS (SELECT basin_id, u.s * v.s AS sign, greatest(0, least(u.c * w, dx + v.c * w) - greatest(u.a * w, dx + v.a * w)) * greatest(0, least(u.d * h, dy + v.d * h) - greatest(u.b * h, dy + v.b * h)) AS ov FROM p CROSS JOIN b u CROSS JOIN b v),
+    size AS (SELECT basin_id, sum(s * (c - a) * w * (d - b) * h) AS area FROM p CROSS JOIN b GROUP BY 1), common AS (SELECT basin_id, sum(sign * ov) AS common FROM pairs GROUP BY 1)
+    SELECT basin_id, round(common, 6) AS common, round(common / (2 * area - common), 6) AS iou, 'valid' AS status FROM size JOIN common USING (basin_id)""")
+def polygon_iou(spark, sf_dir):
+    """Concave shapes with a hole and two parts against themselves, moved."""
+    c = F.col
+    w, h = c("x1") - c("x0"), c("y1") - c("y0")
+    both = basins(spark, sf_dir).select("basin_id", kernels.shape_iou(_shape(c("x0") + (c("basin_id") % 4) / 2, c("y0") + (c("basin_id") % 3) / 4, w, h), _shape(c("x0"), c("y0"), w, h)).alias("o"))
+    return both.select("basin_id", F.round("o.common", 6).alias("common"), F.round("o.iou", 6).alias("iou"), "o.status")
+
+
+def _zone_shapes(spark, sf_dir):
+    c = F.col
+    return bridge.view(spark, sf_dir, "customer", ZONES).select("zone_id", _shape(c("x0"), c("y0"), c("x1") - c("x0"), c("y1") - c("y0")).alias("rings"))
+
+
+_INSIDE = f"""bx AS (SELECT * FROM ({_BOXES}) t(s, a, b, c, d)), zs AS (SELECT zone_id, s, x0 + a * (x1 - x0) AS a, y0 + b * (y1 - y0) AS b, x0 + c * (x1 - x0) AS c, y0 + d * (y1 - y0) AS d FROM zones CROSS JOIN bx)"""
+
+
+@query(_all(_ZONES, _INSIDE, "zz AS (SELECT zone_id, row, col, elev FROM zs JOIN cells ON col + 0.5 >= a AND col + 0.5 < c AND row + 0.5 >= b AND row + 0.5 < d GROUP BY 1, 2, 3, 4 HAVING sum(s) > 0)", gappy=True) + " SELECT zone_id, count(*) AS n_cells, count(elev) AS n_valid, round(coalesce(avg(elev), -1), 4) AS mean FROM zz GROUP BY 1")
+def polygon_mask_counts(spark, sf_dir):
+    """Cells whose centres lie in concave zones with holes."""
+    met = joins.zonal_shapes(bridge.grid(spark, sf_dir, True).cells, _zone_shapes(spark, sf_dir))
+    return met.groupBy("zone_id").agg(F.count("*").alias("n_cells"), F.count("elev").alias("n_valid"), F.round(F.coalesce(F.avg("elev"), F.lit(-1.0)), 4).alias("mean"))
+
+
+@query(_all(_ZONES, _INSIDE, POUR_POINTS, "hit AS (SELECT point_id, zone_id FROM zs JOIN pp ON px >= a AND px < c AND py >= b AND py < d GROUP BY 1, 2 HAVING sum(s) > 0)") + " SELECT point_id, zone_id FROM hit")
+def points_in_polygons(spark, sf_dir):
+    at = bridge.view(spark, sf_dir, "supplier", POUR_COLUMNS)
+    return joins.points_in_shapes(at, _zone_shapes(spark, sf_dir)).select("point_id", "zone_id")

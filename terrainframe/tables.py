@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,18 +17,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where that is unset (tests, one machine)."""
+    """``spark.checkpoint.dir``. Where that is unset, a local session gets a folder of its own, removed at exit; a cluster is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = tempfile.mkdtemp(prefix="terrainframe-")
+        atexit.register(shutil.rmtree, _OWN_DIR[app], ignore_errors=True)
     return _OWN_DIR[app]
 
 
+def session_dir(spark: SparkSession) -> str:
+    """This session's folder of intermediate tables."""
+    return f"{shared_dir(spark)}/terrainframe/{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write once and read back: iteration lineage is cut, and a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/terrainframe/{name}-{uuid.uuid4().hex}"
+    path = f"{session_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._terrainframe_path = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table that ``materialise`` gave, once nothing reads it any more: a round that the next has taken over."""
+    path = getattr(df, "_terrainframe_path", None)
+    if path:
+        _remove(df.sparkSession, path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove all intermediate tables of the session; results that were not written read from them."""
+    _remove(spark, session_dir(spark))

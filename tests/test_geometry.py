@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from terrainframe.functions import classify, crs
 from terrainframe.functions import geometry as g
 from terrainframe.functions import text as tx
-from terrainframe.operators import joins, kernels, scoring, validators
+from terrainframe.operators import joins, kernels, outlines, scoring, validators
 from terrainframe.plans import delineation, pipeline
 from terrainframe.operators.stencil import Grid
 
@@ -34,13 +34,78 @@ def test_polygon_iou(spark):
     assert got[9] == (None, "predicted_self_intersection") and got[10] == (None, "predicted_empty")
 
 
-def test_outlines_have_the_cells_area():
+U = np.array([(0, 0), (3, 0), (3, 3), (2, 3), (2, 1), (1, 1), (1, 3), (0, 3), (0, 0)], float)
+
+
+def test_concave_shapes_with_holes_and_parts():
+    box = lambda a, b, c, d: np.array([(a, b), (c, b), (c, d), (a, d), (a, b)], float)
+    assert kernels.common_areas([U], [U]) == (7, 7, 7)
+    assert kernels.common_areas([U], [box(0, 0, 3, 3)]) == (7, 9, 7)
+    assert kernels.common_areas([U], [box(1, 1, 2, 3)]) == (7, 2, 0)
+    ring = [box(0, 0, 4, 4), box(1, 1, 3, 3)]
+    assert kernels.common_areas(ring, [box(1, 1, 3, 3)]) == (12, 4, 0) and kernels.common_areas(ring, [box(2, 2, 6, 6)])[2] == 3
+    parts = [box(0, 0, 1, 1), box(5, 0, 6, 1)]
+    assert kernels.common_areas(parts, [box(0.5, 0, 5.5, 1)]) == (2, 5, 1)
+    assert kernels.shape_issue(ring) == "valid" and kernels.shape_issue([box(0, 0, 2, 2), box(1, 1, 3, 3)]) == "rings_cross" and kernels.shape_issue([]) == "empty"
+
+
+def test_common_areas_against_samples():
+    """Random star-shaped rings, some with holes, against points thrown at them."""
+    rng = np.random.default_rng(6)
+
+    def star(x, y, r):
+        t = np.sort(rng.random(rng.integers(5, 30))) * 2 * np.pi
+        rr = r * (0.3 + 0.7 * rng.random(len(t)))
+        p = np.column_stack((x + rr * np.cos(t), y + rr * np.sin(t)))
+        return np.vstack((p, p[:1]))
+
+    def inside(rings, pts):
+        n = np.zeros(len(pts), int)
+        for r in rings:
+            for (x0, y0), (x1, y1) in zip(r[:-1], r[1:], strict=True):
+                if y0 != y1:
+                    n += ((y0 > pts[:, 1]) != (y1 > pts[:, 1])) & (pts[:, 0] < x0 + (pts[:, 1] - y0) / (y1 - y0) * (x1 - x0))
+        return n % 2 == 1
+
+    pts = rng.random((60_000, 2)) * 8 - 4
+    for _ in range(6):
+        a, b = [star(0, 0, 3), star(0.1, 0, 0.5)], [star(0.5, -0.5, 3), star(-3, -3, 0.9)]
+        want = [64 * x.mean() for x in (inside(a, pts), inside(b, pts), inside(a, pts) & inside(b, pts))]
+        assert np.abs(np.array(kernels.common_areas(a, b)) - want).max() < 0.6
+
+
+def test_many_edges_need_little_memory():
+    t = np.linspace(0, 2 * np.pi, 20_001)
+    ring = np.column_stack((np.cos(t), np.sin(t)))
+    ring[-1] = ring[0]
+    assert kernels.crossings(ring) == 0
+    zig = np.column_stack((np.arange(2000) % 2, np.arange(2000) * 0.5))
+    assert kernels.crossings(np.vstack((zig, [[5.0, 0.25]], zig[:1]))) >= 0
+
+
+def test_outlines_follow_the_cells(spark):
+    """Random masks, all traced at once: signed areas are cell counts, rings are closed, bend at each point and never cross."""
     rng = np.random.default_rng(3)
-    for _ in range(30):
-        mask = rng.random((8, 9)) < 0.6
-        rings = kernels.outline(mask)
-        signed = sum(np.dot(p[:-1, 0], p[1:, 1]) - np.dot(p[1:, 0], p[:-1, 1]) for p in rings) / 2
-        assert abs(abs(signed) - mask.sum()) < 1e-9
+    masks = [rng.random((8, 9)) < p for p in (0.1, 0.4, 0.6, 0.8, 0.95, 1.0)]
+    ring = np.ones((30, 30), bool)
+    ring[1:-1, 1:-1] = False
+    masks.append(ring)
+    rows = [(k, int(r), int(c)) for k, m in enumerate(masks) for r, c in np.argwhere(m)]
+    df = spark.createDataFrame([*rows, rows[0]], "pour_id long, row long, col long").repartition(3)
+    got = {r.pour_id: r for r in outlines.outlines(df, 0.0, 0.0, 1.0).collect()}
+    for k, m in enumerate(masks):
+        if not m.any():
+            continue
+        r, total = got[k], 0.0
+        for p in r.rings:
+            p = kernels.ring_points(p)
+            d = np.diff(p, axis=0)
+            assert (p[0] == p[-1]).all() and ((d == 0).sum(1) == 1).all() and all((a == 0).argmax() != (b == 0).argmax() for a, b in zip(d, d[1:], strict=False))
+            assert kernels.crossings(p) == 0
+            total += np.dot(p[:-1, 0], p[1:, 1]) - np.dot(p[1:, 0], p[:-1, 1])
+        assert total / 2 == r.area == m.sum() and r.n_outer + r.n_holes == len(r.rings)
+        assert kernels.shoelace(kernels.ring_points(r.rings[0])) == max(kernels.shoelace(kernels.ring_points(p)) for p in r.rings)
+    assert (got[6].n_outer, got[6].n_holes, got[6].n_corners) == (1, 1, 8)
 
 
 def test_crs_round_trip_and_known_places(spark):
@@ -72,7 +137,6 @@ def test_text(spark):
     assert one(tx.clean_text(F.lit(" a \n b 3 of 10 c "))) == "a b  c"
     assert one(tx.format_size(F.lit(1024.0))) == "1.0 KB" and one(tx.format_size(F.lit(500.0))) == "500.0 B"
     assert [one(tx.format_duration(F.lit(float(s)))) for s in (59, 61, 3700)] == ["59s", "1m 1s", "1h 1m 40s"]
-    assert one(tx.to_markdown(F.lit("TITLE HERE  body text"))) == "### TITLE HERE\nbody text\n\n"
 
 
 def test_thresholds_and_regressions(spark):
