@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrainframe.operators.stencil import STEPS, Grid
-from terrainframe.tables import materialise
+from terrainframe.tables import discard, materialise
 
 
 def downstream(flow: DataFrame, grid: Grid) -> DataFrame:
@@ -52,8 +52,11 @@ def accumulate(flow: DataFrame, grid: Grid) -> DataFrame:
     counts = jumps.select("row", "col").union(jumps.select("to_row", "to_col")).distinct().withColumn("acc", F.lit(1).cast("long"))
     while not jumps.isEmpty():
         gained = jumps.join(counts, ["row", "col"]).groupBy(F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg(F.sum("acc").alias("more"))
-        counts = materialise(counts.join(gained, ["row", "col"], "left").select("row", "col", (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc")), "counts")
-        jumps = materialise(_doubled(jumps), "jumps")
+        new = materialise(counts.join(gained, ["row", "col"], "left").select("row", "col", (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc")), "counts")
+        further = materialise(_doubled(jumps), "jumps")
+        discard(counts)
+        discard(jumps)
+        counts, jumps = new, further
     return grid.cells.select("row", "col").join(counts, ["row", "col"], "left").select("row", "col", F.coalesce("acc", F.lit(1)).cast("long").alias("acc"))
 
 
@@ -78,8 +81,11 @@ def watersheds(flow: DataFrame, grid: Grid, pours: DataFrame) -> DataFrame:
     while not jumps.isEmpty():
         met = held.select("pour_id", F.col("row").alias("to_row"), F.col("col").alias("to_col"))
         gained = jumps.join(met, ["to_row", "to_col"]).select("pour_id", "row", "col")
-        held = materialise(held.unionByName(gained), "held")
-        jumps = materialise(_doubled(jumps), "walks")
+        new = materialise(held.unionByName(gained), "held")
+        further = materialise(_doubled(jumps), "walks")
+        discard(held)
+        discard(jumps)
+        held, jumps = new, further
     return held
 
 
@@ -111,29 +117,39 @@ _STATE = "trow int, tcol int, z binary, w binary, h int, n int, changed boolean"
 
 
 def flood(z: np.ndarray, w: np.ndarray, ring: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """Least fill levels of a tile: from seeds at their height, and from the ring of cells around the tile at its levels."""
+    """Least fill levels of a tile that has levels ``w``: from seeds at their height, and from the ring of cells around the tile at its levels.
+
+    Only cells whose level goes down are visited, so a round that tells little costs little.
+    """
     h, n = z.shape
-    out = np.where(np.isnan(z), np.nan, np.minimum(w, np.inf))
-    heap = [(z[r, c], r, c) for r, c in np.argwhere(seeds & ~np.isnan(z)).tolist()]
-    for r, c in np.argwhere(np.isfinite(ring)).tolist():
-        heap.append((float(ring[r, c]), r - 1, c - 1))
-    for r, c in np.argwhere(np.isfinite(out)).tolist():
-        heap.append((float(out[r, c]), r, c))
-    level = np.full((h, n), np.inf)
+    wide, ground = n + 2, np.pad(z, 1, constant_values=np.nan)
+    level = np.pad(np.where(np.isnan(z), -np.inf, w), 1, constant_values=-np.inf)
+    start = np.full(level.shape, np.inf)
+    start[1:-1, 1:-1][seeds & ~np.isnan(z)] = z[seeds & ~np.isnan(z)]
+    around = np.pad(ring, 1, constant_values=np.inf)
+    for dr, dc in STEPS.values():
+        start[1:-1, 1:-1] = np.fmin(start[1:-1, 1:-1], np.fmax(around[2 + dr : 2 + dr + h, 2 + dc : 2 + dc + n], z))
+    lower = np.flatnonzero(start < level)
+    heights, levels = ground.ravel().tolist(), level.ravel().tolist()
+    heap = []
+    for i, v in zip(lower.tolist(), start.ravel()[lower].tolist(), strict=True):
+        levels[i] = v
+        heap.append((v, i))
     heapq.heapify(heap)
+    steps = [dr * wide + dc for dr, dc in STEPS.values()]
     while heap:
-        at, r, c = heapq.heappop(heap)
-        if 0 <= r < h and 0 <= c < n:
-            if at >= level[r, c]:
-                continue
-            level[r, c] = at
-        for dr, dc in STEPS.values():
-            a, b = r + dr, c + dc
-            if 0 <= a < h and 0 <= b < n and not np.isnan(z[a, b]):
-                new = max(at, z[a, b])
-                if new < level[a, b]:
-                    heapq.heappush(heap, (new, a, b))
-    return np.where(np.isnan(z), np.nan, level)
+        at, i = heapq.heappop(heap)
+        if at > levels[i]:
+            continue
+        for step in steps:
+            j = i + step
+            if levels[j] > at:  # a cell outside has the least level of all
+                new = heights[j] if heights[j] > at else at
+                if new < levels[j]:
+                    levels[j] = new
+                    heapq.heappush(heap, (new, j))
+    out = np.array(levels).reshape(level.shape)[1:-1, 1:-1]
+    return np.where(np.isnan(z), np.nan, out)
 
 
 def fill(grid: Grid, tile: int = TILE) -> DataFrame:
@@ -191,7 +207,9 @@ def fill(grid: Grid, tile: int = TILE) -> DataFrame:
     state = materialise(haloed.groupBy("trow", "tcol").applyInPandas(start, _STATE), "tiles")
     while not state.where("changed").isEmpty():
         told = state.where("changed").mapInPandas(send, "trow int, tcol int, dr int, dc int, part binary")
-        state = materialise(state.groupBy("trow", "tcol").cogroup(told.groupBy("trow", "tcol")).applyInPandas(again, _STATE), "tiles")
+        new = materialise(state.groupBy("trow", "tcol").cogroup(told.groupBy("trow", "tcol")).applyInPandas(again, _STATE), "tiles")
+        discard(state)
+        state = new
 
     def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
