@@ -23,13 +23,11 @@ def long_rules(row: DataFrame, rules: list[tuple[str, str, Column, Column]]) ->
     return row.select(F.explode(fired).alias("r")).select("r.rule", "r.severity", "r.value")
 
 
-def dem_quality(cells: DataFrame, nodata_window: int = 1000, elevation_window: int = 2000) -> DataFrame:
-    """No-data and elevation rules on the top left windows that such checks read; limits above."""
+def dem_quality(cells: DataFrame) -> DataFrame:
+    """No-data and elevation rules over the whole grid; limits above."""
     c = F.col
-    at = lambda n: (c("row") < n) & (c("col") < n)
-    inside = F.when(at(elevation_window), c("elev"))
-    gone = (F.avg(F.when(at(nodata_window), c("elev").isNull().cast("double"))) * 100).alias("gone")
-    row = cells.agg(gone, F.min(inside).alias("low"), F.max(inside).alias("high"), F.stddev_pop(inside).alias("std"))
+    gone = (F.avg(c("elev").isNull().cast("double")) * 100).alias("gone")
+    row = cells.agg(gone, F.min("elev").alias("low"), F.max("elev").alias("high"), F.stddev_pop("elev").alias("std"))
     rules = [
         ("nodata_share", "error", c("gone") > NODATA_ERROR, c("gone")),
         ("nodata_share", "warning", (c("gone") > NODATA_WARN) & (c("gone") <= NODATA_ERROR), c("gone")),
@@ -46,6 +44,12 @@ def dem_admission(cells: DataFrame, resolution: float, target: float = 10.0, lea
     return checks.withColumn("admitted", F.col("resolution_ok") & F.col("coverage_ok") & F.col("range_ok"))
 
 
+def dem_suitability(cells: DataFrame) -> DataFrame:
+    """data_ok, stats_ok, relief_ok, suitable: enough cells with data, statistics at all, and some relief."""
+    checks = dem_stats(cells).select((F.col("valid_pct") >= 100 - NODATA_ERROR).alias("data_ok"), (F.col("n_valid") > 0).alias("stats_ok"), F.coalesce(F.col("elev_std") >= FLAT_STD, F.lit(False)).alias("relief_ok"))
+    return checks.withColumn("suitable", F.col("data_ok") & F.col("stats_ok") & F.col("relief_ok"))
+
+
 def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, n_null, null_pct in one pass."""
     counted = df.agg(F.count("*").alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in columns])

@@ -101,7 +101,7 @@ def dem_admission(spark, sf_dir):
     return validators.dem_admission(bridge.grid(spark, sf_dir, True).cells, 10.0)
 
 
-@query(f"""WITH {_DEM}, s AS (SELECT 100 * avg(CASE WHEN row < 1000 AND col < 1000 THEN CAST(elev IS NULL AS INT) END) AS gone, min(CASE WHEN row < 2000 AND col < 2000 THEN elev END) AS low, max(CASE WHEN row < 2000 AND col < 2000 THEN elev END) AS high, stddev_pop(CASE WHEN row < 2000 AND col < 2000 THEN elev END) AS std FROM cells)
+@query(f"""WITH {_DEM}, s AS (SELECT 100 * avg(CAST(elev IS NULL AS INT)) AS gone, min(elev) AS low, max(elev) AS high, stddev_pop(elev) AS std FROM cells)
     SELECT 'nodata_share' AS rule, CASE WHEN gone > 80 THEN 'error' WHEN gone > 50 THEN 'warning' ELSE 'note' END AS severity, round(gone, 6) AS value FROM s WHERE gone > 20 UNION ALL SELECT 'elevation_low', 'warning', round(low, 6) FROM s WHERE low < -500 UNION ALL SELECT 'elevation_high', 'warning', round(high, 6) FROM s WHERE high > 5000
     UNION ALL SELECT 'elevation_all_high', 'warning', round(low, 6) FROM s WHERE low > 4000 UNION ALL SELECT 'elevation_flat', 'warning', round(std, 6) FROM s WHERE std < 1 UNION ALL SELECT 'elevation_range', 'warning', round(high - low, 6) FROM s WHERE high - low > 6000""")
 def dem_quality_report(spark, sf_dir):
