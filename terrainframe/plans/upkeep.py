@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrainframe.functions import geometry as g
-from terrainframe.operators import hydrology, kernels, layers, outlines, stencil, validators
+from terrainframe.operators import hydrology, kernels, layers, masks, outlines, stencil, validators
 from terrainframe.plans.raster import _ACC, _DOWN, _NET, _POURS, _SHED, RESOLUTION, STREAM, _all, _pours
 from terrainframe.plans.registry import query
 from terrainframe.plans.reports import RUNS, W, _rings, results, scores
@@ -165,3 +165,21 @@ def delineate(spark, sf_dir):
     counts = shed.join(hydrology.accumulate(flow, grid), ["row", "col"]).groupBy("pour_id").agg(F.count("*").alias("n_cells"), F.count_if(F.col("acc") >= STREAM).alias("n_stream"))
     area = F.col("n_cells") * (RESOLUTION * RESOLUTION) / 1e6
     return counts.join(outlines.outlines(shed, *ORIGIN, STEP), "pour_id").select("pour_id", "n_cells", area.alias("area_km2"), "n_stream", "n_corners", (area < 0.01).alias("too_small"))
+
+
+_CLASSES = "shed AS (SELECT CAST(floor(elev / 100000) AS BIGINT) AS pour_id, row, col FROM cells WHERE elev IS NOT NULL)"
+
+
+@query("WITH " + bridge.sql("cells", bridge.GAPPY, "orders") + f", {_CLASSES}, {_QUADS} SELECT n.pour_id AS value, q1 + q3 + 2 * qd AS n_corners, (q1 - q3 + 2 * qd) // 4 AS outer_less_holes, area FROM n JOIN (SELECT pour_id, CAST(count(*) AS DOUBLE) AS area FROM shed GROUP BY 1) USING (pour_id)")
+def polygonise_classes(spark, sf_dir):
+    """Outlines of elevation classes."""
+    cells = bridge.grid(spark, sf_dir, True).cells.where("elev IS NOT NULL").select(F.floor(F.col("elev") / 100000).cast("long").alias("value"), "row", "col")
+    found = masks.class_outlines(cells, 0.0, 0.0, 1.0)
+    return found.select("value", "n_corners", (F.col("n_outer") - F.col("n_holes")).cast("long").alias("outer_less_holes"), F.round("area", 3).alias("area"))
+
+
+@query()
+def clean_masks(spark, sf_dir):
+    """Elevation classes with holes filled, small objects dropped and closed; tests hold it against a flood from outside."""
+    cells = bridge.grid(spark, sf_dir, True).cells.where("elev IS NOT NULL").select(F.floor(F.col("elev") / 100000).cast("long").alias("pour_id"), "row", "col")
+    return masks.cleaned(cells).groupBy("pour_id").agg(F.count("*").alias("n_cells"))
