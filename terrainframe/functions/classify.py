@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrainframe.functions.quantiles import exact_quantiles
+
 
 def size_class_closed(area: Column) -> Column:
     """Right-closed bins; outside 0 to 500 null."""
@@ -21,15 +23,15 @@ def terrain_class(slope: Column) -> Column:
 
 def tertiles(df: DataFrame, column: str, out: str) -> DataFrame:
     """low, medium, high by the linear quantiles at .33 and .67. One row of cut points is broadcast."""
-    cuts = df.agg(F.percentile(column, F.array(F.lit(0.33), F.lit(0.67))).alias("_cuts"))
+    cuts = exact_quantiles(df, column, {"a": 0.33, "b": 0.67}).select(F.array("a", "b").alias("_cuts"))
     value = F.col(column)
     label = F.when(value <= F.col("_cuts")[0], "low").when(value <= F.col("_cuts")[1], "medium").when(value.isNotNull(), "high")
-    return df.crossJoin(F.broadcast(cuts)).withColumn(out, label).drop("_cuts")
+    return df.join(F.broadcast(cuts), F.lit(True), "left").withColumn(out, label).drop("_cuts")
 
 
 def qcut3(df: DataFrame, column: str, out: str) -> DataFrame:
     """1, 2, 3 by quantile edges, lowest included; 1 throughout where edges coincide."""
-    cuts = df.agg(F.percentile(column, F.array(F.lit(0.0), F.lit(1 / 3), F.lit(2 / 3), F.lit(1.0))).alias("_cuts"))
+    cuts = exact_quantiles(df, column, {"a": 0.0, "b": 1 / 3, "c": 2 / 3, "d": 1.0}).select(F.array("a", "b", "c", "d").alias("_cuts"))
     value, c = F.col(column), F.col("_cuts")
     label = F.when(F.size(F.array_distinct(c)) < 4, 1).when(value <= c[1], 1).when(value <= c[2], 2).when(value.isNotNull(), 3)
-    return df.crossJoin(F.broadcast(cuts)).withColumn(out, label.cast("int")).drop("_cuts")
+    return df.join(F.broadcast(cuts), F.lit(True), "left").withColumn(out, label.cast("int")).drop("_cuts")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrainframe.functions.quantiles import with_quantiles
+
 #: Thresholds by terrain (fixed values): least IoU, largest centroid offset in metres; the last pair for any other terrain.
 IOU_LEAST = {"flat": 0.95, "moderate": 0.92, "steep": 0.85}
 CENTROID_MOST = {"flat": 200.0, "moderate": 500.0, "steep": 1000.0}
@@ -31,11 +33,7 @@ def share(condition: Column) -> Column:
 
 
 def measures() -> list[Column]:
-    return [
-        F.count("*").alias("n"), F.avg("iou").alias("iou_mean"), F.percentile("iou", 0.5).alias("iou_median"), F.percentile("iou", 0.9).alias("iou_p90"),
-        F.percentile("iou", 0.95).alias("iou_p95"), F.count_if(F.col("iou").isNull()).alias("n_invalid"), share(F.col("iou").isNull()).alias("invalid_pct"),
-        F.avg("runtime_s").alias("runtime_mean"), F.percentile("runtime_s", 0.5).alias("runtime_median"), F.percentile("runtime_s", 0.95).alias("runtime_p95"),
-    ]
+    return [F.count("*").alias("n"), F.avg("iou").alias("iou_mean"), F.count_if(F.col("iou").isNull()).alias("n_invalid"), share(F.col("iou").isNull()).alias("invalid_pct"), F.avg("runtime_s").alias("runtime_mean")]
 
 
 def rates() -> list[Column]:
@@ -43,11 +41,13 @@ def rates() -> list[Column]:
 
 
 def overall(scores: DataFrame) -> DataFrame:
-    return assess(scores).agg(*measures(), *rates())
+    wanted = {"iou": {"iou_median": 0.5, "iou_p90": 0.9, "iou_p95": 0.95}, "runtime_s": {"runtime_median": 0.5, "runtime_p95": 0.95}}
+    return with_quantiles(assess(scores).agg(*measures(), *rates()), scores, wanted)
 
 
 def by(scores: DataFrame, key: str) -> DataFrame:
-    return assess(scores).groupBy(key).agg(F.count("*").alias("n"), F.avg("iou").alias("iou_mean"), F.percentile("iou", 0.5).alias("iou_median"), *rates())
+    found = assess(scores).groupBy(key).agg(F.count("*").alias("n"), F.avg("iou").alias("iou_mean"), *rates())
+    return with_quantiles(found, scores, {"iou": {"iou_median": 0.5}}, [key])
 
 
 def targets(scores: DataFrame) -> DataFrame:
@@ -66,20 +66,28 @@ def truth_quality(pairs: DataFrame, low: float = 0.5, high: float = 2.0, least:
     return pairs.withColumn("issues", issues)
 
 
+#: Grades by least IoU, and what a topology score loses (fixed values).
+GRADES = {"Excellent": 0.95, "Good": 0.90, "Fair": 0.80, "Poor": 0.70}
+LOSS_INVALID, LOSS_NOT_SIMPLE = 0.5, 0.3
+LOSS_HOLE, LOSS_HOLES, LOSS_CROSSING, LOSS_CROSSINGS, LOSS_ERROR, LOSS_ERRORS = 0.1, 0.3, 0.05, 0.2, 0.05, 0.3
+TOPOLOGY_GOOD = 0.8
+#: Overall quality of a good topology by how many of performance and accuracy are met, of those that were measured (fixed values).
+QUALITY = {2: ("Fair", "Good", "Excellent"), 1: ("Fair", "Good")}
+
+
 def accuracy_grade(iou: Column) -> Column:
-    return F.when(iou >= 0.95, "Excellent").when(iou >= 0.90, "Good").when(iou >= 0.80, "Fair").when(iou >= 0.70, "Poor").otherwise("Unacceptable")
+    return F.coalesce(*[F.when(iou >= least, grade) for grade, least in GRADES.items()], F.lit("Unacceptable"))
 
 
 def overall_quality(performance: Column, topology: Column, accuracy: Column) -> Column:
     """A null accuracy means that none was measured."""
-    some, both = performance | F.coalesce(accuracy, F.lit(False)), performance & F.coalesce(accuracy, F.lit(False))
-    good = topology > 0.8
-    with_accuracy = F.when(good & both, "Excellent").when(good & some, "Good").when(good, "Fair").otherwise("Poor")
-    without = F.when(good & performance, "Good").when(good, "Fair").otherwise("Poor")
-    return F.when(accuracy.isNull(), without).otherwise(with_accuracy)
+    met = performance.cast("int") + F.coalesce(accuracy.cast("int"), F.lit(0))
+    by = {n: F.array(*map(F.lit, names)) for n, names in QUALITY.items()}
+    return F.when(topology > TOPOLOGY_GOOD, F.get(F.when(accuracy.isNull(), by[1]).otherwise(by[2]), met)).otherwise("Poor")
 
 
 def topology_score(valid: Column, simple: Column, holes: Column, crossings: Column, errors: Column) -> Column:
-    lost = F.when(valid, 0.0).otherwise(0.5) + F.when(simple, 0.0).otherwise(0.3)
-    lost += F.least(holes * 0.1, F.lit(0.3)) + F.least(crossings * 0.05, F.lit(0.2)) + F.least(errors * 0.05, F.lit(0.3))
+    lost = F.when(valid, 0.0).otherwise(LOSS_INVALID) + F.when(simple, 0.0).otherwise(LOSS_NOT_SIMPLE)
+    for count, each, most in ((holes, LOSS_HOLE, LOSS_HOLES), (crossings, LOSS_CROSSING, LOSS_CROSSINGS), (errors, LOSS_ERROR, LOSS_ERRORS)):
+        lost += F.least(count * each, F.lit(most))
     return F.greatest(1.0 - lost, F.lit(0.0))

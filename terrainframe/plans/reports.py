@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terrainframe.functions import geometry as g
 from terrainframe.functions import text as tx
+from terrainframe.functions.quantiles import with_quantiles
 from terrainframe.operators import comparison, scoring, validators
 from terrainframe.operators import kernels as k
 from terrainframe.plans.registry import query
@@ -84,7 +85,9 @@ def truth_quality(spark, sf_dir):
 
 @query(f"WITH {BASINS} SELECT segment, count(*) AS n, round(min(area_km2), 6) AS low, round(max(area_km2), 6) AS high, round(avg(area_km2), 6) AS mean, round(quantile_cont(area_km2, 0.5), 6) AS median FROM basins GROUP BY 1")
 def truth_area_stats(spark, sf_dir):
-    found = basins(spark, sf_dir).groupBy("segment").agg(F.count("*").alias("n"), F.min("area_km2").alias("low"), F.max("area_km2").alias("high"), F.avg("area_km2").alias("mean"), F.percentile("area_km2", 0.5).alias("median"))
+    given = basins(spark, sf_dir)
+    found = given.groupBy("segment").agg(F.count("*").alias("n"), F.min("area_km2").alias("low"), F.max("area_km2").alias("high"), F.avg("area_km2").alias("mean"))
+    found = with_quantiles(found, given, {"area_km2": {"median": 0.5}}, ["segment"])
     return rounded(found)
 
 
