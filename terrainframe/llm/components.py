@@ -1,7 +1,7 @@
 """Connected components of an edge table, by the two star steps of distributed union-find.
 
 Each round links every neighbour of a node to the least node it knows, first the larger neighbours (large star), then the
-others (small star), until each node is linked to one root. A round's edges are written to the shared folder, so a lost executor
+others (small star), until no edge changes. A round's edges are written to the shared folder, so a lost executor
 costs one round at most; a node of very many neighbours only adds rows, which aggregate before the shuffle or are split as skewed joins.
 """
 
@@ -22,19 +22,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     """(node, component) of every node of an edge; a component is named by its least node. Null ends and loops are ignored."""
     up, down = F.greatest(a, b), F.least(a, b)
     now = materialise(edges.where(F.col(a) != F.col(b)).select(up.alias("u"), down.alias("v")).distinct(), "edges")
+    state = lambda: now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = state()
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialise(large.where("u <> v").distinct(), "large-star")
+        large = both.join(_least(both), "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = _least(large)
         small = large.join(low, "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = materialise(small.unionByName(low.where("u <> m").select("u", F.col("m").alias("v"))).distinct(), "small-star")
-        discard(large)
+        new = materialise(small.unionByName(low.where("u <> m").select("u", F.col("m").alias("v"))).distinct(), "stars")
         discard(now)
-        now = small
-        several = now.groupBy("u").count().where("count > 1").select("u")
-        if several.unionByName(now.select("u").join(now.select(F.col("v").alias("u")), "u", "left_semi")).isEmpty():
-            break  # each node has one parent, and that is a root
+        now, last = new, before
+        before = state()
+        if before == last:
+            break
     else:
         raise RuntimeError("components: no end within the given rounds")
     roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
