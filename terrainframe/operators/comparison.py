@@ -16,10 +16,10 @@ def status(error: Column, timed_out: Column, has_geometry: Column) -> Column:
     return F.when(error, "failed").when(timed_out, "timeout").when(~has_geometry, "partial").otherwise("success")
 
 
-def pairwise(results: DataFrame, most_tools: int = 64) -> DataFrame:
+def pairwise(results: DataFrame) -> DataFrame:
     """Every ordered pair of tools at a place, from ``(place, tool, x0, y0, x1, y1)``: iou, distance_km, area_ratio.
 
-    Tools at a place are few, so the pairs of a place grow with their square only; a tool without geometry gives 0, infinity, 0.
+    The matrix is the result, so it grows with the square of a place's tools; a tool without geometry gives 0, infinity, 0.
     """
     c = F.col
     side = lambda s: results.select("place", *[c(k).alias(f"{s}_{k}") for k in ("tool", "x0", "y0", "x1", "y1")])

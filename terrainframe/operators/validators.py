@@ -80,3 +80,11 @@ def regressions(base: DataFrame, current: DataFrame, limit: float) -> DataFrame:
     pairs = base.select("metric", F.col("value").alias("was")).join(current.select("metric", F.col("value").alias("is")), "metric").where("was <> 0")
     change = (F.col("is") - F.col("was")) / F.col("was")
     return pairs.select("metric", change.alias("change"), F.when(change > 0, "up").when(change < 0, "down").otherwise("same").alias("direction"), (F.abs(change) > limit).alias("regressed"))
+
+
+def schema_rules(df: DataFrame, required: dict[str, list[str]]) -> DataFrame:
+    """column_name, rule, severity, found: required columns that are missing, or of none of the named types (any, where none is named)."""
+    kinds = dict(df.dtypes)
+    rows = [(c, "missing", "error", None) for c in required if c not in kinds]
+    rows += [(c, "type", "warning", kinds[c]) for c, allowed in required.items() if c in kinds and allowed and kinds[c] not in allowed]
+    return df.sparkSession.createDataFrame(rows, "column_name string, rule string, severity string, found string")

@@ -27,21 +27,31 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> Data
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Features of GeoJSON documents, one document a file: id in the document, type, paths, properties."""
-    raw = spark.read.text(path, wholetext=True)
-    kind = "features array<struct<type:string, geometry:struct<type:string, coordinates:string>, properties:map<string,string>>>"
-    feature = raw.select(F.posexplode(F.from_json("value", f"struct<{kind.replace(' array', ':array', 1)}>")["features"]).alias("id", "f"))
-    shape, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    """Features of GeoJSON documents, one document a file, or one Feature a line where the path ends in ``l``: id there, type, paths, properties.
+
+    A document is a FeatureCollection or one Feature. Members of a GeometryCollection are features of the same properties.
+    """
+    raw = spark.read.text(path, wholetext=not path.endswith("l"))
+    geometry = "struct<type:string,coordinates:string"
+    shape = f"{geometry},geometries:array<{geometry}>>>"
+    feature = f"type:string,geometry:{shape},properties:map<string,string>"
+    given = F.from_json("value", f"struct<{feature},features:array<struct<{feature}>>>")
+    one = F.array(F.struct(F.col("g.type").alias("type"), F.col("g.geometry").alias("geometry"), F.col("g.properties").alias("properties")))
+    features = raw.select(given.alias("g")).select(F.posexplode(F.when(F.col("g.type") == "Feature", one).otherwise(F.col("g.features"))).alias("id", "f"))
+    members = F.when(F.col("f.geometry.type") == "GeometryCollection", F.col("f.geometry.geometries")).otherwise(F.array(F.struct(F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("coordinates"))))
+    each = features.select("id", F.col("f.properties").alias("properties"), F.explode_outer(members).alias("m"))
+    kind, text = F.col("m.type"), F.col("m.coordinates")
     parse = lambda form: F.from_json(text, form)
     at = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
     path_of = lambda line: F.transform(line, at)
     paths = (
-        F.when(shape == "Point", F.array(F.array(at(parse("array<double>")))))
-        .when(shape == "LineString", F.array(path_of(parse("array<array<double>>"))))
-        .when(shape.isin("Polygon", "MultiLineString"), F.transform(parse("array<array<array<double>>>"), path_of))
-        .when(shape == "MultiPolygon", F.flatten(F.transform(parse("array<array<array<array<double>>>>"), lambda poly: F.transform(poly, path_of))))
+        F.when(kind == "Point", F.array(F.array(at(parse("array<double>")))))
+        .when(kind == "MultiPoint", F.transform(parse("array<array<double>>"), lambda p: F.array(at(p))))
+        .when(kind == "LineString", F.array(path_of(parse("array<array<double>>"))))
+        .when(kind.isin("Polygon", "MultiLineString"), F.transform(parse("array<array<array<double>>>"), path_of))
+        .when(kind == "MultiPolygon", F.flatten(F.transform(parse("array<array<array<array<double>>>>"), lambda poly: F.transform(poly, path_of))))
     )
-    return feature.select(F.col("id").cast("long").alias("id"), shape.alias("type"), paths.alias("paths"), F.col("f.properties").alias("properties"))
+    return each.select(F.col("id").cast("long").alias("id"), kind.alias("type"), paths.alias("paths"), "properties")
 
 
 def to_geojson(ring: Column, properties: dict[str, Column]) -> Column:

@@ -85,3 +85,27 @@ def test_geopackage(spark, tmp_path):
 def test_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text("ID,Area_km2\n1,2.5\n")
     assert vectors.read_csv(spark, str(tmp_path / "a.csv"), "ID string, Area_km2 double").first() == ("1", 2.5)
+
+
+def test_geojson_of_all_kinds(spark, tmp_path):
+    shapes = [
+        {"type": "Point", "coordinates": [1, 2]}, {"type": "MultiPoint", "coordinates": [[1, 2], [3, 4]]}, {"type": "MultiPolygon", "coordinates": [[[[0, 0], [1, 0], [1, 1], [0, 0]]], [[[5, 5], [6, 5], [6, 6], [5, 5]]]]},
+        {"type": "GeometryCollection", "geometries": [{"type": "Point", "coordinates": [7, 8]}, {"type": "LineString", "coordinates": [[0, 0], [1, 1]]}]}, None,
+    ]
+    whole = {"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": g, "properties": {"k": str(i)}} for i, g in enumerate(shapes)]}
+    (tmp_path / "a.geojson").write_text(json.dumps(whole))
+    rows = vectors.read_geojson(spark, str(tmp_path / "a.geojson")).collect()
+    assert sorted((r.properties["k"], r.type, len(r.paths or [])) for r in rows if r.type) == [("0", "Point", 1), ("1", "MultiPoint", 2), ("2", "MultiPolygon", 2), ("3", "LineString", 1), ("3", "Point", 1)]
+    assert [r.paths for r in rows if r.properties["k"] == "4"] == [None]
+    (tmp_path / "b.geojsonl").write_text("\n".join(json.dumps(f) for f in whole["features"][:2]))
+    lines = vectors.read_geojson(spark, str(tmp_path / "b.geojsonl")).collect()
+    assert sorted(r.type for r in lines) == ["MultiPoint", "Point"]
+
+
+def test_schema_rules(spark):
+    from terrainframe.operators import validators
+
+    df = spark.createDataFrame([(1, "a", 2.0)], "ID long, name string, area double")
+    got = [(r.column_name, r.rule) for r in validators.schema_rules(df, {"ID": ["int", "bigint"], "area": ["string"], "geom": []}).orderBy("column_name").collect()]
+    assert got == [("area", "type"), ("geom", "missing")]
+    assert validators.schema_rules(df, {"ID": []}).count() == 0
