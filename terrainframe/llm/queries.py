@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrainframe.llm import chat, decontamination, language, lines, packing, quality, resharding, secrets, simhash, token_counts
+from terrainframe.llm import chat, decontamination, language, lines, packing, quality, resharding, secrets, simhash, spelling, token_counts, whitening
 from terrainframe.llm.common import table
 
 
@@ -91,8 +91,19 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "language.lang_pred", "language.score")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.counted(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    each = F.posexplode(F.arrays_zip("whitening.whitened", "whitening.explained")).alias("at", "of")
+    told = found.select("vec_id", "whitening", each)
+    return told.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), "whitening.n", "whitening.deviation", "of.whitened", "of.explained", "whitening.identity_error")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_resharding, op2_quality_rules, op3_line_dedup, op4_packing, op5_secrets, op6_chat_windows, op7_token_counts, op8_decontamination, op9_simhash, op10_language)}
+    return {f.__name__: f for f in (op1_resharding, op2_quality_rules, op3_line_dedup, op4_packing, op5_secrets, op6_chat_windows, op7_token_counts, op8_decontamination, op9_simhash, op10_language, op11_spelling_variants, op12_embedding_whitening)}
 
 
 _QUALITY = r"""
