@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrainframe.llm import chat, decontamination, language, lines, packing, quality, resharding, secrets, simhash, spelling, token_counts, whitening
+from terrainframe.llm import chat, decontamination, language, lines, packing, quality, resharding, secrets, shingle_join, simhash, spelling, token_counts, whitening
 from terrainframe.llm.common import table
 
 
@@ -102,8 +102,12 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), "whitening.n", "whitening.deviation", "of.whitened", "of.explained", "whitening.identity_error")
 
 
+def op13_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_resharding, op2_quality_rules, op3_line_dedup, op4_packing, op5_secrets, op6_chat_windows, op7_token_counts, op8_decontamination, op9_simhash, op10_language, op11_spelling_variants, op12_embedding_whitening)}
+    return {f.__name__: f for f in (op1_resharding, op2_quality_rules, op3_line_dedup, op4_packing, op5_secrets, op6_chat_windows, op7_token_counts, op8_decontamination, op9_simhash, op10_language, op11_spelling_variants, op12_embedding_whitening, op13_shingle_join)}
 
 
 _QUALITY = r"""
@@ -137,5 +141,35 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 """
 
 
+#: The crc32 goes by half bytes through its table of sixteen entries (fixed values); words one edit apart share a word with one letter less.
+_SPELLING = r"""
+WITH RECURSIVE r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents WHERE text IS NOT NULL),
+c AS (SELECT id, w, count(*) AS n, hex(encode(id || ':' || w)) AS x FROM r WHERE length(w) >= 5 GROUP BY 1, 2),
+h AS (SELECT w, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(x) + 1, 2), lambda i: [instr('0123456789ABCDEF', substr(x, i + 1, 1)) - 1, instr('0123456789ABCDEF', substr(x, i, 1)) - 1]))),
+    lambda a, b: xor(a >> 4, [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108][(xor(a, b) & 15) + 1]))) AS h FROM c),
+s AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM s WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+cut AS (SELECT word, n, word AS k FROM v UNION SELECT word, n, substr(word, 1, i) || substr(word, i + 2) FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v)),
+p AS (SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.k = b.k AND a.word <> b.word WHERE levenshtein(a.word, b.word) = 1),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS form, max(near_n) AS form_n FROM p GROUP BY 1),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * v.n THEN form END AS form, CASE WHEN form_n >= 2 * v.n THEN form_n END AS form_n FROM v LEFT JOIN best USING (word)),
+chain AS (SELECT word, coalesce(form, word) AS at FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.at WHERE f.form IS NOT NULL),
+root AS (SELECT chain.word, chain.at AS root FROM chain JOIN f ON f.word = chain.at WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN root USING (word)
+"""
+
+_SHINGLE_JOIN = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(list_slice(w, i, i + 2), ' ') AS g FROM (SELECT rid, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY 1),
+met AS (SELECT a.rid AS a, b.rid AS b, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY 1, 2),
+link AS (SELECT a, b FROM met JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * met.n >= 90 * (x.n + y.n - met.n)),
+e AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a AS rid, a AS other FROM e UNION SELECT reach.rid, e.b FROM reach JOIN e ON e.a = reach.other),
+least AS (SELECT reach.rid, min(d.doc_id) AS least FROM reach JOIN d ON d.rid = reach.other GROUP BY 1)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least, doc_id) AS component_id FROM d LEFT JOIN n USING (rid) LEFT JOIN least USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": _QUALITY, "op8_decontamination": _DECONTAMINATION}
+    return {"op2_quality_rules": _QUALITY, "op8_decontamination": _DECONTAMINATION, "op11_spelling_variants": _SPELLING, "op13_shingle_join": _SHINGLE_JOIN}

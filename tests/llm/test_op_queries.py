@@ -19,8 +19,11 @@ HEADS = {
     "op8_decontamination": "doc_id n_words n_hit n_items items_sha256 contaminated",
     "op9_simhash": "doc_id fingerprint component_id",
     "op10_language": "doc_id held_out lang_pred score",
+    "op11_spelling_variants": "word form root n n_near form_n",
+    "op12_embedding_whitening": "vec_id component n deviation whitened explained identity_error",
+    "op13_shingle_join": "doc_id n_shingles component_id",
 }
-LONGS = "size text_crc32 slot n_words word_chars n_symbols n_dup_lines n_repeat_words start length ids_crc32 doc_tokens sequence_id offset n_assign n_access n_hex n_turns loss_chars formatted_chars n_hit n_items"
+LONGS = "size text_crc32 slot n_words word_chars n_symbols n_dup_lines n_repeat_words start length ids_crc32 doc_tokens sequence_id offset n_assign n_access n_hex n_turns loss_chars formatted_chars n_hit n_items n n_near form_n deviation n_shingles"
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +35,7 @@ def tables(spark, sf_dir, tmp_path_factory):
     docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
     docs = docs.selectExpr("*", *[f"{i} AS `{c}`" for i, c in enumerate("row h line key n bucket old size shard slot scan tokens secrets language fingerprint class part first hash doc host _key".split())])
     docs.write.parquet(str(out / "documents.parquet"))
-    for t in ("benchmark", "conversations"):
+    for t in ("benchmark", "conversations", "embeddings"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").write.parquet(str(out / f"{t}.parquet"))
     return str(out), [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
 
@@ -60,7 +63,7 @@ def test_columns_and_types(rows, name):
     assert all(types[c] == "int" for c in head if c in "shard grown_shard".split())
 
 
-@pytest.mark.parametrize("name", ["op1_resharding", "op2_quality_rules", "op3_line_dedup", "op5_secrets", "op7_token_counts", "op8_decontamination", "op9_simhash", "op10_language"])
+@pytest.mark.parametrize("name", ["op1_resharding", "op2_quality_rules", "op3_line_dedup", "op5_secrets", "op7_token_counts", "op8_decontamination", "op9_simhash", "op10_language", "op13_shingle_join"])
 def test_each_document_once(rows, tables, name):
     assert sorted(r.doc_id for r in rows(name)[2]) == sorted(d for d, _ in tables[1])
 
@@ -171,9 +174,23 @@ def test_op7_counts(rows, tables):
     assert sorted((r.doc_id, -1 if r.n_tokens is None else r.n_tokens) for r in rows("op7_token_counts")[2]) == sorted((d, -1 if t is None else model.count(t)[0]) for d, t in tables[1])
 
 
+@pytest.mark.parametrize("name", ["op2_quality_rules", "op8_decontamination", "op11_spelling_variants", "op13_shingle_join"])
+def test_same_rows_as_sql(rows, tables, name):
+    """The registered SQL over the same odd rows."""
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tables[0]}/{t}.parquet/*.parquet')")
+    columns, _, got = rows(name)
+    want = con.sql(q.oracle_sql()[name])
+    order = [want.columns.index(c) for c in columns]
+    assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, (tuple(r[i] for i in order) for r in want.fetchall())))
+
+
 @pytest.mark.parametrize("name", sorted(q.queries()))
 def test_empty_tables(spark, sf_dir, tmp_path, name):
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     left = q.queries()[name](spark, str(tmp_path)).collect()
     assert [r.conv_id for r in left] == [-7] if name == "op6_chat_windows" else not left
