@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrainframe.plans import monitoring, raster, reports, upkeep, vector  # noqa: F401
+from terrainframe.plans import monitoring, raster, reports, shapes, upkeep, vector  # noqa: F401
 from terrainframe.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "watershed_summary"

@@ -43,23 +43,52 @@ def _doubled(jumps: DataFrame) -> DataFrame:
     return jumps.join(far, ["to_row", "to_col"]).select("row", "col", F.col("far_row").alias("to_row"), F.col("far_col").alias("to_col"))
 
 
-def accumulate(flow: DataFrame, grid: Grid) -> DataFrame:
-    """row, col, acc: a cell and all cells upstream of it. Cells without a code stay 1.
+def subtree(jumps: DataFrame, values: DataFrame, sums: list[str] = (), maxima: list[str] = ()) -> DataFrame:
+    """``values`` (row, col and measures) with each measure summed, or its largest value taken, over a cell and all cells upstream of it.
 
-    The count within 2**(k + 1) steps is the count within 2**k, plus that of every cell whose 2**k-th ancestor this is.
+    ``jumps`` are the edges of a forest (row, col, to_row, to_col). What lies within 2**(k + 1) steps is what lies within 2**k, with that of every cell whose
+    2**k-th ancestor this is: a row a cell and round, in log2(longest river) rounds, however many cells lie on how many ways.
     """
-    jumps = materialise(network(flow, grid), "jumps")
-    counts = jumps.select("row", "col").union(jumps.select("to_row", "to_col")).distinct().withColumn("acc", F.lit(1).cast("long"))
+    names = [*sums, *maxima]
+    state = materialise(values.select("row", "col", *names), "subtree")
+    jumps = jumps if hasattr(jumps, "_terrainframe_path") else materialise(jumps, "jumps")
     while not jumps.isEmpty():
-        gained = jumps.join(counts, ["row", "col"]).groupBy(F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg(F.sum("acc").alias("more"))
-        new = materialise(counts.join(gained, ["row", "col"], "left").select("row", "col", (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc")), "counts")
+        target = [F.col("to_row").alias("row"), F.col("to_col").alias("col")]
+        more = [F.sum(k).alias(f"_{k}") for k in sums] + [F.max(k).alias(f"_{k}") for k in maxima]
+        gained = jumps.join(state, ["row", "col"]).groupBy(*target).agg(*more)
+        both = [(F.col(k) + F.coalesce(f"_{k}", F.lit(0))).alias(k) for k in sums] + [F.greatest(k, f"_{k}").alias(k) for k in maxima]
+        new = materialise(state.join(gained, ["row", "col"], "left").select("row", "col", *both), "subtree")
         further = materialise(_doubled(jumps), "jumps")
-        discard(counts)
+        discard(state)
         discard(jumps)
-        counts, jumps = new, further
+        state, jumps = new, further
+    return state
+
+
+def accumulate(flow: DataFrame, grid: Grid) -> DataFrame:
+    """row, col, acc: a cell and all cells upstream of it. Cells without a code stay 1."""
+    jumps = materialise(network(flow, grid), "network")
+    cells = jumps.select("row", "col").union(jumps.select("to_row", "to_col")).distinct().withColumn("acc", F.lit(1).cast("long"))
+    counts = subtree(jumps, cells, ["acc"])
     return grid.cells.select("row", "col").join(counts, ["row", "col"], "left").select("row", "col", F.coalesce("acc", F.lit(1)).cast("long").alias("acc"))
 
 
+def watershed_sums(flow: DataFrame, grid: Grid, pours: DataFrame, measured: DataFrame, sums: list[str], maxima: list[str] = ()) -> DataFrame:
+    """pour_id and measures of ``measured`` (row, col, ...) summed, or the largest, over each pour's watershed, without a row for each of its cells.
+
+    The walk's graph holds every cell that flows somewhere and every cell it flows to; a pour cell off it is alone, one off the grid has no row.
+    """
+    found = subtree(downstream(flow, grid), measured, sums, maxima)
+    inside = pours.select("pour_id", "row", "col").where(F.col("row").between(0, grid.height - 1) & F.col("col").between(0, grid.width - 1))
+    return inside.join(found, ["row", "col"]).select("pour_id", *sums, *maxima)
+
+
+def watershed_counts(flow: DataFrame, grid: Grid, pours: DataFrame, acc: DataFrame, threshold: int) -> DataFrame:
+    """pour_id, n_cells, n_stream (cells that gather at least ``threshold``), max_acc."""
+    measured = acc.select("row", "col", F.lit(1).cast("long").alias("n_cells"), (F.col("acc") >= threshold).cast("long").alias("n_stream"), F.col("acc").alias("max_acc"))
+    return watershed_sums(flow, grid, pours, measured, ["n_cells", "n_stream"], ["max_acc"])
+
+
 def hops_to_outlet(flow: DataFrame, grid: Grid) -> DataFrame:
     """row, col, hops: steps to the end of the downstream walk, for cells with a code. Ends point at themselves; jumps double."""
     down = downstream(flow, grid)
@@ -70,7 +99,9 @@ def hops_to_outlet(flow: DataFrame, grid: Grid) -> DataFrame:
         far = state.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("to_row").alias("far_row"), F.col("to_col").alias("far_col"), F.col("hops").alias("more"))
         moved = (F.col("far_row") != F.col("to_row")) | (F.col("far_col") != F.col("to_col"))
         joined = state.join(far, ["to_row", "to_col"])
-        state = materialise(joined.select("row", "col", F.col("far_row").alias("to_row"), F.col("far_col").alias("to_col"), (F.col("hops") + F.col("more")).alias("hops"), moved.alias("moved")), "hops")
+        new = materialise(joined.select("row", "col", F.col("far_row").alias("to_row"), F.col("far_col").alias("to_col"), (F.col("hops") + F.col("more")).alias("hops"), moved.alias("moved")), "hops")
+        discard(state)
+        state = new
     return state.where("hops > 0").select("row", "col", "hops")
 
 

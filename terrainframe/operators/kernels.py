@@ -133,21 +133,6 @@ def simplify(points: np.ndarray, tolerance: float) -> np.ndarray:
     return points[keep]
 
 
-def repair(p: np.ndarray) -> np.ndarray | None:
-    """A valid ring in place of a faulty one, or none: close it, drop repeats, else take the hull."""
-    issue, strategy = issue_of(p)
-    if strategy == "none":
-        return p
-    if issue in ("empty", "too_few_points", "tiny"):
-        return None
-    p = p[np.isfinite(p).all(1)]
-    if len(p) < 3:
-        return None
-    closed = p if np.array_equal(p[0], p[-1]) else np.vstack((p, p[:1]))
-    closed = closed[np.concatenate(([True], (np.diff(closed, axis=0) != 0).any(1)))]
-    return closed if issue_of(closed)[1] == "none" else hull(p)
-
-
 def edges_of(rings: list[np.ndarray]) -> np.ndarray:
     """Edges (x0, y0, x1, y1) that rise or fall, lower end first."""
     both = np.concatenate([np.hstack((r[:-1], r[1:])) for r in rings if len(r) > 1] or [np.zeros((0, 4))])

@@ -1,15 +1,12 @@
-"""Upkeep of vector layers: coordinate checks, reference systems, repairs and their statistics, nearest vertices, masks."""
+"""Upkeep of vector layers: coordinate checks, reference systems, issue statistics, nearest vertices, masks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrainframe.functions import crs
-from terrainframe.operators import joins, kernels
+from terrainframe.operators import joins
 
 #: Limits of coordinates (fixed values): of longitude, latitude and any projected value.
 LON_MOST, LAT_MOST, ANY_MOST = 180.0, 90.0, 1e8
@@ -93,24 +90,6 @@ def geodesic_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, rounds: i
     return F.transform(F.array(given), solved)[0]
 
 
-def repaired(ring: Column) -> Column:
-    """(outcome, ring): unchanged, repaired or removed, and what is left."""
-    kind = pa.struct([("outcome", pa.string()), ("ring", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))])
-
-    def one(points: list | None) -> dict:
-        p = kernels.ring_points(points)
-        if kernels.issue_of(p)[1] == "none":
-            return {"outcome": "unchanged", "ring": points}
-        new = kernels.repair(p)
-        return {"outcome": "removed", "ring": None} if new is None else {"outcome": "repaired", "ring": [{"x": float(x), "y": float(y)} for x, y in new]}
-
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for rings in batches:
-            yield pa.array([one(r) for r in rings.to_pylist()], kind)
-
-    return F.arrow_udf(run, "outcome string, ring array<struct<x:double,y:double>>")(ring)
-
-
 def issue_stats(diagnosed: DataFrame) -> DataFrame:
     """issue, strategy, n, share_pct of ``(issue, strategy)`` rows."""
     counted = diagnosed.groupBy("issue", "strategy").agg(F.count("*").alias("n"))

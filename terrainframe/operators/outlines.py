@@ -40,9 +40,9 @@ def successors(edges: DataFrame) -> DataFrame:
     return pairs.groupBy("pour_id", "edge").agg(F.max("to").alias("to")).select("pour_id", "edge", F.col("to.e").alias("next"), (F.col("to.o") != 2).alias("bend"))
 
 
-def rings(cells: DataFrame) -> DataFrame:
-    """pour_id, ring (its least edge), place (steps from there), edge, bend (whether the edge's end is a corner of the outline)."""
-    steps = materialise(successors(border_edges(cells)), "edges")
+def ring_places(steps: DataFrame) -> DataFrame:
+    """pour_id, ring (its least edge), place (steps from there), edge, bend, from ``(pour_id, edge, next, bend)``: each edge with the one that follows it."""
+    steps = materialise(steps, "edges")
     state = materialise(steps.select("pour_id", "edge", F.col("next").alias("far"), F.least("edge", "next").alias("ring")), "ring-jumps")
     while True:  # after round k a ring's name is the least of the next 2**k edges
         far = state.select("pour_id", F.col("edge").alias("far"), F.col("far").alias("further"), F.col("ring").alias("other"))
@@ -50,9 +50,11 @@ def rings(cells: DataFrame) -> DataFrame:
         new = materialise(new, "ring-jumps")
         discard(state)
         state = new.drop("moved")
+        state._terrainframe_path = new._terrainframe_path
         if new.where("moved").isEmpty():
             break
     named = materialise(steps.join(state.select("pour_id", "edge", "ring"), ["pour_id", "edge"]), "ring-edges")
+    discard(state)
     head = F.col("next") == F.col("ring")  # the edge before a ring's least edge ends the list
     state = materialise(named.select("pour_id", "edge", F.when(~head, F.col("next")).alias("far"), F.lit(1).cast("long").alias("left")), "ranks")
     while not state.where("far IS NOT NULL").isEmpty():
@@ -63,19 +65,18 @@ def rings(cells: DataFrame) -> DataFrame:
     return named.join(state.select("pour_id", "edge", "left"), ["pour_id", "edge"]).select("pour_id", "ring", (-F.col("left")).alias("place"), "edge", "bend")
 
 
-def outlines(cells: DataFrame, origin_x: float, origin_y: float, step: float) -> DataFrame:
-    """pour_id, rings (closed, outer ones counter-clockwise in world coordinates), n_outer, n_holes, n_corners, area.
+def rings(cells: DataFrame) -> DataFrame:
+    """pour_id, ring, place, edge, bend (whether the edge's end is a corner of the outline) of the outlines of ``(pour_id, row, col)`` cells."""
+    return ring_places(successors(border_edges(cells)))
 
-    Points are cell corners where the outline bends. Rings are gathered by watershed; bends, not cells or edges, travel then.
-    """
-    traced = rings(cells)
-    at = lambda axis: F.col(f"edge.{'row' if axis == 0 else 'col'}") + F.create_map(*[F.lit(x) for k, s in SIDES.items() for x in (k, s[2][axis])])[F.col("edge.side")]
-    x, y = F.lit(origin_x) + at(1) * step, F.lit(origin_y) - at(0) * step
-    corners = traced.where("bend").select("pour_id", "ring", F.struct("place", x.alias("x"), y.alias("y")).alias("p"))
+
+def gathered(corners: DataFrame) -> DataFrame:
+    """pour_id, rings (closed, outer ones counter-clockwise), n_outer, n_holes, n_corners, area, from ``(pour_id, ring, p)`` with p of place, x and y."""
     whole = corners.groupBy("pour_id", "ring").agg(F.sort_array(F.collect_list("p")).alias("p"))
     points = F.transform("p", lambda q: F.struct(q.x.alias("x"), q.y.alias("y")))
     closed = whole.select("pour_id", F.concat(points, F.slice(points, 1, 1)).alias("r"))
-    turns = F.aggregate(F.sequence(F.lit(1), F.size("r") - 1), F.lit(0.0), lambda t, i: t + F.get("r", i - 1).x * F.get("r", i).y - F.get("r", i).x * F.get("r", i - 1).y) / 2
+    origin = F.get("r", F.lit(0))  # turns around a near point keep their digits
+    turns = F.aggregate(F.sequence(F.lit(1), F.size("r") - 1), F.lit(0.0), lambda t, i: t + (F.get("r", i - 1).x - origin.x) * (F.get("r", i).y - origin.y) - (F.get("r", i).x - origin.x) * (F.get("r", i - 1).y - origin.y)) / 2
     signed = closed.withColumn("area", turns)
     return signed.groupBy("pour_id").agg(
         F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("area", "r")))), lambda q: q.r).alias("rings"), F.count_if(F.col("area") > 0).cast("int").alias("n_outer"),
@@ -83,6 +84,17 @@ def outlines(cells: DataFrame, origin_x: float, origin_y: float, step: float) ->
     )
 
 
+def outlines(cells: DataFrame, origin_x: float, origin_y: float, step: float) -> DataFrame:
+    """pour_id, rings (closed, outer ones counter-clockwise in world coordinates), n_outer, n_holes, n_corners, area.
+
+    Points are cell corners where the outline bends. Rings are gathered by watershed; bends, not cells or edges, travel then.
+    """
+    traced = rings(cells)
+    at = lambda axis: F.col(f"edge.{'row' if axis == 0 else 'col'}") + F.create_map(*[F.lit(x) for k, s in SIDES.items() for x in (k, s[2][axis])])[F.col("edge.side")]
+    x, y = F.lit(origin_x) + at(1) * step, F.lit(origin_y) - at(0) * step
+    return gathered(traced.where("bend").select("pour_id", "ring", F.struct("place", x.alias("x"), y.alias("y")).alias("p")))
+
+
 def by_angle(points: DataFrame) -> DataFrame:
     """``(pour_id, x, y)`` points in the order of their angle around their mean, as pour_id, place, x, y: right for star-shaped outlines.
 

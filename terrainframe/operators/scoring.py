@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrainframe.functions.means import exact_mean
 from terrainframe.functions.quantiles import with_quantiles
 
 #: Thresholds by terrain (fixed values): least IoU, largest centroid offset in metres; the last pair for any other terrain.
@@ -33,7 +34,7 @@ def share(condition: Column) -> Column:
 
 
 def measures() -> list[Column]:
-    return [F.count("*").alias("n"), F.avg("iou").alias("iou_mean"), F.count_if(F.col("iou").isNull()).alias("n_invalid"), share(F.col("iou").isNull()).alias("invalid_pct"), F.avg("runtime_s").alias("runtime_mean")]
+    return [F.count("*").alias("n"), exact_mean("iou").alias("iou_mean"), F.count_if(F.col("iou").isNull()).alias("n_invalid"), share(F.col("iou").isNull()).alias("invalid_pct"), exact_mean("runtime_s").alias("runtime_mean")]
 
 
 def rates() -> list[Column]:
@@ -46,7 +47,7 @@ def overall(scores: DataFrame) -> DataFrame:
 
 
 def by(scores: DataFrame, key: str) -> DataFrame:
-    found = assess(scores).groupBy(key).agg(F.count("*").alias("n"), F.avg("iou").alias("iou_mean"), *rates())
+    found = assess(scores).groupBy(key).agg(F.count("*").alias("n"), exact_mean("iou").alias("iou_mean"), *rates())
     return with_quantiles(found, scores, {"iou": {"iou_median": 0.5}}, [key])
 
 

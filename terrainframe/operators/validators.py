@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrainframe.functions.means import exact_mean
+
 #: DEM limits (fixed values).
 NODATA_ERROR, NODATA_WARN, NODATA_NOTE = 80.0, 50.0, 20.0
 ELEVATION_LEAST, ELEVATION_MOST, ALL_HIGH, FLAT_STD, RANGE_MOST = -500.0, 5000.0, 4000.0, 1.0, 6000.0
@@ -12,7 +14,7 @@ ELEVATION_LEAST, ELEVATION_MOST, ALL_HIGH, FLAT_STD, RANGE_MOST = -500.0, 5000.0
 
 def dem_stats(cells: DataFrame) -> DataFrame:
     return cells.agg(
-        F.count("*").alias("n_cells"), F.count("elev").alias("n_valid"), F.min("elev").alias("elev_min"), F.max("elev").alias("elev_max"), F.avg("elev").alias("elev_mean"),
+        F.count("*").alias("n_cells"), F.count("elev").alias("n_valid"), F.min("elev").alias("elev_min"), F.max("elev").alias("elev_max"), exact_mean("elev", 1000).alias("elev_mean"),
         F.stddev_pop("elev").alias("elev_std"), (F.avg(F.col("elev").isNotNull().cast("double")) * 100).alias("valid_pct"),
     )
 

@@ -23,7 +23,7 @@ def delineate(grid: Grid, pours: DataFrame, origin: tuple[float, float], step: f
     flow = materialise(stencil.d8(ground), "flow")
     acc = hydrology.accumulate(flow, grid)
     shed = materialise(hydrology.watersheds(flow, grid, pours), "sheds")
-    counts = shed.join(acc, ["row", "col"]).groupBy("pour_id").agg(F.count("*").alias("n_cells"), F.count_if(F.col("acc") >= threshold).alias("n_stream"))
+    counts = hydrology.watershed_counts(flow, grid, pours, acc, threshold)
     shapes = outlines.outlines(shed, *origin, step)
     outer = F.col("rings")[0]
     joined = counts.join(shapes, "pour_id").withColumns({"area_km2": F.col("n_cells") * (resolution * resolution) / 1e6, "m": g.measures(outer), "crossings": F.lit(0).cast("long")})

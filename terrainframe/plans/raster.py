@@ -154,7 +154,10 @@ def watershed_boundary(spark, sf_dir):
 
 @query(_all(_DOWN, _POURS, _SHED) + f" SELECT pour_id, count(*) AS n_cells, count(*) * {RESOLUTION * RESOLUTION} / 1e6 AS area_km2 FROM shed GROUP BY 1")
 def watershed_area(spark, sf_dir):
-    return hydrology.areas(watershed_cells(spark, sf_dir), RESOLUTION)
+    grid = bridge.grid(spark, sf_dir)
+    ones = grid.cells.select("row", "col", F.lit(1).cast("long").alias("n_cells"))
+    found = hydrology.watershed_sums(hydrology.materialise(stencil.d8(grid), "flow"), grid, _pours(spark, sf_dir, grid), ones, ["n_cells"])
+    return found.select("pour_id", "n_cells", (F.col("n_cells") * (RESOLUTION * RESOLUTION) / 1e6).alias("area_km2"))
 
 
 @query(_all(_DOWN, _POURS, _SHED, _EDGE) + f" SELECT pour_id, count(*) AS n_boundary, count(*) * {RESOLUTION} / 1000 AS perimeter_km FROM edge GROUP BY 1")
@@ -167,8 +170,7 @@ def watershed_summary(spark, sf_dir):
     """The flagship: direction, accumulation and trace of all pour points, summed by watershed."""
     grid = bridge.grid(spark, sf_dir)
     flow = hydrology.materialise(stencil.d8(grid), "flow")
-    shed = hydrology.watersheds(flow, grid, _pours(spark, sf_dir, grid)).join(hydrology.accumulate(flow, grid), ["row", "col"])
-    summed = shed.groupBy("pour_id").agg(F.count("*").alias("n_cells"), F.count_if(F.col("acc") >= STREAM).alias("n_stream"), F.max("acc").alias("max_acc"))
+    summed = hydrology.watershed_counts(flow, grid, _pours(spark, sf_dir, grid), hydrology.accumulate(flow, grid), STREAM)
     return summed.select("pour_id", "n_cells", (F.col("n_cells") * (RESOLUTION * RESOLUTION) / 1e6).alias("area_km2"), "n_stream", "max_acc")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terrainframe.functions import geometry as g
 from terrainframe.functions import text as tx
+from terrainframe.functions.means import exact_mean, exact_mean_sql
 from terrainframe.functions.quantiles import with_quantiles
 from terrainframe.operators import comparison, scoring, validators
 from terrainframe.operators import kernels as k
@@ -20,14 +21,16 @@ _C = "CASE terrain WHEN 'flat' THEN 200.0 WHEN 'moderate' THEN 500.0 WHEN 'steep
 JUDGED = f"j AS (SELECT *, {_T} AS iou_target, {_C} AS centroid_target, coalesce(iou >= {_T}, false) AS iou_pass, coalesce(centroid_m <= {_C}, false) AS centroid_pass FROM scores), judged AS (SELECT *, iou_pass AND centroid_pass AS overall_pass FROM j)"
 _RATES = "round(avg(CAST(iou_pass AS INT)) * 100, 6) AS iou_pass_pct, round(avg(CAST(centroid_pass AS INT)) * 100, 6) AS centroid_pass_pct, round(avg(CAST(overall_pass AS INT)) * 100, 6) AS overall_pass_pct"
 W = f"WITH {SCORES}, {JUDGED} "
+_IOU_MEAN = exact_mean_sql("iou")
 
 
 def scores(spark, sf_dir):
     return bridge.view(spark, sf_dir, "lineitem", bridge.SCORES)
 
 
-def rounded(df, digits=6):
-    return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+def rounded(df, digits=6, exact=()):
+    """Doubles rounded but for the columns ``exact``, which come of whole numbers and one division, so that they are the same anywhere."""
+    return df.select(*[F.round(c, digits).alias(c) if kind == "double" and c not in exact else F.col(c) for c, kind in df.dtypes])
 
 
 @query(W + "SELECT score_id, line_no, part_id, iou_target, centroid_target, iou_pass, centroid_pass, overall_pass FROM judged")
@@ -35,19 +38,19 @@ def assess_performance(spark, sf_dir):
     return scoring.assess(scores(spark, sf_dir)).select("score_id", "line_no", "part_id", "iou_target", "centroid_target", "iou_pass", "centroid_pass", "overall_pass")
 
 
-@query(W + f"SELECT count(*) AS n, round(avg(iou), 6) AS iou_mean, round(quantile_cont(iou, 0.5), 6) AS iou_median, round(quantile_cont(iou, 0.9), 6) AS iou_p90, round(quantile_cont(iou, 0.95), 6) AS iou_p95, count(*) FILTER (WHERE iou IS NULL) AS n_invalid, round(100.0 * count(*) FILTER (WHERE iou IS NULL) / count(*), 6) AS invalid_pct, round(avg(runtime_s), 6) AS runtime_mean, round(quantile_cont(runtime_s, 0.5), 6) AS runtime_median, round(quantile_cont(runtime_s, 0.95), 6) AS runtime_p95, {_RATES} FROM judged")
+@query(W + f"SELECT count(*) AS n, {_IOU_MEAN} AS iou_mean, round(quantile_cont(iou, 0.5), 6) AS iou_median, round(quantile_cont(iou, 0.9), 6) AS iou_p90, round(quantile_cont(iou, 0.95), 6) AS iou_p95, count(*) FILTER (WHERE iou IS NULL) AS n_invalid, round(100.0 * count(*) FILTER (WHERE iou IS NULL) / count(*), 6) AS invalid_pct, {exact_mean_sql("runtime_s")} AS runtime_mean, round(quantile_cont(runtime_s, 0.5), 6) AS runtime_median, round(quantile_cont(runtime_s, 0.95), 6) AS runtime_p95, {_RATES} FROM judged")
 def report_overall(spark, sf_dir):
-    return rounded(scoring.overall(scores(spark, sf_dir)))
+    return rounded(scoring.overall(scores(spark, sf_dir)), exact=("iou_mean", "runtime_mean"))
 
 
-@query(W + f"SELECT terrain, count(*) AS n, round(avg(iou), 6) AS iou_mean, round(quantile_cont(iou, 0.5), 6) AS iou_median, {_RATES} FROM judged GROUP BY 1")
+@query(W + f"SELECT terrain, count(*) AS n, {_IOU_MEAN} AS iou_mean, round(quantile_cont(iou, 0.5), 6) AS iou_median, {_RATES} FROM judged GROUP BY 1")
 def report_by_terrain(spark, sf_dir):
-    return rounded(scoring.by(scores(spark, sf_dir), "terrain"))
+    return rounded(scoring.by(scores(spark, sf_dir), "terrain"), exact=("iou_mean",))
 
 
-@query(W + f"SELECT size_class, count(*) AS n, round(avg(iou), 6) AS iou_mean, round(quantile_cont(iou, 0.5), 6) AS iou_median, {_RATES} FROM judged GROUP BY 1")
+@query(W + f"SELECT size_class, count(*) AS n, {_IOU_MEAN} AS iou_mean, round(quantile_cont(iou, 0.5), 6) AS iou_median, {_RATES} FROM judged GROUP BY 1")
 def report_by_size(spark, sf_dir):
-    return rounded(scoring.by(scores(spark, sf_dir), "size_class"))
+    return rounded(scoring.by(scores(spark, sf_dir), "size_class"), exact=("iou_mean",))
 
 
 @query(W + "SELECT round(avg(CAST(runtime_s <= 30 AS INT)) * 100, 6) AS runtime_met_pct, round(avg(CAST(iou >= 0.95 AS INT)) * 100, 6) AS iou_met_pct FROM judged")
@@ -83,20 +86,20 @@ def truth_quality(spark, sf_dir):
     return scoring.truth_quality(pairs, least=0.5).select("id", F.array_join("issues", ",").alias("issues"))
 
 
-@query(f"WITH {BASINS} SELECT segment, count(*) AS n, round(min(area_km2), 6) AS low, round(max(area_km2), 6) AS high, round(avg(area_km2), 6) AS mean, round(quantile_cont(area_km2, 0.5), 6) AS median FROM basins GROUP BY 1")
+@query(f"WITH {BASINS} SELECT segment, count(*) AS n, round(min(area_km2), 6) AS low, round(max(area_km2), 6) AS high, {exact_mean_sql("area_km2")} AS mean, round(quantile_cont(area_km2, 0.5), 6) AS median FROM basins GROUP BY 1")
 def truth_area_stats(spark, sf_dir):
     given = basins(spark, sf_dir)
-    found = given.groupBy("segment").agg(F.count("*").alias("n"), F.min("area_km2").alias("low"), F.max("area_km2").alias("high"), F.avg("area_km2").alias("mean"))
+    found = given.groupBy("segment").agg(F.count("*").alias("n"), F.min("area_km2").alias("low"), F.max("area_km2").alias("high"), exact_mean("area_km2").alias("mean"))
     found = with_quantiles(found, given, {"area_km2": {"median": 0.5}}, ["segment"])
-    return rounded(found)
+    return rounded(found, exact=("mean",))
 
 
 _DEM = bridge.sql("cells", bridge.GAPPY, "orders")
 
 
-@query(f"WITH {_DEM} SELECT count(*) AS n_cells, count(elev) AS n_valid, min(elev) AS elev_min, max(elev) AS elev_max, round(avg(elev), 4) AS elev_mean, round(stddev_pop(elev), 4) AS elev_std, round(100.0 * count(elev) / count(*), 4) AS valid_pct FROM cells")
+@query(f"WITH {_DEM} SELECT count(*) AS n_cells, count(elev) AS n_valid, min(elev) AS elev_min, max(elev) AS elev_max, {exact_mean_sql("elev", 1000)} AS elev_mean, round(stddev_pop(elev), 4) AS elev_std, round(100.0 * count(elev) / count(*), 4) AS valid_pct FROM cells")
 def dem_stats(spark, sf_dir):
-    return rounded(validators.dem_stats(bridge.grid(spark, sf_dir, True).cells), 4)
+    return rounded(validators.dem_stats(bridge.grid(spark, sf_dir, True).cells), 4, ("elev_mean",))
 
 
 @query(f"WITH {_DEM} SELECT true AS resolution_ok, 100.0 * count(elev) / count(*) >= 50 AS coverage_ok, max(elev) - min(elev) >= 10 AS range_ok, 100.0 * count(elev) / count(*) >= 50 AND max(elev) - min(elev) >= 10 AS admitted FROM cells")

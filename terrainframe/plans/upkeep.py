@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrainframe.functions import geometry as g
-from terrainframe.operators import hydrology, kernels, layers, masks, outlines, stencil, validators
+from terrainframe.operators import hydrology, kernels, layers, masks, outlines, overlay, stencil, validators
 from terrainframe.plans.raster import _ACC, _DOWN, _NET, _POURS, _SHED, RESOLUTION, STREAM, _all, _pours
 from terrainframe.plans.registry import query
 from terrainframe.plans.reports import RUNS, W, _rings, results, scores
@@ -23,11 +23,11 @@ def geometry_issue_stats(spark, sf_dir):
     return layers.issue_stats(found).withColumn("share_pct", F.round("share_pct", 6))
 
 
-@query(f"SELECT p_partkey AS id, {_OUTCOME} AS outcome, CASE WHEN {_OUTCOME} <> 'removed' THEN CAST((1.0 + p_size % 9) * (1.0 + p_size % 9) AS DOUBLE) END AS area FROM part")
+@query(f"SELECT p_partkey AS id, {_OUTCOME} AS outcome, CASE {_OUTCOME} WHEN 'removed' THEN 0.0 WHEN 'repaired' THEN (1.0 + p_size % 9) * (1.0 + p_size % 9) / 2 ELSE (1.0 + p_size % 9) * (1.0 + p_size % 9) END AS area FROM part")
 def geometry_repair(spark, sf_dir):
-    """A bow-tie becomes its hull, a flat ring goes."""
-    found = _rings(spark, sf_dir).select("id", layers.repaired(F.col("ring")).alias("r"))
-    return found.select("id", "r.outcome", F.round(g.area(F.col("r.ring")), 6).alias("area"))
+    """A bow-tie becomes its two faces, a flat ring goes."""
+    shapes = _rings(spark, sf_dir).select(F.col("id").alias("shape_id"), F.array("ring").alias("rings"))
+    return overlay.make_valid(shapes).select(F.col("shape_id").alias("id"), "outcome", F.round("area", 6).alias("area"))
 
 
 @query(f"SELECT outcome, count(*) AS n FROM (SELECT {_OUTCOME} AS outcome FROM part) GROUP BY 1")
@@ -162,7 +162,7 @@ def delineate(spark, sf_dir):
     grid = bridge.grid(spark, sf_dir)
     flow = hydrology.materialise(stencil.d8(grid), "flow")
     shed = hydrology.materialise(hydrology.watersheds(flow, grid, _pours(spark, sf_dir, grid)), "sheds")
-    counts = shed.join(hydrology.accumulate(flow, grid), ["row", "col"]).groupBy("pour_id").agg(F.count("*").alias("n_cells"), F.count_if(F.col("acc") >= STREAM).alias("n_stream"))
+    counts = hydrology.watershed_counts(flow, grid, _pours(spark, sf_dir, grid), hydrology.accumulate(flow, grid), STREAM)
     area = F.col("n_cells") * (RESOLUTION * RESOLUTION) / 1e6
     return counts.join(outlines.outlines(shed, *ORIGIN, STEP), "pour_id").select("pour_id", "n_cells", area.alias("area_km2"), "n_stream", "n_corners", (area < 0.01).alias("too_small"))
 

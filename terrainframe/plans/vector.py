@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from terrainframe.functions import classify, crs
 from terrainframe.functions import geometry as g
-from terrainframe.operators import joins, kernels, outlines, sampling
+from terrainframe.functions.means import exact_mean, exact_mean_sql
+from terrainframe.operators import joins, outlines, overlay, sampling
 from terrainframe.operators.stencil import gradient_slope
 from terrainframe.plans.raster import _all, _DOWN, _EDGE, _GX, _GY, _POURS, _SHED, watershed_boundary, watershed_cells
 from terrainframe.plans.registry import query
@@ -293,8 +294,9 @@ def polygon_iou(spark, sf_dir):
     """Concave shapes with a hole and two parts against themselves, moved."""
     c = F.col
     w, h = c("x1") - c("x0"), c("y1") - c("y0")
-    both = basins(spark, sf_dir).select("basin_id", kernels.shape_iou(_shape(c("x0") + (c("basin_id") % 4) / 2, c("y0") + (c("basin_id") % 3) / 4, w, h), _shape(c("x0"), c("y0"), w, h)).alias("o"))
-    return both.select("basin_id", F.round("o.common", 6).alias("common"), F.round("o.iou", 6).alias("iou"), "o.status")
+    moved = _shape(c("x0") + (c("basin_id") % 4) / 2, c("y0") + (c("basin_id") % 3) / 4, w, h)
+    both = basins(spark, sf_dir).select(c("basin_id").alias("shape_id"), moved.alias("predicted"), _shape(c("x0"), c("y0"), w, h).alias("truth"))
+    return overlay.iou(both).select(c("shape_id").alias("basin_id"), F.round("common", 6).alias("common"), F.round("iou", 6).alias("iou"), "status")
 
 
 def _zone_shapes(spark, sf_dir):
@@ -305,11 +307,11 @@ def _zone_shapes(spark, sf_dir):
 _INSIDE = f"""bx AS (SELECT * FROM ({_BOXES}) t(s, a, b, c, d)), zs AS (SELECT zone_id, s, x0 + a * (x1 - x0) AS a, y0 + b * (y1 - y0) AS b, x0 + c * (x1 - x0) AS c, y0 + d * (y1 - y0) AS d FROM zones CROSS JOIN bx)"""
 
 
-@query(_all(_ZONES, _INSIDE, "zz AS (SELECT zone_id, row, col, elev FROM zs JOIN cells ON col + 0.5 >= a AND col + 0.5 < c AND row + 0.5 >= b AND row + 0.5 < d GROUP BY 1, 2, 3, 4 HAVING sum(s) > 0)", gappy=True) + " SELECT zone_id, count(*) AS n_cells, count(elev) AS n_valid, round(coalesce(avg(elev), -1), 4) AS mean FROM zz GROUP BY 1")
+@query(_all(_ZONES, _INSIDE, "zz AS (SELECT zone_id, row, col, elev FROM zs JOIN cells ON col + 0.5 >= a AND col + 0.5 < c AND row + 0.5 >= b AND row + 0.5 < d GROUP BY 1, 2, 3, 4 HAVING sum(s) > 0)", gappy=True) + f" SELECT zone_id, count(*) AS n_cells, count(elev) AS n_valid, coalesce({exact_mean_sql('elev', 1000)}, -1.0) AS mean FROM zz GROUP BY 1")
 def polygon_mask_counts(spark, sf_dir):
     """Cells whose centres lie in concave zones with holes."""
     met = joins.zonal_shapes(bridge.grid(spark, sf_dir, True).cells, _zone_shapes(spark, sf_dir))
-    return met.groupBy("zone_id").agg(F.count("*").alias("n_cells"), F.count("elev").alias("n_valid"), F.round(F.coalesce(F.avg("elev"), F.lit(-1.0)), 4).alias("mean"))
+    return met.groupBy("zone_id").agg(F.count("*").alias("n_cells"), F.count("elev").alias("n_valid"), F.coalesce(exact_mean("elev", 1000), F.lit(-1.0)).alias("mean"))
 
 
 @query(_all(_ZONES, _INSIDE, POUR_POINTS, "hit AS (SELECT point_id, zone_id FROM zs JOIN pp ON px >= a AND px < c AND py >= b AND py < d GROUP BY 1, 2 HAVING sum(s) > 0)") + " SELECT point_id, zone_id FROM hit")
