@@ -7,7 +7,16 @@ from pyspark.sql import functions as F
 
 from terrainframe.tables import discard, materialise, shared_dir, table
 
-__all__ = ["discard", "let", "materialise", "shared_dir", "table"]
+__all__ = ["LONG", "discard", "forget_long", "let", "materialise", "shared_dir", "table"]
+
+#: Characters of the longest word that a memo keeps: with a bound on entries, a bound on bytes. A paragraph without blanks is one word, and hardly comes again.
+LONG = 64
+
+
+def forget_long(memo: dict, words) -> None:
+    for w in words:
+        if len(w) > LONG:
+            memo.pop(w, None)
 
 
 def let(value: Column, body) -> Column:

@@ -1,7 +1,7 @@
 """Language identification: script ranges narrow the candidates, Viterbi over per-word scores labels spans of mixed text.
 
 Model: for each learned language, log probabilities of hashed letter trigrams (words in lower case between marks), learned
-from at most ``PER_LANGUAGE`` labelled documents of each language, drawn by the hash of their ids; a word's score for a
+from at most ``PER_LANGUAGE`` labelled documents of each language, drawn by the hash of their id and text; a word's score for a
 language is the sum over its trigrams. Scripts that hold under ``SCRIPT_SHARE`` of a language's letters rule it out for all words
 with a letter of that script, unless no language is left. Labels of consecutive words are decoded by Viterbi with a fixed penalty for a
 switch; spans are its runs, and the text's language is the one whose spans hold most letters, ``score`` their share.
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrainframe.llm.common import forget_long
 from terrainframe.llm.lockstep import viterbi
 from terrainframe.llm.packing import slices
 
@@ -70,11 +71,11 @@ def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, trained: Column, per_language: int) -> DataFrame:
-    """At most about ``per_language`` rows a language, by the hash of the id; all rows of a language that has fewer."""
+    """At most about ``per_language`` rows a language, by the hash of id and text; all rows of a language that has fewer."""
     known = docs.where(trained & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(per_language / n)) for k, n in counts.items()], F.lit(0.0)) if counts else F.lit(0.0)
-    return known.where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
+    return known.where(F.pmod(F.xxhash64("i", "text"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", trained: Column | None = None, per_language: int = PER_LANGUAGE) -> dict:
@@ -128,7 +129,7 @@ class Labeller:
         return self.bars[scripts]
 
     def learn(self, words: set[str]) -> None:
-        if len(self.memo) + len(words) > MEMO:
+        if len(self.rows) + len(words) > MEMO:
             self.memo, self.rows, self.size = {}, self.rows[:0], self.size[:0]
         new = list(words.difference(self.memo))
         if not new:
@@ -144,10 +145,12 @@ class Labeller:
     def label(self, texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
         """Words of each text, numbers of words, labels and letters of all words laid end to end."""
         words = [WORD.findall(t) for t in texts]
-        self.learn(set().union(*words))
+        known = set().union(*words)
+        self.learn(known)
         get = self.memo.__getitem__
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         rows = np.fromiter((x for w in words for x in map(get, w)), np.int64, int(lengths.sum()))
+        forget_long(self.memo, known)
         busy = lengths > 0
         labels = viterbi(self.rows[rows], lengths[busy], self.change)
         return words, lengths, labels, self.size[rows]

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrainframe.llm.common import materialise
+from terrainframe.llm.common import LONG, forget_long, materialise
 
 MEMO, SLICE = 500_000, 4_000_000
 #: Characters for which chunk-wise tokenization is the same: no control or special white space, nothing the NFC form changes.
@@ -84,7 +84,7 @@ def byte_letters() -> dict[int, int]:
 class Chunks:
     """Token ids (little-endian unsigned 32 bits) of texts, through a memo of blank-separated chunks.
 
-    The memo has two generations of at most ``MEMO`` entries: what is used again moves to the young one, so frequent chunks stay.
+    The memo has two generations of at most ``MEMO`` chunks of ``LONG`` characters: what is used again moves to the young one, so frequent chunks stay.
     """
 
     def __init__(self, path: str):
@@ -100,6 +100,7 @@ class Chunks:
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.lower: dict[str, bytes] = {}
+        self.lower_new: list[str] = []
         self.ends = dict(zip(".,", self.whole([".", ","]), strict=True)) | {"": b""} if self.chunked else {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -123,6 +124,7 @@ class Chunks:
                 ids = lower.get(low)
                 if ids is None:
                     lower[low] = ids = self.word(low)
+                    self.lower_new.append(low)
                 memo[w] = ids + self.ends[end]
             else:
                 others.append(w)
@@ -138,6 +140,7 @@ class Chunks:
         ids = self.lower.get(part)
         if ids is None:
             self.lower[part] = ids = self.word(part) if part.isalpha() else self.whole([part])[0]
+            self.lower_new.append(part)
         return ids
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -157,6 +160,9 @@ class Chunks:
         out = [b"".join(map(get, w)) for w in words]
         for i, x in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
             out[i] = x
+        forget_long(self.memo, distinct)
+        forget_long(self.lower, [w for w in self.lower_new if len(w) > LONG])
+        self.lower_new.clear()
         return out
 
 

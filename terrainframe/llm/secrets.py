@@ -24,6 +24,7 @@ import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 from uuid import uuid4
 
 import numpy as np
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrainframe.llm.common import discard, forget_long, materialise
 from terrainframe.llm.lockstep import viterbi
 from terrainframe.llm.packing import slices
 
@@ -41,6 +43,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 TRAIN_DOCS, TRAIN_WINDOWS, WINDOWS_A_TEXT, AROUND, STEPS, LEAST, MEMO, SLICE = 2000, 1200, 4, 10, 100, 8, 500_000, 1_500_000
+#: Characters of a training token: what its shape tells doesn't change beyond.
+TOKEN_MOST = 400
 #: Blanks before a token belong to its match, so that places are sums of lengths; blanks at the end are a match of their own.
 TOKEN = re.compile(r"\s*+(?:[^\s\x00-\x1f!-*,:-<>-@\[-^`{-\x7f]+|\S|\Z)")
 #: A credential has letters and digits; numbers alone are left to other rules.
@@ -272,17 +276,25 @@ def fit_weights(given: list[tuple[list[str], list[int], list[int]]]) -> dict:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> dict:
-    known = docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
+    """A model of at most ``TRAIN_WINDOWS`` windows with secrets and as many without, of about ``train_docs`` documents drawn by a hash of id and text.
+
+    Windows are drawn by hash in the plan, so the driver gets no more of them, however many rows have no id or one; a window's tokens are cut to ``TOKEN_MOST`` characters.
+    """
+    text = F.col(text_col).cast("string")
+    known = docs.select(F.xxhash64(F.col(id_col).cast("string"), text).alias("h"), text.alias("text")).where(F.col("text").isNotNull())
     count = known.count()
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [x for t in batch.column(0).to_pylist() for x in windows(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.string())), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["tokens", "tags", "about"])
+            tokens = [[t[:TOKEN_MOST] for t in r[0]] for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.list_(pa.string())), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([any(r[1]) for r in rows], pa.bool_())], names=["tokens", "tags", "about", "tagged"])
 
     drawn = known.where(F.pmod("h", F.lit(1 << 24)) < F.lit(min(1.0, train_docs / max(1, count)) * (1 << 24))).select("text")
-    rows = drawn.mapInArrow(draw, "tokens array<string>, tags array<long>, about array<long>").collect()
-    given = sorted((list(r.tokens), list(r.tags), list(r.about)) for r in rows)
+    found = materialise(drawn.mapInArrow(draw, "tokens array<string>, tags array<long>, about array<long>, tagged boolean"), "training-windows")
+    some = lambda tagged: found.where(F.col("tagged") == tagged).orderBy(F.xxhash64("tokens", "tags"), "tokens", "tags", "about").limit(TRAIN_WINDOWS).collect()
+    given = sorted((list(r.tokens), list(r.tags), list(r.about)) for r in [*some(True), *some(False)])
+    discard(found)
     order = random.Random(7)
     order.shuffle(given)
     tagged, others = [x for x in given if any(x[1])], [x for x in given if not any(x[1])]
@@ -306,7 +318,7 @@ class Tagger:
         self.kind = np.zeros(1, np.int8)
 
     def learn(self, tokens: set[str]) -> None:
-        if len(self.memo) + len(tokens) > MEMO:
+        if max(len(self.memo), len(self.rows)) + len(tokens) > MEMO:
             self.clear()
         new = list(tokens.difference(self.memo))
         if not new:
@@ -336,7 +348,8 @@ class Tagger:
     def added(self, texts: list[str]) -> list[list[tuple[int, int]]]:
         """Spans of begin and inside tokens, by text."""
         found = [matches(t) for t in texts]
-        self.learn(set().union(*found))
+        known = set().union(*found)
+        self.learn(known)
         get = self.memo.__getitem__
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         out: list[list[tuple[int, int]]] = [[] for _ in texts]
@@ -347,6 +360,7 @@ class Tagger:
         inner = np.ones(len(ids), bool)
         inner[first - 1] = inner[first - 2] = inner[-1] = False
         ids[inner] = np.fromiter((x for t in found for x in map(get, t)), np.int64, int(lengths.sum()))
+        forget_long(self.memo, known)
         owner = np.repeat(np.arange(len(texts)), lengths)
         scores = self.rows[ids, 0]
         scores[1:] += self.rows[ids[:-1], 1]
@@ -381,11 +395,13 @@ class Tagger:
 
 
 def spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, int]]]:
-    """(start, kind, end): base spans, and the field's that touch none of them."""
+    """(start, kind, end): base spans, and the field's that touch none of them (the last end of those that start before it tells)."""
     out = []
     for text, more in zip(texts, tagger.added(texts), strict=True):
         base = base_spans(text)
-        out.append(sorted(base + [(a, 3, b) for a, b in more if not any(s < b and e > a for s, _, e in base)]))
+        starts, last = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
+        free = lambda a, b: not (k := bisect_left(starts, b)) or last[k - 1] <= a  # noqa: B023, E731
+        out.append(sorted(base + [(a, 3, b) for a, b in more if free(a, b)]))
     return out
 
 

@@ -10,7 +10,7 @@ Spaces become U+2581, and a text that does not begin with one gets one; every su
 (checked against the vocabulary), so a text's count is the sum over its words and each distinct word is solved once a worker. A word
 is cut first at each pair of characters that lies in no piece, in one loop; time grows with the length of a word, whatever it holds.
 
-Plan: one Arrow UDF over the text column, no shuffle. The word memo holds ``MEMO`` entries and is emptied when full.
+Plan: one Arrow UDF over the text column, no shuffle. The word memo holds ``MEMO`` words of at most ``LONG`` characters and is emptied when full.
 
 Edge cases: a null text has null count and score; an empty text has 0 pieces.
 """
@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrainframe.llm.common import forget_long
+
 MARK, UNKNOWN_PENALTY, MEMO = "▁", 10.0, 600_000
 LOWEST = float("-inf")
 
@@ -98,6 +100,7 @@ class Unigram:
             for w in new:
                 memo[w] = self.solve(w)
         found = list(map(memo.__getitem__, words))
+        forget_long(memo, new)
         return sum(n for n, _ in found), sum(s for _, s in found)
 
 
