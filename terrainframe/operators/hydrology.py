@@ -1,4 +1,4 @@
-"""Flow graphs: networks, accumulation, watersheds, depression filling.
+"""Flow graphs: networks, accumulation, watersheds.
 
 Enforced flow codes descend strictly, so the network is a forest. Fix-points over it use pointer doubling: after round k a
 cell knows its ancestor 2**k steps down, so a river of a million cells takes twenty rounds, each two joins on cell keys. Rounds
@@ -7,17 +7,18 @@ are written to the shared folder.
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrainframe.operators.fill import fill
 from terrainframe.operators.stencil import STEPS, Grid
 from terrainframe.tables import discard, materialise
 
+__all__ = [
+    "accumulate", "areas", "boundary", "downstream", "fill", "hops_to_outlet", "materialise", "network", "perimeters", "streams", "subtree",
+    "upstream_degree", "watershed_counts", "watershed_sums", "watersheds",
+]
+
 
 def downstream(flow: DataFrame, grid: Grid) -> DataFrame:
     """row, col, to_row, to_col of every cell with a code, within the grid."""
@@ -141,112 +142,3 @@ def areas(cells: DataFrame, resolution: float) -> DataFrame:
 def perimeters(edge: DataFrame, resolution: float) -> DataFrame:
     """pour_id, n_boundary, perimeter_km."""
     return edge.groupBy("pour_id").agg(F.count("*").alias("n_boundary")).withColumn("perimeter_km", F.col("n_boundary") * resolution / 1000)
-
-
-TILE = 256
-_STATE = "trow int, tcol int, z binary, w binary, h int, n int, changed boolean"
-
-
-def flood(z: np.ndarray, w: np.ndarray, ring: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """Least fill levels of a tile that has levels ``w``: from seeds at their height, and from the ring of cells around the tile at its levels.
-
-    Only cells whose level goes down are visited, so a round that tells little costs little.
-    """
-    h, n = z.shape
-    wide, ground = n + 2, np.pad(z, 1, constant_values=np.nan)
-    level = np.pad(np.where(np.isnan(z), -np.inf, w), 1, constant_values=-np.inf)
-    start = np.full(level.shape, np.inf)
-    start[1:-1, 1:-1][seeds & ~np.isnan(z)] = z[seeds & ~np.isnan(z)]
-    around = np.pad(ring, 1, constant_values=np.inf)
-    for dr, dc in STEPS.values():
-        start[1:-1, 1:-1] = np.fmin(start[1:-1, 1:-1], np.fmax(around[2 + dr : 2 + dr + h, 2 + dc : 2 + dc + n], z))
-    lower = np.flatnonzero(start < level)
-    heights, levels = ground.ravel().tolist(), level.ravel().tolist()
-    heap = []
-    for i, v in zip(lower.tolist(), start.ravel()[lower].tolist(), strict=True):
-        levels[i] = v
-        heap.append((v, i))
-    heapq.heapify(heap)
-    steps = [dr * wide + dc for dr, dc in STEPS.values()]
-    while heap:
-        at, i = heapq.heappop(heap)
-        if at > levels[i]:
-            continue
-        for step in steps:
-            j = i + step
-            if levels[j] > at:  # a cell outside has the least level of all
-                new = heights[j] if heights[j] > at else at
-                if new < levels[j]:
-                    levels[j] = new
-                    heapq.heappush(heap, (new, j))
-    out = np.array(levels).reshape(level.shape)[1:-1, 1:-1]
-    return np.where(np.isnan(z), np.nan, out)
-
-
-def fill(grid: Grid, tile: int = TILE) -> DataFrame:
-    """row, col, elev with depressions filled: the least height of the highest cell on any way to the edge or to no data.
-
-    Tiles flood their own cells; only tiles' border levels travel, to the tiles next to them, and a tile floods again only when
-    what it was told went down. Ends when no level changes: as many rounds as the worst way crosses tiles.
-    """
-    height, width = grid.height, grid.width
-    spread = F.array(*[F.struct(F.floor((F.col("row") + dr) / tile).cast("int").alias("trow"), F.floor((F.col("col") + dc) / tile).cast("int").alias("tcol")) for dr in (-1, 0, 1) for dc in (-1, 0, 1)])
-    last = ((height - 1) // tile, (width - 1) // tile)
-    haloed = grid.cells.select("row", "col", F.col("elev").cast("double").alias("elev"), F.explode(F.array_distinct(spread)).alias("t")).select("row", "col", "elev", "t.trow", "t.tcol")
-    haloed = haloed.where(F.col("trow").between(0, last[0]) & F.col("tcol").between(0, last[1]))
-
-    def start(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        tr, tc = key
-        h, n = min(tile, height - tr * tile), min(tile, width - tc * tile)
-        wide = np.full((h + 2, n + 2), np.nan)
-        wide[rows["row"] - tr * tile + 1, rows["col"] - tc * tile + 1] = rows["elev"]
-        z = wide[1:-1, 1:-1]
-        gap = np.isnan(wide)
-        seeds = np.zeros((h, n), bool)
-        for dr, dc in STEPS.values():
-            seeds |= gap[1 + dr : 1 + dr + h, 1 + dc : 1 + dc + n]
-        w = flood(z, np.full((h, n), np.inf), np.full((h + 2, n + 2), np.inf), seeds)
-        return pd.DataFrame([(tr, tc, np.ascontiguousarray(z).tobytes(), w.tobytes(), h, n, True)], columns=["trow", "tcol", "z", "w", "h", "n", "changed"])
-
-    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for t in frame.itertuples():
-                w = np.frombuffer(t.w).reshape(t.h, t.n)
-                for dr in (-1, 0, 1):
-                    for dc in (-1, 0, 1):
-                        to = (t.trow + dr, t.tcol + dc)
-                        if (dr or dc) and 0 <= to[0] <= last[0] and 0 <= to[1] <= last[1]:
-                            part = w[{-1: slice(0, 1), 0: slice(None), 1: slice(t.h - 1, None)}[dr], {-1: slice(0, 1), 0: slice(None), 1: slice(t.n - 1, None)}[dc]]
-                            out.append((*to, -dr, -dc, np.ascontiguousarray(part).tobytes()))
-            yield pd.DataFrame(out, columns=["trow", "tcol", "dr", "dc", "part"])
-
-    def again(key: tuple, tiles: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        if tiles.empty:
-            return tiles
-        t = tiles.iloc[0]
-        z, w = (np.frombuffer(t[x]).reshape(t.h, t.n) for x in ("z", "w"))
-        ring = np.full((t.h + 2, t.n + 2), np.inf)
-        for m in told.itertuples():
-            row = {-1: slice(0, 1), 0: slice(1, -1), 1: slice(t.h + 1, None)}[m.dr]
-            col = {-1: slice(0, 1), 0: slice(1, -1), 1: slice(t.n + 1, None)}[m.dc]
-            ring[row, col] = np.nan_to_num(np.frombuffer(m.part).reshape(ring[row, col].shape), nan=np.inf)
-        new = w if told.empty else flood(z, w, ring, np.zeros(z.shape, bool))
-        changed = not np.array_equal(new, w, equal_nan=True)
-        return pd.DataFrame([(t.trow, t.tcol, t.z, new.tobytes(), t.h, t.n, changed)], columns=["trow", "tcol", "z", "w", "h", "n", "changed"])
-
-    state = materialise(haloed.groupBy("trow", "tcol").applyInPandas(start, _STATE), "tiles")
-    while not state.where("changed").isEmpty():
-        told = state.where("changed").mapInPandas(send, "trow int, tcol int, dr int, dc int, part binary")
-        new = materialise(state.groupBy("trow", "tcol").cogroup(told.groupBy("trow", "tcol")).applyInPandas(again, _STATE), "tiles")
-        discard(state)
-        state = new
-
-    def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for t in frame.itertuples():
-                w = np.frombuffer(t.w).reshape(t.h, t.n)
-                r, c = np.nonzero(~np.isnan(w))
-                yield pd.DataFrame({"row": r + t.trow * tile, "col": c + t.tcol * tile, "elev": w[r, c]})
-
-    return state.mapInPandas(cells, "row long, col long, elev double")

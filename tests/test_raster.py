@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrainframe.operators import hydrology, stencil
+from terrainframe.operators import fill, hydrology, stencil
 from terrainframe.operators.stencil import STEPS, Grid
 
 
@@ -98,13 +98,49 @@ def test_accumulation_and_watersheds(spark, name):
 def test_fill(spark, name):
     z = grids()[name]
     want = spec_fill(z)
-    for tile in (256, 4):
+    for tile, most_passes in ((256, 1000), (4, 1000), (4, 0)):  # the last in Boruvka rounds on the executors
         got = np.full(z.shape, np.nan)
-        for r in hydrology.fill(grid_of(spark, z), tile).collect():
+        for r in hydrology.fill(grid_of(spark, z), tile, most_passes).collect():
             got[r.row, r.col] = r.elev
         assert np.array_equal(got, np.where(np.isnan(z), np.nan, want), equal_nan=True)
 
 
+def test_fill_graph_rounds_equal_the_driver(spark):
+    """Random graphs with ties, chains and parts without a way to the outlet."""
+    rng = np.random.default_rng(4)
+    for n, m in ((30, 60), (200, 260), (60, 59)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        if m == n - 1:
+            a, b = np.arange(m), np.arange(1, n)  # one long chain
+        keep = a != b
+        a, b, w = np.minimum(a, b)[keep], np.maximum(a, b)[keep], rng.integers(0, 12, keep.sum()).astype(float)
+        want = fill.solved(a, b, w)
+        df = spark.createDataFrame([(int(x), int(y), float(v)) for x, y, v in zip(a, b, w, strict=True)], "a long, b long, w double")
+        assert {r.basin: r.level for r in fill.basin_levels(df).collect()} == want
+
+
+def test_subtree_sums_on_a_serpentine(spark):
+    """One river through all cells, a pour point on every cell: sums come without a row a cell and pour point."""
+    height, width = 24, 25
+    code = np.full((height, width), 3)
+    code[1::2] = 7
+    code[0::2, -1] = 5
+    code[1::2, 0] = 5
+    code[-1, 0] = 0
+    cells = [(r, c) for r in range(height) for c in range(width)]
+    flow = spark.createDataFrame([(r, c, int(code[r, c])) for r, c in cells], "row long, col long, code int")
+    grid = stencil.Grid(flow.select("row", "col", F.lit(1.0).alias("elev")), height, width)
+    pours = spark.createDataFrame([(r * width + c, r, c) for r, c in cells] + [(-1, 99, 0)], "pour_id long, row long, col long")
+    acc = flow.select("row", "col", (F.col("row") * width + F.col("col")).alias("acc"))
+    got = {r.pour_id: (r.n_cells, r.n_stream, r.max_acc) for r in hydrology.watershed_counts(flow, grid, pours, acc, 300).collect()}
+    place = lambda r, c: r * width + (c if r % 2 == 0 else width - 1 - c)
+    number = {place(r, c): r * width + c for r, c in cells}
+    for r, c in cells:
+        above = [number[k] for k in range(place(r, c) + 1)]
+        assert got[r * width + c] == (len(above), sum(v >= 300 for v in above), max(above))
+    assert -1 not in got
+
+
 def test_smoothing_against_two_passes(spark):
     z = np.random.default_rng(2).random((7, 9))
     w = np.exp(-0.5 * (np.arange(-2, 3) / 0.5) ** 2)
