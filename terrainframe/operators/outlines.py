@@ -95,6 +95,24 @@ def outlines(cells: DataFrame, origin_x: float, origin_y: float, step: float) ->
     return gathered(traced.where("bend").select("pour_id", "ring", F.struct("place", x.alias("x"), y.alias("y")).alias("p")))
 
 
+def contours(cells: DataFrame) -> DataFrame:
+    """pour_id, contours (closed, by falling number of points), n_contours, n_points, longest (points of the first), area (holes taken off).
+
+    The line between inside and outside, halfway between cell centres: marching squares over ``(pour_id, row, col)`` cells, one point a side of a cell that borders
+    on the outside. At a saddle the inside stays apart. x is the column, y the row, cell centres at whole numbers.
+    """
+    traced = rings(cells)
+    step = lambda axis: F.create_map(*[F.lit(x) for k, s in SIDES.items() for x in (k, s[2][axis])])[F.col("edge.side")]
+    x, y = F.col("edge.col") + step(1) / 2 - 0.5, F.col("edge.row") + step(0) / 2 - 0.5
+    points = traced.select("pour_id", "ring", F.struct("place", x.alias("x"), y.alias("y")).alias("p"))
+    whole = points.groupBy("pour_id", "ring").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    line = F.transform("p", lambda q: F.struct(q.x.alias("x"), q.y.alias("y")))
+    closed = whole.select("pour_id", F.size("p").alias("n"), F.concat(line, F.slice(line, 1, 1)).alias("r"))
+    turns = F.aggregate(F.sequence(F.lit(1), F.size("r") - 1), F.lit(0.0), lambda t, i: t + F.get("r", i).x * F.get("r", i - 1).y - F.get("r", i - 1).x * F.get("r", i).y) / 2
+    lines = closed.withColumn("area", turns).groupBy("pour_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("n", "r")))).alias("c"), F.count("*").alias("n_contours"), F.sum("n").alias("n_points"), F.max("n").alias("longest"), F.sum("area").alias("area"))
+    return lines.select("pour_id", F.transform("c", lambda q: q.r).alias("contours"), "n_contours", "n_points", "longest", "area")
+
+
 def by_angle(points: DataFrame) -> DataFrame:
     """``(pour_id, x, y)`` points in the order of their angle around their mean, as pour_id, place, x, y: right for star-shaped outlines.
 

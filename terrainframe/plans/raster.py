@@ -42,6 +42,21 @@ def _all(*parts: str, gappy: bool = False) -> str:
     return "WITH RECURSIVE " + ", ".join([_base(gappy), _FLOW, *parts])
 
 
+_OFFSETS = "offs AS (SELECT * FROM (VALUES " + ", ".join(f"({dr}, {dc})" for dr in (-1, 0, 1) for dc in (-1, 0, 1)) + ") t(dr, dc))"
+#: The filled cells of ``raw``: all levels come down from above, round by round, until none moves.
+_FILL = f"""{_OFFSETS}, ground AS (SELECT row, col, elev AS z FROM raw WHERE elev IS NOT NULL),
+    start AS (SELECT g.row, g.col, g.z, CASE WHEN count(o.z) < 9 THEN g.z ELSE 1e300 END AS w FROM ground g CROSS JOIN offs LEFT JOIN ground o ON o.row = g.row + dr AND o.col = g.col + dc GROUP BY 1, 2, 3),
+    f AS (SELECT 0 AS it, row, col, w, true AS moved FROM start UNION ALL SELECT it + 1, row, col, w, bool_or(w < was) OVER () FROM (SELECT it, s.row, s.col, greatest(s.z, min(f.w)) AS w, min(CASE WHEN dr = 0 AND dc = 0 THEN f.w END) AS was
+        FROM f CROSS JOIN offs JOIN start s ON s.row = f.row + dr AND s.col = f.col + dc WHERE f.moved GROUP BY it, s.row, s.col, s.z)),
+    cells AS (SELECT row, col, w AS elev FROM f WHERE it = (SELECT max(it) FROM f))"""
+
+
+def _all_filled(*parts: str) -> str:
+    """As ``_all``, over the filled cells."""
+    plain = bridge.sql("cells", bridge.CELLS, "orders")
+    return "WITH RECURSIVE " + ", ".join([_base().replace(plain, f"{bridge.sql('raw', bridge.CELLS, 'orders')}, {_FILL}"), _FLOW, *parts])
+
+
 def _pours(spark, sf_dir, grid):
     """Every customer is a pour point; several may share a cell."""
     row, col = 1 + (F.col("c_custkey") * 7) % (grid.height - 2), 1 + (F.col("c_custkey") * 31) % 118
@@ -174,9 +189,8 @@ def watershed_summary(spark, sf_dir):
     return summed.select("pour_id", "n_cells", (F.col("n_cells") * (RESOLUTION * RESOLUTION) / 1e6).alias("area_km2"), "n_stream", "max_acc")
 
 
-@query()
+@query(f"WITH RECURSIVE {bridge.sql('raw', bridge.GAPPY, 'orders')}, {_FILL} SELECT row, col, elev FROM cells")
 def depression_fill(spark, sf_dir):
-    """Tests hold it against the fix-point it is defined by."""
     return hydrology.fill(bridge.grid(spark, sf_dir, gappy=True))
 
 

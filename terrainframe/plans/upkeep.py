@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from terrainframe.functions import geometry as g
 from terrainframe.operators import hydrology, kernels, layers, masks, outlines, overlay, stencil, validators
-from terrainframe.plans.raster import _ACC, _DOWN, _NET, _POURS, _SHED, RESOLUTION, STREAM, _all, _pours
+from terrainframe.plans import delineation
+from terrainframe.plans.raster import _ACC, _DOWN, _NET, _POURS, _SHED, RESOLUTION, STREAM, _all_filled, _pours
 from terrainframe.plans.registry import query
 from terrainframe.plans.reports import RUNS, W, _rings, results, scores
 from terrainframe.plans.vector import _QUADS, BASINS, LINES, ORIGIN, POINTS, STEP, basins, points
@@ -156,15 +157,13 @@ def dem_suitability(spark, sf_dir):
     return validators.dem_suitability(bridge.grid(spark, sf_dir, True).cells)
 
 
-@query(_all(_DOWN, _NET, _ACC, _POURS, _SHED, _QUADS) + f", cnt AS (SELECT pour_id, count(*) AS n_cells, count(CASE WHEN acc >= {STREAM} THEN 1 END) AS n_stream FROM shed JOIN acc USING (row, col) GROUP BY 1) SELECT n.pour_id, n_cells, n_cells * {RESOLUTION * RESOLUTION} / 1e6 AS area_km2, n_stream, q1 + q3 + 2 * qd AS n_corners, n_cells * {RESOLUTION * RESOLUTION} / 1e6 < 0.01 AS too_small FROM n JOIN cnt USING (pour_id)".replace(", cnt AS", " , cnt AS", 1))
+@query(_all_filled(_DOWN, _NET, _ACC, _POURS, _SHED, _QUADS) + f", cnt AS (SELECT pour_id, count(*) AS n_cells, count(CASE WHEN acc >= {STREAM} THEN 1 END) AS n_stream FROM shed JOIN acc USING (row, col) GROUP BY 1) SELECT n.pour_id, n_cells, n_cells * {RESOLUTION * RESOLUTION} / 1e6 AS area_km2, n_stream, q1 + q3 + 2 * qd AS n_corners, n_cells * {RESOLUTION * RESOLUTION} / 1e6 < 0.01 AS too_small FROM n JOIN cnt USING (pour_id)".replace(", cnt AS", " , cnt AS", 1))
 def delineate(spark, sf_dir):
-    """The whole chain for every pour point: direction, accumulation, trace, outline, size check."""
+    """The whole chain for every pour point: fill, direction, accumulation, trace, outline, size check."""
     grid = bridge.grid(spark, sf_dir)
-    flow = hydrology.materialise(stencil.d8(grid), "flow")
-    shed = hydrology.materialise(hydrology.watersheds(flow, grid, _pours(spark, sf_dir, grid)), "sheds")
-    counts = hydrology.watershed_counts(flow, grid, _pours(spark, sf_dir, grid), hydrology.accumulate(flow, grid), STREAM)
-    area = F.col("n_cells") * (RESOLUTION * RESOLUTION) / 1e6
-    return counts.join(outlines.outlines(shed, *ORIGIN, STEP), "pour_id").select("pour_id", "n_cells", area.alias("area_km2"), "n_stream", "n_corners", (area < 0.01).alias("too_small"))
+    found = delineation.delineate(grid, _pours(spark, sf_dir, grid), ORIGIN, STEP, RESOLUTION, threshold=STREAM)
+    n_corners = F.aggregate("rings", F.lit(0).cast("long"), lambda t, r: t + F.size(r) - 1)
+    return found.select("pour_id", "n_cells", "area_km2", "n_stream", n_corners.alias("n_corners"), F.array_contains("errors", "too_small").alias("too_small"))
 
 
 _CLASSES = "shed AS (SELECT CAST(floor(elev / 100000) AS BIGINT) AS pour_id, row, col FROM cells WHERE elev IS NOT NULL)"

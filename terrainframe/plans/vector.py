@@ -187,6 +187,24 @@ def crs_albers_roundtrip(spark, sf_dir):
     return there.select("basin_id", F.round(lon, 9).alias("lon"), F.round(lat, 9).alias("lat"))
 
 
+@query(W + f", {_LL} SELECT basin_id, round(lon, 9) AS lon, round(lat, 9) AS lat, CAST(32600 + floor((lon + 180) / 6) + 1 AS INTEGER) AS epsg FROM ll")
+def crs_utm_roundtrip(spark, sf_dir):
+    """To the zone of the place and back; tests hold control points and the meridian's arc."""
+    x, y, code = crs.utm(F.col("x0") / 20 - 120, 25 + F.col("y0") / 50)
+    there = basins(spark, sf_dir).select("basin_id", x.alias("x"), y.alias("y"), code.alias("epsg"))
+    lon, lat = crs.utm_inverse(F.col("x"), F.col("y"), F.col("epsg"))
+    return there.select("basin_id", F.round(lon, 9).alias("lon"), F.round(lat, 9).alias("lat"), "epsg")
+
+
+@query(W + ", ll AS (SELECT basin_id, x0 / 3 - 170 AS lon, y0 / 40 + 60 AS lat FROM basins) SELECT basin_id, round(lon, 8) AS lon, round(lat, 8) AS lat FROM ll")
+def crs_polar_roundtrip(spark, sf_dir):
+    """To the polar stereographic system of the north and back."""
+    x, y = crs.polar(F.col("x0") / 3 - 170, F.col("y0") / 40 + 60, 3413)
+    there = basins(spark, sf_dir).select("basin_id", x.alias("x"), y.alias("y"))
+    lon, lat = crs.polar_inverse(F.col("x"), F.col("y"), 3413)
+    return there.select("basin_id", F.round(lon, 8).alias("lon"), F.round(lat, 8).alias("lat"))
+
+
 @query(f"WITH {bridge.sql('cells', bridge.CELLS, 'orders')} SELECT row, col FROM cells")
 def affine_roundtrip(spark, sf_dir):
     x, y = crs.place_of(F.col("row"), F.col("col"), *ORIGIN, STEP)
@@ -266,6 +284,14 @@ def watershed_polygons(spark, sf_dir):
     return found.select("pour_id", "n_corners", (F.col("n_outer") - F.col("n_holes")).cast("long").alias("outer_less_holes"), F.round("area", 9).alias("area"))
 
 
+@query(_all(_DOWN, _POURS, _SHED, _QUADS, """c AS (SELECT pour_id, count(*) AS n FROM shed GROUP BY 1), i AS (SELECT a.pour_id, count(*) AS n FROM shed a JOIN shed b ON b.pour_id = a.pour_id AND abs(a.row - b.row) + abs(a.col - b.col) = 1 AND abs(a.row - b.row) <= 1 GROUP BY 1)""")
+       + " SELECT c.pour_id, 4 * c.n - coalesce(i.n, 0) AS n_points, round(c.n - (q1 + 2 * qd - q3) / 8, 6) AS area FROM c JOIN n USING (pour_id) LEFT JOIN i USING (pour_id)")
+def watershed_contours(spark, sf_dir):
+    """Lines halfway between inside and outside: a point for each side that borders on the outside, and a corner takes or gives an eighth of a cell."""
+    found = outlines.contours(watershed_cells(spark, sf_dir))
+    return found.select("pour_id", "n_points", F.round("area", 6).alias("area"))
+
+
 @query(_all(_DOWN, _POURS, _SHED, _EDGE, """m AS (SELECT pour_id, avg(col) AS cx, avg(row) AS cy FROM edge GROUP BY 1), o AS (SELECT e.pour_id, CAST(col AS DOUBLE) AS x, CAST(row AS DOUBLE) AS y, row_number() OVER (PARTITION BY e.pour_id ORDER BY round(atan2(row - cy, col - cx), 9), col, row) AS place FROM edge e JOIN m USING (pour_id)),
     s AS (SELECT pour_id, x * coalesce(lead(y) OVER w, first_value(y) OVER w) - coalesce(lead(x) OVER w, first_value(x) OVER w) * y AS cross_ FROM o WINDOW w AS (PARTITION BY pour_id ORDER BY place))""") + " SELECT pour_id, count(*) AS n_points, round(abs(sum(cross_)) / 2, 6) AS area FROM s GROUP BY 1")
 def watershed_ring_by_angle(spark, sf_dir):

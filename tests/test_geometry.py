@@ -121,6 +121,47 @@ def test_crs_round_trip_and_known_places(spark):
     assert tuple(spark.range(1).select(row, col).first()) == (-1, -1)
 
 
+def test_zones_and_polar_systems(spark):
+    """Published control points, the meridian's arc by quadrature, and round trips below a tenth of a millimetre."""
+    c = F.col
+    rows = [(-79.387139, 43.642567), (3.0, 45.0), (9.0, -33.3), (179.9999, 10.0), (5.5, 60.0), (20.0, 78.0), (44.4, 33.3), (-0.5, 0.0), (-69.3, -83.9)]
+    df = spark.createDataFrame(rows, "lon double, lat double")
+    x, y, code = crs.utm(c("lon"), c("lat"))
+    there = df.select("lon", "lat", x.alias("x"), y.alias("y"), code.alias("epsg"))
+    lon, lat = crs.utm_inverse(c("x"), c("y"), c("epsg"))
+    got = {(r.lon, r.lat): r for r in there.select("*", lon.alias("lon2"), lat.alias("lat2")).collect()}
+    assert [got[k].epsg for k in rows] == [32617, 32631, 32732, 32660, 32632, 32633, 32638, 32630, 32719]
+    assert abs(got[rows[0]].x - 630084) < 1 and abs(got[rows[0]].y - 4833438) < 1
+    assert all(abs(r.lon2 - r.lon) < 1e-9 and abs(r.lat2 - r.lat) < 1e-9 for r in got.values())
+    e2 = crs.FLAT84 * (2 - crs.FLAT84)
+    for place, sign in ((rows[1], 1), (rows[2], -1)):  # on the central meridian
+        phi = (np.arange(200_000) + 0.5) * math.radians(abs(place[1])) / 200_000
+        arc = (crs.A * (1 - e2) / (1 - e2 * np.sin(phi) ** 2) ** 1.5).mean() * math.radians(abs(place[1]))
+        r = got[place]
+        assert abs(r.x - 500_000) < 1e-6 and abs(r.y - (0.9996 * arc if sign > 0 else 1e7 - 0.9996 * arc)) < 1e-4
+    x, y = crs.polar(F.lit(44.0), F.lit(73.0), 32661)
+    r = spark.range(1).select(x.alias("x"), y.alias("y")).first()
+    assert abs(r.x - 3320416.75) < 0.01 and abs(r.y - 632668.43) < 0.01
+    x, y = crs.polar(F.lit(50.0), F.lit(-75.0), 3031)  # the published point of the system turned by 70 degrees
+    r = spark.range(1).select(x.alias("x"), y.alias("y")).first()
+    assert abs(r.x - 1255380.79) < 0.01 and abs(r.y - 1053389.56) < 0.01
+    for epsg, (pole, *_) in crs.POLAR.items():
+        far = spark.createDataFrame([(float(k * 37 % 360 - 180), pole * (60.0 + k)) for k in range(31)], "lon double, lat double")
+        x, y = crs.polar(c("lon"), c("lat"), epsg)
+        lon, lat = crs.polar_inverse(c("x"), c("y"), epsg)
+        for r in far.select("lon", "lat", x.alias("x"), y.alias("y")).select("*", lon.alias("lon2"), lat.alias("lat2")).collect():
+            assert abs(r.lat2 - r.lat) < 1e-9 and (abs(r.lat) == 90 or abs((r.lon2 - r.lon + 180) % 360 - 180) < 1e-9)
+
+
+def test_contours(spark):
+    cells = [(1, 0, 0), (2, 0, 0), (2, 1, 1), (3, 0, 0), (3, 0, 1), (3, 0, 2), (3, 1, 0), (3, 1, 2), (3, 2, 0), (3, 2, 1), (3, 2, 2)]
+    got = {r.pour_id: r for r in outlines.contours(spark.createDataFrame(cells, "pour_id long, row long, col long")).collect()}
+    assert {(p.x, p.y) for p in got[1].contours[0]} == {(0.5, 0), (0, 0.5), (-0.5, 0), (0, -0.5)} and got[1].area == 0.5 and len(got[1].contours[0]) == 5
+    assert (got[2].n_contours, got[2].n_points, got[2].longest, got[2].area) == (2, 8, 4, 1.0)  # apart at a saddle
+    assert (got[3].n_contours, got[3].n_points, got[3].longest, got[3].area) == (2, 16, 12, 8.0)
+    assert len(got[3].contours[0]) == 13
+
+
 def test_class_borders(spark):
     df = spark.createDataFrame([(float(x),) for x in (-1, 0, 5, 15, 20, 20.5, 100, 101, 500, 501)] + [(None,)], "v double")
     rows = df.select(classify.size_class_closed(F.col("v")), classify.size_class_halfopen(F.col("v")), classify.terrain_class(F.col("v"))).collect()
