@@ -17,7 +17,9 @@ A crossing is rounded by half a unit of the last digit; pieces shorter than that
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,38 +111,55 @@ def way() -> Column:
 
 
 def noded(edges: DataFrame, digits: int = DIGITS, all_pieces: bool = False) -> DataFrame:
-    """shape_id, ends (the lesser first), a, b, n: pieces that cross no other, with each owner's parity and the number of edges on them; pieces even for both are gone, unless ``all_pieces``."""
+    """shape_id, ends (the lesser first), a, b, n, net: pieces that cross no other, with each owner's parity, the number of edges on them and that of edges along them less that of
+    edges against them. Pieces even for both owners are gone, unless ``all_pieces``."""
     c = F.col
     own = materialise(edges.withColumn("e", F.monotonically_increasing_id()), "shape-edges")
     walk = own.join(cuts(own, digits), ["shape_id", "e"], "left").select("shape_id", "owner", way().alias("w"))
-    steps = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.array_sort(F.array(F.get("w", i - 1), F.get("w", i))))
-    pieces = walk.select("shape_id", "owner", F.explode(steps).alias("s")).where("s[0] <> s[1]")
+    steps = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.get("w", i - 1).alias("p"), F.get("w", i).alias("q")))
+    pieces = walk.select("shape_id", "owner", F.inline(steps)).where("p <> q")
     parity = lambda k: (F.count_if(c("owner") == k) % 2).cast("int")
-    named = pieces.select("shape_id", "owner", c("s")[0].x.alias("x0"), c("s")[0].y.alias("y0"), c("s")[1].x.alias("x1"), c("s")[1].y.alias("y1"))
-    found = named.groupBy("shape_id", *ENDS).agg(parity(0).alias("a"), parity(1).alias("b"), F.count("*").alias("n"))
+    low, high = F.least("p", "q"), F.greatest("p", "q")
+    named = pieces.select("shape_id", "owner", F.when(c("p") < c("q"), 1).otherwise(-1).alias("way"), low.x.alias("x0"), low.y.alias("y0"), high.x.alias("x1"), high.y.alias("y1"))
+    found = named.groupBy("shape_id", *ENDS).agg(parity(0).alias("a"), parity(1).alias("b"), F.count("*").alias("n"), F.sum("way").alias("net"))
     return found if all_pieces else found.where("a + b > 0")
 
 
-def sided(pieces: DataFrame) -> DataFrame:
-    """``pieces`` with la, lb, ra, rb: whether the owners lie left and right of the way from its first end to its last."""
+def _right_of(pieces: DataFrame, weights: dict[str, Column]) -> DataFrame:
+    """``pieces`` with rising, and sums of ``weights`` (columns of other pieces, named o...) over the pieces that a slanted ray from just right of its middle meets."""
     c = F.col
     own = pieces.withColumns({"h0": c("y0") + SLANT * c("x0"), "h1": c("y1") + SLANT * c("x1"), "id": F.monotonically_increasing_id()})
     own = materialise(own, "pieces")
     own = own.join(own.groupBy("shape_id").agg((2 * F.avg(F.abs(c("h1") - c("h0")))).alias("size")).where("size > 0"), "shape_id")
     low, high = F.least("h0", "h1"), F.greatest("h0", "h1")
-    bars = own.withColumn("band", F.explode(F.sequence(F.floor(low / c("size")), F.floor(high / c("size"))))).select("shape_id", "band", c("id").alias("other"), *[c(k).alias(f"o{k}") for k in ("x0", "x1", "h0", "h1", "a", "b")])
+    bars = own.withColumn("band", F.explode(F.sequence(F.floor(low / c("size")), F.floor(high / c("size"))))).select("shape_id", "band", c("id").alias("other"), *[c(k).alias(f"o{k}") for k in ("x0", "x1", "h0", "h1", "a", "b", "net")])
     mx, mh = (c("x0") + c("x1")) / 2, (c("h0") + c("h1")) / 2
     probes = own.select("shape_id", "id", mx.alias("mx"), mh.alias("mh"), F.floor(mh / c("size")).alias("band"))
     met = probes.join(bars, ["shape_id", "band"]).where((c("id") != c("other")) & (F.least("oh0", "oh1") <= c("mh")) & (c("mh") < F.greatest("oh0", "oh1")))
     right = met.where(c("ox0") + (c("mh") - c("oh0")) / (c("oh1") - c("oh0")) * (c("ox1") - c("ox0")) > c("mx"))
-    counts = right.groupBy("id").agg((F.sum("oa") % 2).alias("na"), (F.sum("ob") % 2).alias("nb"))
-    told = own.join(counts, "id", "left")
-    rising = (c("h1") > c("h0")).cast("long")  # the slanted ray from left of a rising piece passes the piece itself
-    left = lambda k: (F.coalesce(f"n{k}", F.lit(0)) + rising * c(k)) % 2 == 1
+    counts = right.groupBy("id").agg(*[F.sum(w).alias(k) for k, w in weights.items()])
+    told = own.join(counts, "id", "left").withColumn("rising", c("h1") > c("h0"))
+    return told.select("shape_id", *ENDS, "a", "b", "net", "rising", *[F.coalesce(k, F.lit(0)).alias(k) for k in weights])
+
+
+def sided(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with la, lb, ra, rb: whether the owners lie left and right of the way from its first end to its last, by the even-odd rule."""
+    c = F.col
+    told = _right_of(pieces, {"na": c("oa"), "nb": c("ob")})
+    left = lambda k: (c(f"n{k}") + c("rising").cast("long") * c(k)) % 2 == 1  # noqa: E731  a ray from left of a rising piece meets the piece itself
     out = told.select("shape_id", *ENDS, "a", "b", left("a").alias("la"), left("b").alias("lb"))
     return out.withColumns({"ra": c("la") != (c("a") == 1), "rb": c("lb") != (c("b") == 1)})
 
 
+def wound(pieces: DataFrame) -> DataFrame:
+    """``pieces`` (all of them) with la, ra: whether any ring winds around what lies left and right of them; lb and rb are false. So counter-clockwise rings make their union."""
+    c = F.col
+    told = _right_of(pieces.where("net <> 0"), {"w": F.when(c("oh1") > c("oh0"), c("onet")).otherwise(-c("onet"))})
+    upper = c("w") + F.when(c("rising"), c("net")).otherwise(-c("net"))  # on the side the ray comes from through the piece
+    la, ra = F.when(c("rising"), upper).otherwise(c("w")) != 0, F.when(c("rising"), c("w")).otherwise(upper) != 0
+    return told.select("shape_id", *ENDS, "a", "b", la.alias("la"), F.lit(False).alias("lb"), ra.alias("ra"), F.lit(False).alias("rb"))
+
+
 def boundary(sides: DataFrame, region: Region = lambda a, b: a) -> DataFrame:
     """shape_id and ends of the pieces that border a region, the region on their left."""
     c = F.col
@@ -208,6 +227,36 @@ def make_valid(shapes: DataFrame, digits: int = DIGITS) -> DataFrame:
     return told.withColumn("outcome", outcome).drop("sound", "n_given", "n_pieces", "n_most")
 
 
+def capsules(lines: DataFrame, radius: float, arcs: int = 16) -> DataFrame:
+    """shape_id, rings: around each line ``(shape_id, x0, y0, x1, y1)`` the counter-clockwise ring at ``radius`` with half circles of ``arcs`` / 2 edges at its ends; around a point a circle."""
+    c = F.col
+    turn, half = F.atan2(c("y1") - c("y0"), c("x1") - c("x0")), arcs // 2
+    arc = lambda x, y, start: F.transform(F.sequence(F.lit(0), F.lit(half)), lambda k: F.struct((c(x) + radius * F.cos(turn + start + k * (math.pi / half))).alias("x"), (c(y) + radius * F.sin(turn + start + k * (math.pi / half))).alias("y")))
+    ring = F.concat(arc("x1", "y1", -math.pi / 2), arc("x0", "y0", math.pi / 2))
+    return lines.select("shape_id", F.array(F.concat(ring, F.slice(ring, 1, 1))).alias("rings"))
+
+
+def buffered(shapes: DataFrame | None, lines: DataFrame | None, radius: float, arcs: int = 16, digits: int = DIGITS) -> DataFrame:
+    """All within ``radius`` of shapes ``(shape_id, rings)``, lines ``(shape_id, x0, y0, x1, y1)`` (a point's ends are one place) or both, as shapes with round corners of ``arcs`` edges a turn.
+
+    The union of the shape's faces with a capsule around each of its border's pieces and each line: a ring that winds around a place holds it. A radius of 0 gives the faces.
+    """
+    if radius < 0 or arcs % 4:
+        raise ValueError("the radius is 0 at least, the edges of a turn a multiple of 4")
+    parts, keys = [], []
+    if shapes is not None:
+        border = materialise(boundary(sided(noded(shape_edges(shapes, digits=digits), digits))), "buffered-border")
+        parts.append(border.select("shape_id", F.lit(0).alias("owner"), *ENDS))
+        lines = border if lines is None else border.unionByName(lines.select("shape_id", *ENDS))
+        keys.append(shapes.select("shape_id"))
+    else:
+        keys.append(lines.select("shape_id"))
+    if radius > 0:
+        parts.append(shape_edges(capsules(lines, radius, arcs), digits=digits))
+    found = traced(boundary(wound(noded(reduce(DataFrame.unionByName, parts), digits, all_pieces=True))))
+    return _whole(reduce(DataFrame.unionByName, keys).distinct(), found)
+
+
 def pair_sides(pairs: DataFrame, a: str = "a", b: str = "b", digits: int = DIGITS) -> DataFrame:
     """The sided pieces of ``(shape_id, a, b)``, two shapes a row; written, as each region reads them."""
     edges = shape_edges(pairs, a, 0, digits).unionByName(shape_edges(pairs, b, 1, digits))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
+from terrainframe.functions import geometry as g
 from terrainframe.operators import joins, overlay, predicates
 from terrainframe.plans.registry import query
 from terrainframe.plans.vector import _QUADS, BASINS, _shape, basins
@@ -120,3 +123,24 @@ def truth_pick_shapes(spark, sf_dir):
     """One catchment a point, by the rules of the pick, over polygons."""
     found = truth_candidates_shapes(spark, sf_dir).withColumnRenamed("zone_id", "catchment_id")
     return joins.truth_pick(found).select("point_id", "catchment_id", "method")
+
+
+#: Radius and edges a turn of the buffers, and the area of their corner circle.
+REACH, ARCS = 1.5, 16
+_CIRCLE = f"{ARCS / 2 * REACH * REACH!r} * sin({2 * math.pi / ARCS!r})"
+
+
+@query(f"WITH {BASINS} SELECT basin_id AS shape_id, round((x1 - x0) * (y1 - y0) + {2 * REACH} * (x1 - x0 + y1 - y0) + {_CIRCLE}, 6) AS area FROM basins")
+def buffered_basins(spark, sf_dir):
+    """Boxes with everything nearby: box, sides and a circle in four parts."""
+    c = F.col
+    rings = F.array(g.box_ring(c("x0"), c("y0"), c("x1"), c("y1")))
+    found = overlay.buffered(basins(spark, sf_dir).select(c("basin_id").alias("shape_id"), rings.alias("rings")), None, REACH, ARCS)
+    return found.select("shape_id", F.round("area", 6).alias("area"))
+
+
+@query(f"WITH {bridge.sql('flowlines', bridge.FLOWLINES, 'part')} SELECT line_id AS shape_id, round({2 * REACH} * sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) + {_CIRCLE}, 6) AS area FROM flowlines")
+def buffered_lines(spark, sf_dir):
+    """Flowlines, some of them points, with everything nearby."""
+    lines = bridge.view(spark, sf_dir, "part", bridge.FLOWLINES).withColumnRenamed("line_id", "shape_id")
+    return overlay.buffered(None, lines, REACH, ARCS).select("shape_id", F.round("area", 6).alias("area"))

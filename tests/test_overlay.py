@@ -109,6 +109,33 @@ def test_pairs_without_a_common_area(spark):
     assert related[5] == related[6] == (False,) * 4 and related[12] == (True, False, False, False)
 
 
+def test_buffers_against_formulas(spark):
+    """Steiner's formula for a convex shape, a hole that closes, lines that cross, a point, and shapes that meet only when buffered."""
+    n, r = 64, 0.5
+    circle = n / 2 * r * r * np.sin(2 * np.pi / n)
+    shapes = {
+        1: ([box(0, 0, 4, 3)],), 2: ([box(0, 0, 9, 9), box(4, 4, 4.5, 4.5)],), 3: ([box(0, 0, 9, 9), box(3, 3, 6, 6)],), 4: ([box(0, 0, 1, 1), box(1.5, 0, 2.5, 1)],),
+        5: ([[(0, 0), (2, 2), (2, 0), (0, 2), (0, 0)]],), 6: ([],),
+    }
+    out = {x.shape_id: x for x in overlay.buffered(shapes_of(spark, shapes), None, r, n).collect()}
+    assert abs(out[1].area - (12 + 14 * r + circle)) < 1e-9 and out[1].n_outer == 1 and out[1].n_holes == 0
+    assert abs(out[2].area - (81 + 36 * r + circle)) < 1e-9 and out[2].n_holes == 0
+    assert abs(out[3].area - (81 + 36 * r + circle - 4)) < 1e-9 and out[3].n_holes == 1
+    assert out[4].n_outer == 1 and 2.5 + 7 * r + circle - 0.25 < out[4].area < 2.5 + 7 * r + circle  # but for a notch above and below the gap
+    assert out[5].n_outer == 1 and out[6].area == 0
+    lines = spark.createDataFrame([(1, 0.0, 0.0, 3.0, 4.0), (2, 1.0, 1.0, 1.0, 1.0), (3, -2.0, 0.0, 2.0, 0.0), (3, 0.0, -2.0, 0.0, 2.0), (4, 0.0, 0.0, 1.0, 0.0), (4, 1.0, 0.0, 2.0, 0.0)], "shape_id long, x0 double, y0 double, x1 double, y1 double")
+    out = {x.shape_id: x for x in overlay.buffered(None, lines, r, n).collect()}
+    assert abs(out[1].area - (10 * r + circle)) < 1e-6 and abs(out[2].area - circle) < 1e-6
+    assert abs(out[3].area - (2 * (8 * r + circle) - 1)) < 1e-6 and out[3].n_outer == 1  # a cross: the middle counts once
+    assert abs(out[4].area - (4 * r + circle)) < 1e-6
+    rng = np.random.default_rng(7)
+    where = rng.uniform(-3, 3, (400_000, 2))
+    near = (np.hypot(np.maximum(np.abs(where[:, 0]) - 2, 0), where[:, 1]) <= r) | (np.hypot(where[:, 0], np.maximum(np.abs(where[:, 1]) - 2, 0)) <= r)
+    assert abs(out[3].area - 36 * near.mean()) < 0.15
+    with pytest.raises(ValueError, match="radius"):
+        overlay.buffered(None, lines, -1.0)
+
+
 def test_empty_table(spark):
     assert overlay.make_valid(shapes_of(spark, {1: ([box(0, 0, 1, 1)],)}).limit(0)).count() == 0
 
