@@ -53,7 +53,7 @@ def shape_edges(shapes: DataFrame, rings: str = "rings", owner: int = 0, digits:
     return closed.select("shape_id", pairs).select("shape_id", F.lit(owner).alias("owner"), *ends).where("x0 <> x1 OR y0 <> y1")
 
 
-def _buckets(edges: DataFrame) -> DataFrame:
+def buckets(edges: DataFrame) -> DataFrame:
     """A row for each bucket (bx, by) that an edge passes through; a bucket is twice the shape's mean edge wide."""
     c = F.col
     sizes = edges.groupBy("shape_id").agg((2 * F.avg(F.greatest(F.abs(c("x1") - c("x0")), F.abs(c("y1") - c("y0"))))).alias("size"))
@@ -80,7 +80,7 @@ def _off(p: str, q: str, at: tuple[str, str]) -> Column:
 def cuts(edges: DataFrame, digits: int = DIGITS, between: bool = False) -> DataFrame:
     """shape_id, e, cuts: the places inside edges (with their id e) where others cross, touch or end; with ``between`` only those of owner 0 and owner 1 with each other."""
     c = F.col
-    met = _buckets(edges)
+    met = buckets(edges)
     once = (c("a.owner") == 0) & (c("b.owner") == 1) if between else c("a.e") < c("b.e")
     met = met.alias("a").join(met.alias("b"), (c("a.shape_id") == c("b.shape_id")) & (c("a.bx") == c("b.bx")) & (c("a.by") == c("b.by")) & once)
     near = 2.0 * 10**-digits

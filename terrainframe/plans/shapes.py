@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from terrainframe.functions import geometry as g
-from terrainframe.operators import joins, overlay, predicates
+from terrainframe.operators import joins, overlay, predicates, validity
 from terrainframe.plans.registry import query
 from terrainframe.plans.vector import _QUADS, BASINS, _shape, basins
 from terrainframe.sources import bridge
@@ -144,3 +144,38 @@ def buffered_lines(spark, sf_dir):
     """Flowlines, some of them points, with everything nearby."""
     lines = bridge.view(spark, sf_dir, "part", bridge.FLOWLINES).withColumnRenamed("line_id", "shape_id")
     return overlay.buffered(None, lines, REACH, ARCS).select("shape_id", F.round("area", 6).alias("area"))
+
+
+_FAULT = "CASE c_custkey % 9 WHEN 1 THEN 'self_crossing' WHEN 2 THEN 'rings_cross' WHEN 3 THEN 'repeated_edge' WHEN 4 THEN 'hole_outside' WHEN 5 THEN 'hole_nested' WHEN 6 THEN 'not_closed' WHEN 7 THEN 'not_finite' END"
+#: Where the fault is, in parts of the box's width and height; null for point faults.
+_WHERE = {"x": "CASE c_custkey % 9 WHEN 1 THEN 0.5 WHEN 2 THEN 0.5 WHEN 3 THEN 1.0 WHEN 4 THEN 1.375 WHEN 5 THEN 0.4375 END", "y": "CASE c_custkey % 9 WHEN 1 THEN 0.5 WHEN 2 THEN 1.0 WHEN 3 THEN 0.5 WHEN 4 THEN 0.0 WHEN 5 THEN 0.375 END"}
+
+
+@query(f"WITH {BASINS} SELECT basin_id AS shape_id, {_FAULT} IS NULL AS valid, {_FAULT} AS rule, round(x0 + {_WHERE['x']} * (x1 - x0), 6) AS x, round(y0 + {_WHERE['y']} * (y1 - y0), 6) AS y FROM basins JOIN customer ON c_custkey = basin_id")
+def shape_validity(spark, sf_dir):
+    """Basins with a hole, each kind of fault put into some of them: the rule and the place it is found at."""
+    c, k = F.col, F.col("basin_id") % 9
+    x, y, w, h = c("x0"), c("y0"), c("x1") - c("x0"), c("y1") - c("y0")
+    ring = lambda *ps: F.array(*[F.struct((x + a * w).alias("x"), (y + b * h).alias("y")) for a, b in ps])
+    square = lambda a, b, p, q: ring((a, b), (p, b), (p, q), (a, q), (a, b))
+    shell, hole = square(0, 0, 1, 1), square(0.25, 0.25, 0.75, 0.75)
+    nan = F.array(F.struct(F.lit(float("nan")).alias("x"), y.alias("y")))
+    rings = (
+        F.when(k == 1, F.array(ring((0, 0), (1, 1), (1, 0), (0, 1), (0, 0)))).when(k == 2, F.array(shell, square(0.5, 0.5, 0.75, 1.5)))
+        .when(k == 3, F.array(ring((0, 0), (1, 0), (1, 0.5), (1.5, 0.5), (1, 0.5), (1, 1), (0, 1), (0, 0)))).when(k == 4, F.array(shell, square(1.25, 0, 1.5, 0.25)))
+        .when(k == 5, F.array(shell, hole, square(0.375, 0.375, 0.5, 0.5))).when(k == 6, F.array(F.slice(shell, 1, 4), hole)).when(k == 7, F.array(F.concat(F.slice(shell, 1, 2), nan, F.slice(shell, 3, 3)), hole)).otherwise(F.array(shell, hole))
+    )
+    found = validity.validity(basins(spark, sf_dir).select(c("basin_id").alias("shape_id"), rings.alias("rings")))
+    return found.select("shape_id", "valid", "rule", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+_UPRIGHT = ", ".join(f"{{'x': {x}, 'low': least({p}, {q}), 'high': greatest({p}, {q})}}" for x, p, q in ((_walk(0)[0][k], _walk(0)[1][k - 1], _walk(0)[1][k]) for k in range(TURNS)))
+_LEVEL = ", ".join(f"{{'y': {y}, 'low': least({p}, {q}), 'high': greatest({p}, {q})}}" for y, p, q in ((_walk(0)[1][k], _walk(0)[0][k], _walk(0)[0][(k + 1) % TURNS]) for k in range(TURNS)))
+
+
+@query(f"SELECT c_custkey AS shape_id, count(*) FILTER (WHERE v.low < h.y AND h.y < v.high AND h.low < v.x AND v.x < h.high) AS n FROM (SELECT c_custkey, unnest([{_UPRIGHT}]) AS v FROM customer) JOIN (SELECT c_custkey, unnest([{_LEVEL}]) AS h FROM customer) USING (c_custkey) GROUP BY 1")
+def shape_crossings(spark, sf_dir):
+    """How often the edges of a ring cross inside both."""
+    shapes = bridge.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("shape_id"), _ring(0).alias("rings"))
+    found = validity.crossings(validity.ring_edges(shapes)).groupBy("shape_id").agg(F.count("*").alias("n"))
+    return shapes.select("shape_id").join(found, "shape_id", "left").select("shape_id", F.coalesce("n", F.lit(0)).alias("n"))

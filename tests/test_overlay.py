@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from terrainframe.operators import joins, kernels, overlay, predicates
+from terrainframe.operators import joins, kernels, overlay, predicates, validity
 
 RING = "array<struct<x:double,y:double>>"
 
@@ -136,6 +136,25 @@ def test_buffers_against_formulas(spark):
         overlay.buffered(None, lines, -1.0)
 
 
+def test_faults_and_their_places(spark):
+    shell, hole = box(0, 0, 8, 8), box(2, 2, 6, 6)
+    shapes = {
+        1: ([shell, hole],), 2: ([],), 3: (None,), 4: ([shell, []],), 5: ([[(0, 0), (1, 1), (0, 0)]],), 6: ([[(0, 0), (8, 8), (8, 0), (0, 8), (0, 0)]],), 7: ([shell, box(5, 5, 9, 7)],),
+        8: ([shell, box(9, 9, 10, 10)],), 9: ([shell, hole, box(3, 3, 4, 4)],), 10: ([shell, shell],), 11: ([[(0, 0), (4, 0), (4, 4), (0, 4)]],), 12: ([[(0, 0), (4, 0), (float("inf"), 4), (4, 4), (0, 0)]],),
+        13: ([[(0, 0), (2, 0), (2, 2), (4, 2), (4, 4), (2, 4), (2, 2), (0, 2), (0, 0)]],), 14: ([shell, [(0, 4), (2, 3), (2, 5), (0, 4)]],), 15: ([[(0, 0), (3, 0), (1, 0), (0, 0)]],),
+    }
+    df = shapes_of(spark, shapes)
+    got = {r.shape_id: (r.rule, r.x, r.y) for r in validity.validity(df).collect()}
+    none = (None, None)
+    assert got == {
+        1: (None, *none), 2: ("empty", *none), 3: ("empty", *none), 4: ("too_few_points", *none), 5: ("too_few_points", *none), 6: ("self_crossing", 4, 4), 7: ("rings_cross", 8, 5),
+        8: ("hole_outside", 9.5, 9), 9: ("hole_nested", 3.5, 3), 10: ("repeated_edge", 0, 0), 11: ("not_closed", *none), 12: ("not_finite", *none),
+        13: (None, *none), 14: (None, *none), 15: ("repeated_edge", 0, 0),
+    }
+    every = {(r.shape_id, r.rule): r.n for r in validity.faults(df).collect()}
+    assert every[7, "rings_cross"] == 2 and every[10, "repeated_edge"] == 4 and every[10, "no_area"] == 1 and every[15, "no_area"] == 1
+
+
 def test_empty_table(spark):
     assert overlay.make_valid(shapes_of(spark, {1: ([box(0, 0, 1, 1)],)}).limit(0)).count() == 0
 
