@@ -96,12 +96,18 @@ def issue_stats(diagnosed: DataFrame) -> DataFrame:
     return counted.join(F.broadcast(diagnosed.agg(F.count("*").alias("total")))).select("issue", "strategy", "n", (100 * F.col("n") / F.col("total")).alias("share_pct"))
 
 
-def nearest_vertex(points: DataFrame, lines: DataFrame, within: float, size: float = 16.0) -> DataFrame:
-    """point_id, line_id, x, y, d: the nearest end of a line ``(line_id, x0 .. y1)`` within reach of ``(point_id, px, py)``; ties by line and place."""
+def vertices(lines: DataFrame) -> DataFrame:
+    """line_id, x, y: all points of lines ``(line_id, path)`` (an array of points), or the ends of ``(line_id, x0 .. y1)``."""
     c = F.col
-    ends = lines.select("line_id", F.explode(F.array(F.struct(c("x0").alias("x"), c("y0").alias("y")), F.struct(c("x1").alias("x"), c("y1").alias("y")))).alias("p")).select("line_id", "p.x", "p.y")
-    wide = joins.bucketed(ends, c("x") - within, c("y") - within, c("x") + within, c("y") + within, size)
-    met = points.withColumns({"_bx": F.floor(c("px") / size), "_by": F.floor(c("py") / size)}).join(wide, ["_bx", "_by"])
+    ends = c("path") if "path" in lines.columns else F.array(F.struct(c("x0").alias("x"), c("y0").alias("y")), F.struct(c("x1").alias("x"), c("y1").alias("y")))
+    return lines.select("line_id", F.explode(ends).alias("p")).select("line_id", "p.x", "p.y")
+
+
+def nearest_vertex(points: DataFrame, lines: DataFrame, within: float) -> DataFrame:
+    """point_id, line_id, x, y, d: the nearest vertex of a line within reach of ``(point_id, px, py)``; ties by line and place."""
+    c = F.col
+    boxes = vertices(lines).withColumns({"bx0": c("x"), "by0": c("y"), "bx1": c("x"), "by1": c("y")})
+    met = joins.overlapping(joins.around(points, within), boxes)
     d = F.sqrt((c("px") - c("x")) * (c("px") - c("x")) + (c("py") - c("y")) * (c("py") - c("y")))
     best = met.withColumn("d", d).where(c("d") <= within).groupBy("point_id").agg(F.min(F.struct("d", "line_id", "x", "y")).alias("b"))
     return best.select("point_id", "b.line_id", "b.x", "b.y", "b.d")

@@ -58,11 +58,13 @@ def write_features(df: DataFrame, path: str, rings: str, properties: list[str])
     df.select(shape_feature(F.col(rings), {p: F.col(f"`{p}`") for p in properties}).alias("value")).write.text(path)
 
 
-def summary(title: str, grouped: DataFrame) -> str:
-    """A grouped table, already small, as aligned text lines."""
-    rows = [[*map(str, grouped.columns)], *[["" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v) for v in r] for r in grouped.collect()]]
+def summary(title: str, grouped: DataFrame, most: int = 1000) -> str:
+    """The first ``most`` rows of a grouped table as aligned text lines; a last line says so if there are more."""
+    taken = grouped.limit(most + 1).collect()
+    more, taken = len(taken) > most, taken[:most]
+    rows = [[*map(str, grouped.columns)], *[["" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v) for v in r] for r in taken]]
     wide = [max(len(r[k]) for r in rows) for k in range(len(rows[0]))]
-    return "\n".join([title, "=" * len(title), *("  ".join(x.ljust(w) for x, w in zip(r, wide, strict=True)).rstrip() for r in rows)]) + "\n"
+    return "\n".join([title, "=" * len(title), *("  ".join(x.ljust(w) for x, w in zip(r, wide, strict=True)).rstrip() for r in rows), *["..."] * more]) + "\n"
 
 
 def points_from(df: DataFrame, lon: str, lat: str) -> DataFrame:
