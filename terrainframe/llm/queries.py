@@ -141,7 +141,8 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 """
 
 
-#: The crc32 goes by half bytes through its table of sixteen entries (fixed values); words one edit apart share a word with one letter less.
+#: The crc32 goes by half bytes through its table of sixteen entries (fixed values); words one edit apart share a word
+#: with one letter less (of unlike lengths that is enough, else just one letter differs; by code points, as SQL's own distance counts bytes).
 _SPELLING = r"""
 WITH RECURSIVE r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents WHERE text IS NOT NULL),
 c AS (SELECT id, w, count(*) AS n, hex(encode(id || ':' || w)) AS x FROM r WHERE length(w) >= 5 GROUP BY 1, 2),
@@ -150,7 +151,7 @@ h AS (SELECT w, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
 s AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
 v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM s WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
 cut AS (SELECT word, n, word AS k FROM v UNION SELECT word, n, substr(word, 1, i) || substr(word, i + 2) FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v)),
-p AS (SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.k = b.k AND a.word <> b.word WHERE levenshtein(a.word, b.word) = 1),
+p AS (SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.k = b.k AND a.word <> b.word WHERE length(a.word) <> length(b.word) OR len(list_filter(range(1, length(a.word) + 1), lambda i: substr(a.word, i, 1) <> substr(b.word, i, 1))) = 1),
 best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS form, max(near_n) AS form_n FROM p GROUP BY 1),
 f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * v.n THEN form END AS form, CASE WHEN form_n >= 2 * v.n THEN form_n END AS form_n FROM v LEFT JOIN best USING (word)),
 chain AS (SELECT word, coalesce(form, word) AS at FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.at WHERE f.form IS NOT NULL),
