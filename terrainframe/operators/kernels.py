@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,16 +53,46 @@ def shoelace(p: np.ndarray) -> float:
     return float(abs(np.dot(p[:-1, 0], p[1:, 1]) - np.dot(p[1:, 0], p[:-1, 1])) / 2)
 
 
-def _over_rings(kind: str, type_: pa.DataType, f):
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for rings in batches:
-            yield pa.array([f(ring_points(r)) for r in rings.to_pylist()], type_)
+#: Rings of up to so many points are taken together, all of one length; pairs of edges worked on at once.
+SHORT_RING, PAIRS_AT_ONCE = 64, 1 << 20
+
+
+def _by_length(rings: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of rings in the batch, and their points (ring, point, axis): all rings of one length, or a long one alone."""
+    n = pc.fill_null(pc.list_value_length(rings), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = rings.flatten()
+    points = np.stack([pc.struct_field(flat, k).to_numpy(zero_copy_only=False).astype(float) for k in ("x", "y")], axis=1)
+    start = np.cumsum(n) - n
+    for k in np.unique(n):
+        of = np.flatnonzero(n == k)
+        step = 1 if k > SHORT_RING else max(1, PAIRS_AT_ONCE // max(1, k * k))
+        for i in range(0, len(of), step):
+            mine = of[i : i + step]
+            yield mine, points[start[mine, None] + np.arange(k)]
 
-    return F.arrow_udf(run, kind)
+
+def crossings_each(points: np.ndarray) -> np.ndarray:
+    """``crossings`` of rings (ring, point, axis) of one length."""
+    n = points.shape[1] - 1
+    if n < 4 or n >= SHORT_RING:
+        return np.array([crossings(p) for p in points], np.int64)
+    i, j = np.triu_indices(n, 2)
+    i, j = (k[~((i == 0) & (j == n - 1))] for k in (i, j))
+    a, b, p, q = (points[:, k].reshape(-1, 2) for k in (i, i + 1, j, j + 1))
+    touch = ((np.minimum(a, b) <= np.maximum(p, q)) & (np.minimum(p, q) <= np.maximum(a, b))).all(1)
+    proper = touch & (turn(a, p, q) != turn(b, p, q)) & (turn(a, b, p) != turn(a, b, q))
+    return proper.reshape(len(points), -1).sum(1)
 
 
 def self_intersections(ring: Column) -> Column:
-    return _over_rings("long", pa.int64(), crossings)(ring)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for rings in batches:
+            out = np.zeros(len(rings), np.int64)
+            for mine, points in _by_length(rings):
+                out[mine] = crossings_each(points)
+            yield pa.array(out)
+
+    return F.arrow_udf(run, "long")(ring)
 
 
 #: Limits of the diagnosis (fixed values): length over area of a thin shape, least area, least and largest length.
@@ -92,9 +123,34 @@ def issue_of(p: np.ndarray) -> tuple[str, str]:
     return "valid", "none"
 
 
+def issues_each(points: np.ndarray) -> list[tuple[str, str]]:
+    """``issue_of`` of rings (ring, point, axis) of one length."""
+    n = points.shape[1]
+    if n < 4 or n > SHORT_RING:
+        return [issue_of(p) for p in points]
+    x, y = points[..., 0], points[..., 1]
+    with np.errstate(all="ignore"):
+        area = np.abs((x[:, :-1] * y[:, 1:]).sum(1) - (x[:, 1:] * y[:, :-1]).sum(1)) / 2
+        length = np.hypot(np.diff(x), np.diff(y)).sum(1)
+        i, j = np.triu_indices(n - 1, 1)
+        rules = [  # in the order of issue_of, the first that holds
+            (~np.isfinite(points).all((1, 2)), ("invalid_coordinates", "remove")), ((points[:, 0] != points[:, -1]).any(1), ("not_closed", "close_ring")),
+            (crossings_each(points) > 0, ("self_intersection", "buffer_fix")), ((length < SHORT) | (area < TINY), ("tiny", "remove")), (length > LONG, ("very_long", "simplify")),
+            (length / area > THIN, ("thin", "simplify")), ((points[:, i] == points[:, j]).all(2).any(1), ("repeated_point", "make_valid")), (np.ones(len(points), bool), ("valid", "none")),
+        ]
+    which = np.argmax([holds for holds, _ in rules], axis=0)
+    return [rules[k][1] for k in which]
+
+
 def diagnose(ring: Column) -> Column:
-    kind = pa.struct([("issue", pa.string()), ("strategy", pa.string())])
-    return _over_rings("issue string, strategy string", kind, lambda p: dict(zip(("issue", "strategy"), issue_of(p), strict=True)))(ring)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for rings in batches:
+            out = np.empty((len(rings), 2), object)
+            for mine, points in _by_length(rings):
+                out[mine] = issues_each(points)
+            yield pa.StructArray.from_arrays([pa.array(out[:, 0], pa.string()), pa.array(out[:, 1], pa.string())], ["issue", "strategy"])
+
+    return F.arrow_udf(run, "issue string, strategy string")(ring)
 
 
 def hull(points: np.ndarray) -> np.ndarray:
