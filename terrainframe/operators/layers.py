@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrainframe.functions import crs
 from terrainframe.operators import joins
+from terrainframe.tables import dealt
 
 #: Limits of coordinates (fixed values): of longitude, latitude and any projected value.
 LON_MOST, LAT_MOST, ANY_MOST = 180.0, 90.0, 1e8
@@ -130,5 +131,5 @@ def window_of(cells: DataFrame, row0: int, col0: int, height: int, width: int) -
 
 def split_samples(samples: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Samples ``(id, ...)`` that have a truth, and those that failed, for the error table."""
-    ids = truth.select("id").distinct()
+    samples, ids = dealt(samples, "id"), dealt(truth.select("id"), "id").distinct()
     return samples.join(ids, "id", "left_semi"), samples.join(ids, "id", "left_anti")
