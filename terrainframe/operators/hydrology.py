@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from terrainframe.operators.fill import fill
 from terrainframe.operators.stencil import STEPS, Grid
-from terrainframe.tables import discard, materialise
+from terrainframe.tables import discard, materialise, written
 
 __all__ = [
     "accumulate", "areas", "boundary", "downstream", "fill", "hops_to_outlet", "materialise", "network", "perimeters", "streams", "subtree",
@@ -51,15 +51,15 @@ def subtree(jumps: DataFrame, values: DataFrame, sums: list[str] = (), maxima: l
     2**k-th ancestor this is: a row a cell and round, in log2(longest river) rounds, however many cells lie on how many ways.
     """
     names = [*sums, *maxima]
-    state = materialise(values.select("row", "col", *names), "subtree")
-    jumps = jumps if hasattr(jumps, "_terrainframe_path") else materialise(jumps, "jumps")
+    state = written(values.select("row", "col", *names), "subtree")
+    jumps = jumps if hasattr(jumps, "_terrainframe_path") else written(jumps, "jumps")
     while not jumps.isEmpty():
         target = [F.col("to_row").alias("row"), F.col("to_col").alias("col")]
         more = [F.sum(k).alias(f"_{k}") for k in sums] + [F.max(k).alias(f"_{k}") for k in maxima]
         gained = jumps.join(state, ["row", "col"]).groupBy(*target).agg(*more)
         both = [(F.col(k) + F.coalesce(f"_{k}", F.lit(0))).alias(k) for k in sums] + [F.greatest(k, f"_{k}").alias(k) for k in maxima]
-        new = materialise(state.join(gained, ["row", "col"], "left").select("row", "col", *both), "subtree")
-        further = materialise(_doubled(jumps), "jumps")
+        new = written(state.join(gained, ["row", "col"], "left").select("row", "col", *both), "subtree")
+        further = written(_doubled(jumps), "jumps")
         discard(state)
         discard(jumps)
         state, jumps = new, further
@@ -68,7 +68,7 @@ def subtree(jumps: DataFrame, values: DataFrame, sums: list[str] = (), maxima: l
 
 def accumulate(flow: DataFrame, grid: Grid) -> DataFrame:
     """row, col, acc: a cell and all cells upstream of it. Cells without a code stay 1."""
-    jumps = materialise(network(flow, grid), "network")
+    jumps = written(network(flow, grid), "network")
     cells = jumps.select("row", "col").union(jumps.select("to_row", "to_col")).distinct().withColumn("acc", F.lit(1).cast("long"))
     counts = subtree(jumps, cells, ["acc"])
     return grid.cells.select("row", "col").join(counts, ["row", "col"], "left").select("row", "col", F.coalesce("acc", F.lit(1)).cast("long").alias("acc"))
@@ -95,12 +95,12 @@ def hops_to_outlet(flow: DataFrame, grid: Grid) -> DataFrame:
     down = downstream(flow, grid)
     ends = down.select(F.col("to_row").alias("row"), F.col("to_col").alias("col")).distinct().join(flow.where("code <> 0").select("row", "col"), ["row", "col"], "left_anti")
     state = down.withColumn("hops", F.lit(1).cast("long")).unionByName(ends.select("row", "col", F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.lit(0).cast("long").alias("hops")))
-    state = materialise(state.withColumn("moved", F.lit(True)), "hops")
+    state = written(state.withColumn("moved", F.lit(True)), "hops")
     while not state.where("moved").isEmpty():
         far = state.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("to_row").alias("far_row"), F.col("to_col").alias("far_col"), F.col("hops").alias("more"))
         moved = (F.col("far_row") != F.col("to_row")) | (F.col("far_col") != F.col("to_col"))
         joined = state.join(far, ["to_row", "to_col"])
-        new = materialise(joined.select("row", "col", F.col("far_row").alias("to_row"), F.col("far_col").alias("to_col"), (F.col("hops") + F.col("more")).alias("hops"), moved.alias("moved")), "hops")
+        new = written(joined.select("row", "col", F.col("far_row").alias("to_row"), F.col("far_col").alias("to_col"), (F.col("hops") + F.col("more")).alias("hops"), moved.alias("moved")), "hops")
         discard(state)
         state = new
     return state.where("hops > 0").select("row", "col", "hops")
@@ -108,13 +108,13 @@ def hops_to_outlet(flow: DataFrame, grid: Grid) -> DataFrame:
 
 def watersheds(flow: DataFrame, grid: Grid, pours: DataFrame) -> DataFrame:
     """pour_id, row, col: each pour cell and every cell whose walk reaches it, for all pours ``(pour_id, row, col)`` at once."""
-    jumps = materialise(downstream(flow, grid), "walks")
-    held = materialise(pours.select("pour_id", "row", "col").where(F.col("row").between(0, grid.height - 1) & F.col("col").between(0, grid.width - 1)), "held")
+    jumps = written(downstream(flow, grid), "walks")
+    held = written(pours.select("pour_id", "row", "col").where(F.col("row").between(0, grid.height - 1) & F.col("col").between(0, grid.width - 1)), "held")
     while not jumps.isEmpty():
         met = held.select("pour_id", F.col("row").alias("to_row"), F.col("col").alias("to_col"))
         gained = jumps.join(met, ["to_row", "to_col"]).select("pour_id", "row", "col")
-        new = materialise(held.unionByName(gained), "held")
-        further = materialise(_doubled(jumps), "walks")
+        new = written(held.unionByName(gained), "held")
+        further = written(_doubled(jumps), "walks")
         discard(held)
         discard(jumps)
         held, jumps = new, further
