@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrainframe.operators.stencil import STEPS, Grid
-from terrainframe.tables import discard, materialise
+from terrainframe.tables import discard, written
 
 TILE, MOST_PASSES, BASINS_A_TILE = 256, 250_000, 1 << 24
 OUTLET = 0
@@ -110,10 +110,10 @@ def _least_passes(edges: DataFrame) -> DataFrame:
 
 def _chained(links: DataFrame) -> DataFrame:
     """(node, root, w) from (node, to, w): the end of each chain of links, by pointer doubling; w is the node's own."""
-    now = materialise(links.select("node", F.col("to").alias("root"), "w"), "chains")
+    now = written(links.select("node", F.col("to").alias("root"), "w"), "chains")
     while True:
         ahead = now.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        new = materialise(now.join(ahead, "root", "left").select("node", F.coalesce("further", "root").alias("root"), "w", (F.coalesce("further", "root") != F.col("root")).alias("moved")), "chains")
+        new = written(now.join(ahead, "root", "left").select("node", F.coalesce("further", "root").alias("root"), "w", (F.coalesce("further", "root") != F.col("root")).alias("moved")), "chains")
         discard(now)
         ended = new.where("moved").isEmpty()
         now = new.drop("moved")
@@ -129,22 +129,22 @@ def basin_levels(edges: DataFrame) -> DataFrame:
     as high. Along such links passes only fall, so a basin's level is the highest of its own groups' passes up to the round that reaches the outlet.
     """
     c = F.col
-    edges = materialise(_least_passes(edges), "passes")
+    edges = written(_least_passes(edges), "passes")
     nodes = edges.select("a").union(edges.select("b")).distinct().where(c("a") != OUTLET)
-    state = materialise(nodes.select(c("a").alias("basin"), c("a").alias("group"), F.lit(float("-inf")).alias("level")), "basin-groups")
+    state = written(nodes.select(c("a").alias("basin"), c("a").alias("group"), F.lit(float("-inf")).alias("level")), "basin-groups")
     while not edges.isEmpty():
         ends = edges.select(c("a").alias("node"), c("b").alias("to"), "w", "a", "b").unionByName(edges.select(c("b").alias("node"), c("a").alias("to"), "w", "a", "b")).where(c("node") != OUTLET)
         least = ends.groupBy("node").agg(F.min(F.struct("w", "a", "b", "to")).alias("m")).select("node", "m.to", "m.w", "m.a", "m.b")
-        least = materialise(least, "least-passes")
+        least = written(least, "least-passes")
         mutual = least.select(c("node").alias("to"), c("to").alias("node"), c("a").alias("oa"), c("b").alias("ob"))
         # of two groups that take the same pass, the lesser is the root of their tree
         rooted = least.join(mutual, ["node", "to"], "left").select("node", F.when(c("oa").isNotNull() & (c("node") < c("to")), c("node")).otherwise(c("to")).alias("to"), "w")
         ends_at = _chained(rooted.unionByName(rooted.select(F.lit(OUTLET).cast("long").alias("node"), F.lit(OUTLET).cast("long").alias("to"), F.lit(float("-inf")).alias("w")).limit(1)))
         of = lambda k: ends_at.select(c("node").alias(k), c("root").alias(f"{k}_root"))  # noqa: B023, E731
         moved = state.join(ends_at.select(c("node").alias("group"), "root", "w"), "group", "left")
-        new_state = materialise(moved.select("basin", F.coalesce("root", "group").alias("group"), F.when(c("group") == OUTLET, c("level")).otherwise(F.greatest("level", F.coalesce("w", "level"))).alias("level")), "basin-groups")
+        new_state = written(moved.select("basin", F.coalesce("root", "group").alias("group"), F.when(c("group") == OUTLET, c("level")).otherwise(F.greatest("level", F.coalesce("w", "level"))).alias("level")), "basin-groups")
         joined = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("x"), F.coalesce("b_root", "b").alias("y"), "w").where("x <> y")
-        new_edges = materialise(_least_passes(joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "w")), "passes")
+        new_edges = written(_least_passes(joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "w")), "passes")
         for used in (state, edges, least, ends_at):
             discard(used)
         state, edges = new_state, new_edges
@@ -193,12 +193,12 @@ def fill(grid: Grid, tile: int = TILE, most_passes: int = MOST_PASSES) -> DataFr
                 r, k = np.nonzero(edge & (basin >= 0))
                 yield pd.DataFrame({"tile": t.tile, "row": r + t.trow * tile, "col": k + t.tcol * tile, "w": level[r, k], "basin": basin[r, k]})
 
-    tiles = materialise(haloed.groupBy("trow", "tcol").applyInPandas(flooded, _TILES), "tiles")
+    tiles = written(haloed.groupBy("trow", "tcol").applyInPandas(flooded, _TILES), "tiles")
     rim = tiles.mapInPandas(borders, "tile long, row long, col long, w double, basin long")
     half = [s for k, s in STEPS.items() if k in (2, 3, 4, 5)]  # each two neighbours once
     sent = rim.select("tile", "w", "basin", F.explode(F.array(*[F.struct((c("row") + dr).alias("row"), (c("col") + dc).alias("col")) for dr, dc in half])).alias("to")).select(c("tile").alias("other"), c("w").alias("ow"), c("basin").alias("ob"), "to.row", "to.col")
     crossing = rim.join(sent, ["row", "col"]).where((c("tile") != c("other")) & (c("basin") != c("ob"))).select(F.least("basin", "ob").alias("a"), F.greatest("basin", "ob").alias("b"), F.greatest("w", "ow").alias("w"))
-    edges = materialise(_least_passes(tiles.mapInPandas(inner, "a long, b long, w double").unionByName(crossing)), "passes")
+    edges = written(_least_passes(tiles.mapInPandas(inner, "a long, b long, w double").unionByName(crossing)), "passes")
     if edges.count() <= most_passes:
         found = edges.toPandas()
         known = solved(found["a"].to_numpy(), found["b"].to_numpy(), found["w"].to_numpy())

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrainframe.tables import discard, materialise
+from terrainframe.tables import discard, written
 
 #: Sides of a cell: its number, the neighbour's step, the edge's first corner and its direction (rows grow downwards).
 SIDES = {0: ((-1, 0), (0, 1), (0, -1)), 1: ((0, -1), (0, 0), (1, 0)), 2: ((1, 0), (1, 0), (0, 1)), 3: ((0, 1), (1, 1), (-1, 0))}
@@ -42,24 +42,24 @@ def successors(edges: DataFrame) -> DataFrame:
 
 def ring_places(steps: DataFrame) -> DataFrame:
     """pour_id, ring (its least edge), place (steps from there), edge, bend, from ``(pour_id, edge, next, bend)``: each edge with the one that follows it."""
-    steps = materialise(steps, "edges")
-    state = materialise(steps.select("pour_id", "edge", F.col("next").alias("far"), F.least("edge", "next").alias("ring")), "ring-jumps")
+    steps = written(steps, "edges")
+    state = written(steps.select("pour_id", "edge", F.col("next").alias("far"), F.least("edge", "next").alias("ring")), "ring-jumps")
     while True:  # after round k a ring's name is the least of the next 2**k edges
         far = state.select("pour_id", F.col("edge").alias("far"), F.col("far").alias("further"), F.col("ring").alias("other"))
         new = state.join(far, ["pour_id", "far"]).select("pour_id", "edge", F.col("further").alias("far"), F.least("ring", "other").alias("ring"), (F.least("ring", "other") != F.col("ring")).alias("moved"))
-        new = materialise(new, "ring-jumps")
+        new = written(new, "ring-jumps")
         discard(state)
         state = new.drop("moved")
         state._terrainframe_path = new._terrainframe_path
         if new.where("moved").isEmpty():
             break
-    named = materialise(steps.join(state.select("pour_id", "edge", "ring"), ["pour_id", "edge"]), "ring-edges")
+    named = written(steps.join(state.select("pour_id", "edge", "ring"), ["pour_id", "edge"]), "ring-edges")
     discard(state)
     head = F.col("next") == F.col("ring")  # the edge before a ring's least edge ends the list
-    state = materialise(named.select("pour_id", "edge", F.when(~head, F.col("next")).alias("far"), F.lit(1).cast("long").alias("left")), "ranks")
+    state = written(named.select("pour_id", "edge", F.when(~head, F.col("next")).alias("far"), F.lit(1).cast("long").alias("left")), "ranks")
     while not state.where("far IS NOT NULL").isEmpty():
         far = state.select("pour_id", F.col("edge").alias("far"), F.col("far").alias("further"), F.col("left").alias("more"))
-        new = materialise(state.join(far, ["pour_id", "far"], "left").select("pour_id", "edge", F.col("further").alias("far"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")), "ranks")
+        new = written(state.join(far, ["pour_id", "far"], "left").select("pour_id", "edge", F.col("further").alias("far"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")), "ranks")
         discard(state)
         state = new
     return named.join(state.select("pour_id", "edge", "left"), ["pour_id", "edge"]).select("pour_id", "ring", (-F.col("left")).alias("place"), "edge", "bend")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrainframe.operators import overlay
-from terrainframe.tables import materialise
+from terrainframe.tables import written
 
 RULES = ("empty", "not_finite", "too_few_points", "not_closed", "self_crossing", "rings_cross", "repeated_edge", "hole_outside", "hole_nested", "no_area")
 
@@ -36,7 +36,7 @@ def ring_edges(shapes: DataFrame) -> DataFrame:
     rings = shapes.select("shape_id", F.posexplode("rings").alias("ring", "r"))
     named = rings.select(F.struct("shape_id", "ring").alias("shape_id"), F.array("r").alias("rings"))
     edges = overlay.shape_edges(named).select("shape_id.shape_id", F.col("shape_id.ring").alias("ring"), *overlay.ENDS)
-    return materialise(edges.withColumn("e", F.monotonically_increasing_id()), "ring-edges")
+    return written(edges.withColumn("e", F.monotonically_increasing_id()), "ring-edges")
 
 
 def crossings(edges: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def nesting(edges: DataFrame) -> DataFrame:
     c = F.col
     first = edges.groupBy("shape_id", "ring").agg(F.min(F.struct("e", *overlay.ENDS)).alias("m"))
     holes = first.where("ring > 0").select("shape_id", "ring", ((c("m.x0") + c("m.x1")) / 2).alias("px"), ((c("m.y0") + c("m.y1")) / 2).alias("py"))
-    holes = materialise(holes.withColumn("point_id", F.monotonically_increasing_id()), "hole-points")
+    holes = written(holes.withColumn("point_id", F.monotonically_increasing_id()), "hole-points")
     low = F.when(c("y0") <= c("y1"), F.array(c("x0"), c("y0"), c("x1"), c("y1"))).otherwise(F.array(c("x1"), c("y1"), c("x0"), c("y0")))
     upright = edges.where("y0 <> y1").select("shape_id", c("ring").alias("other"), low.alias("k")).select("shape_id", "other", *[c("k")[i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])
     high = upright.groupBy("shape_id").agg((2 * F.avg(c("y1") - c("y0"))).alias("high"))
@@ -76,7 +76,7 @@ def faults(shapes: DataFrame) -> DataFrame:
     """shape_id, rule, n, ring, x, y of ``(shape_id, rings)``: each rule that a shape breaks, how often, and where first."""
     edges = ring_edges(shapes)
     pieces = overlay.noded(edges.select("shape_id", F.lit(0).alias("owner"), *overlay.ENDS), all_pieces=True)
-    pieces = materialise(pieces, "validity-pieces")
+    pieces = written(pieces, "validity-pieces")
     twice = pieces.where("n > 1").select("shape_id", F.lit("repeated_edge").alias("rule"), F.col("x0").alias("x"), F.col("y0").alias("y"))
     flat = shapes.select("shape_id").join(pieces.where("a > 0").select("shape_id").distinct(), "shape_id", "left_anti").select("shape_id", F.lit("no_area").alias("rule"))
     none = lambda k: F.lit(None).cast("int" if k == "ring" else "double").alias(k)

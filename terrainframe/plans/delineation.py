@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terrainframe.functions import geometry as g
 from terrainframe.operators import hydrology, outlines, scoring, stencil
 from terrainframe.operators.stencil import Grid
-from terrainframe.tables import materialise
+from terrainframe.tables import written
 
 #: Bounds of a plausible watershed (fixed values): least and largest square kilometres, largest P squared over A.
 AREA_LEAST, AREA_MOST, COMPLEX_MOST = 0.01, 10_000.0, 100.0
@@ -19,10 +19,10 @@ def delineate(grid: Grid, pours: DataFrame, origin: tuple[float, float], step: f
 
     Traced outlines turn left where they meet themselves, so they never cross and are valid as they are.
     """
-    ground = Grid(materialise(hydrology.fill(grid), "filled"), grid.height, grid.width) if filled else grid
-    flow = materialise(stencil.d8(ground), "flow")
+    ground = Grid(written(hydrology.fill(grid), "filled"), grid.height, grid.width) if filled else grid
+    flow = written(stencil.d8(ground), "flow")
     acc = hydrology.accumulate(flow, grid)
-    shed = materialise(hydrology.watersheds(flow, grid, pours), "sheds")
+    shed = written(hydrology.watersheds(flow, grid, pours), "sheds")
     counts = hydrology.watershed_counts(flow, grid, pours, acc, threshold)
     shapes = outlines.outlines(shed, *origin, step)
     outer = F.col("rings")[0]
