@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrainframe.operators.outlines import gathered, ring_places
-from terrainframe.tables import discard, materialise
+from terrainframe.tables import shuffled, written
 
 DIGITS = 9
 #: Rays run along a slant that no edge of round coordinates has.
@@ -114,7 +114,7 @@ def noded(edges: DataFrame, digits: int = DIGITS, all_pieces: bool = False) -> D
     """shape_id, ends (the lesser first), a, b, n, net: pieces that cross no other, with each owner's parity, the number of edges on them and that of edges along them less that of
     edges against them. Pieces even for both owners are gone, unless ``all_pieces``."""
     c = F.col
-    own = materialise(edges.withColumn("e", F.monotonically_increasing_id()), "shape-edges")
+    own = written(edges.withColumn("e", F.monotonically_increasing_id()), "shape-edges")
     walk = own.join(cuts(own, digits), ["shape_id", "e"], "left").select("shape_id", "owner", way().alias("w"))
     steps = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.get("w", i - 1).alias("p"), F.get("w", i).alias("q")))
     pieces = walk.select("shape_id", "owner", F.inline(steps)).where("p <> q")
@@ -129,7 +129,7 @@ def _right_of(pieces: DataFrame, weights: dict[str, Column]) -> DataFrame:
     """``pieces`` with rising, and sums of ``weights`` (columns of other pieces, named o...) over the pieces that a slanted ray from just right of its middle meets."""
     c = F.col
     own = pieces.withColumns({"h0": c("y0") + SLANT * c("x0"), "h1": c("y1") + SLANT * c("x1"), "id": F.monotonically_increasing_id()})
-    own = materialise(own, "pieces")
+    own = written(own, "pieces")
     own = own.join(own.groupBy("shape_id").agg((2 * F.avg(F.abs(c("h1") - c("h0")))).alias("size")).where("size > 0"), "shape_id")
     low, high = F.least("h0", "h1"), F.greatest("h0", "h1")
     bars = own.withColumn("band", F.explode(F.sequence(F.floor(low / c("size")), F.floor(high / c("size"))))).select("shape_id", "band", c("id").alias("other"), *[c(k).alias(f"o{k}") for k in ("x0", "x1", "h0", "h1", "a", "b", "net")])
@@ -186,7 +186,7 @@ def areas(border: DataFrame) -> DataFrame:
 def traced(border: DataFrame) -> DataFrame:
     """shape_id, rings (closed, by falling area; holes, clockwise, last), n_outer, n_holes, n_corners, area. Points where the only way goes straight on are left out."""
     c = F.col
-    own = materialise(border.withColumn("edge", F.monotonically_increasing_id()), "border")
+    own = written(border.withColumn("edge", F.monotonically_increasing_id()), "border")
     angle = F.atan2(c("y1") - c("y0"), c("x1") - c("x0"))
     behind = F.atan2(c("y0") - c("y1"), c("x0") - c("x1"))
     none = F.lit(None)
@@ -209,14 +209,26 @@ def _whole(shapes: DataFrame, found: DataFrame) -> DataFrame:
     return joined.select("shape_id", F.coalesce("rings", F.array().cast(kind)).alias("rings"), *[F.coalesce(k, F.lit(0)).alias(k) for k in ("n_outer", "n_holes", "n_corners")], F.coalesce("area", F.lit(0.0)).alias("area"))
 
 
+def once_each(shapes: DataFrame, columns: list[str], found: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``found`` of ``(shape_id, *columns)``, where it hangs on the columns alone: equal shapes are worked on once, and each row takes its shape's result."""
+    forms = written(shapes.groupBy(*columns).agg(F.min("shape_id").alias("shape_id")), "forms")
+    same = reduce(lambda a, b: a & b, [F.col(f"s.{k}").eqNullSafe(F.col(f"f.{k}")) for k in columns])
+    of = shapes.alias("s").join(forms.alias("f"), same).select(F.col("s.shape_id").alias("shape_id"), F.col("f.shape_id").alias("_form"))
+    return of.join(shuffled(found(forms).withColumnRenamed("shape_id", "_form")), "_form").drop("_form")
+
+
 def make_valid(shapes: DataFrame, digits: int = DIGITS) -> DataFrame:
     """The faces of ``(shape_id, rings)`` by the even-odd rule as rings that cross nothing: shape_id, rings, n_outer, n_holes, n_corners, area, outcome.
 
     outcome: unchanged if no edge was cut, dropped or added; removed if nothing with an area is left; else repaired.
     """
+    return once_each(shapes.select("shape_id", "rings"), ["rings"], lambda forms: _make_valid(forms, digits))
+
+
+def _make_valid(shapes: DataFrame, digits: int) -> DataFrame:
     c = F.col
     edges = shape_edges(shapes, digits=digits)
-    pieces = materialise(noded(edges, digits, all_pieces=True), "noded")
+    pieces = written(noded(edges, digits, all_pieces=True), "noded")
     valid = _whole(shapes, traced(boundary(sided(pieces.where("a > 0")))))
     closed = lambda r: (F.size(r) > 3) & (F.get(r, F.lit(0)) == F.get(r, F.size(r) - 1))
     sound = F.forall(c("rings"), lambda r: F.coalesce(closed(r) & F.forall(r, lambda p: (F.abs(p.x) < float("inf")) & (F.abs(p.y) < float("inf"))), F.lit(False)))
@@ -245,7 +257,7 @@ def buffered(shapes: DataFrame | None, lines: DataFrame | None, radius: float, a
         raise ValueError("the radius is 0 at least, the edges of a turn a multiple of 4")
     parts, keys = [], []
     if shapes is not None:
-        border = materialise(boundary(sided(noded(shape_edges(shapes, digits=digits), digits))), "buffered-border")
+        border = written(boundary(sided(noded(shape_edges(shapes, digits=digits), digits))), "buffered-border")
         parts.append(border.select("shape_id", F.lit(0).alias("owner"), *ENDS))
         lines = border if lines is None else border.unionByName(lines.select("shape_id", *ENDS))
         keys.append(shapes.select("shape_id"))
@@ -260,12 +272,12 @@ def buffered(shapes: DataFrame | None, lines: DataFrame | None, radius: float, a
 def pair_sides(pairs: DataFrame, a: str = "a", b: str = "b", digits: int = DIGITS) -> DataFrame:
     """The sided pieces of ``(shape_id, a, b)``, two shapes a row; written, as each region reads them."""
     edges = shape_edges(pairs, a, 0, digits).unionByName(shape_edges(pairs, b, 1, digits))
-    return materialise(sided(noded(edges, digits)), "pair-sides")
+    return written(sided(noded(edges, digits)), "pair-sides")
 
 
 def overlay(pairs: DataFrame, region: str, a: str = "a", b: str = "b", digits: int = DIGITS) -> DataFrame:
     """The region of each pair of shapes ``(shape_id, a, b)`` as a shape: shape_id, rings, n_outer, n_holes, n_corners, area."""
-    return _whole(pairs, traced(boundary(pair_sides(pairs, a, b, digits), REGIONS[region])))
+    return once_each(pairs.select("shape_id", a, b), [a, b], lambda forms: _whole(forms, traced(boundary(pair_sides(forms, a, b, digits), REGIONS[region]))))
 
 
 def iou(pairs: DataFrame, a: str = "predicted", b: str = "truth", digits: int = DIGITS) -> DataFrame:

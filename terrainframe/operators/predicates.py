@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrainframe.operators import joins, overlay
-from terrainframe.tables import materialise
+from terrainframe.tables import written
 
 
 def relate(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,6 +14,10 @@ def relate(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Shapes are closed: they intersect if they share as much as a point, and touch if that is all on their borders. A shape without area intersects nothing.
     """
+    return overlay.once_each(pairs.select("shape_id", a, b), [a, b], lambda forms: _relate(forms, a, b))
+
+
+def _relate(pairs: DataFrame, a: str, b: str) -> DataFrame:
     c = F.col
     sides = overlay.pair_sides(pairs, a, b)
     both = overlay.REGIONS["intersection"](c("la"), c("lb")) | overlay.REGIONS["intersection"](c("ra"), c("rb"))
@@ -43,12 +47,12 @@ def line_pieces(lines: DataFrame, zones: DataFrame) -> DataFrame:
     c = F.col
     edges = overlay.shape_edges(zones.select(F.lit(0).alias("shape_id"), "rings"), owner=1).withColumn("line_id", F.lit(None).cast(lines.schema["line_id"].dataType))
     own = lines.where("x0 <> x1 OR y0 <> y1").select(F.lit(0).alias("shape_id"), F.lit(0).alias("owner"), *[overlay.snapped(c(k)).alias(k) for k in overlay.ENDS], "line_id")
-    both = materialise(own.unionByName(edges).withColumn("e", F.monotonically_increasing_id()), "line-edges")
+    both = written(own.unionByName(edges).withColumn("e", F.monotonically_increasing_id()), "line-edges")
     cut = both.where("owner = 0").join(overlay.cuts(both, between=True), ["shape_id", "e"], "left").select("line_id", overlay.way().alias("w"))
     parts = F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.get("w", i - 1).alias("p"), F.get("w", i).alias("q")))).alias("s")
     dx, dy = c("s.q.x") - c("s.p.x"), c("s.q.y") - c("s.p.y")
     told = cut.select("line_id", parts).select("line_id", ((c("s.p.x") + c("s.q.x")) / 2).alias("px"), ((c("s.p.y") + c("s.q.y")) / 2).alias("py"), F.sqrt(dx * dx + dy * dy).alias("length"))
-    return materialise(told.where("length > 0").withColumn("point_id", F.monotonically_increasing_id()), "line-pieces")
+    return written(told.where("length > 0").withColumn("point_id", F.monotonically_increasing_id()), "line-pieces")
 
 
 def lines_in_shapes(lines: DataFrame, zones: DataFrame) -> DataFrame:
