@@ -9,7 +9,8 @@ A shape is an array of rings and inside by the even-odd rule: parts, holes and r
 4. ``traced``: pieces meet end to start, at a node the first one clockwise from where they came, so parts that touch at a point stay apart. Pointer
    doubling names rings and places, as for cell outlines.
 
-Bucket and band sizes follow each shape's mean piece, so there are about as many rows as pieces, however long single ones are.
+Bucket and band sizes follow each shape's mean piece, so there are about as many rows as pieces, however long single ones are. Shapes of few edges need neither: their
+edges are dealt by shape once and meet in its row, whatever they are; both ways use the same arithmetic.
 
 Edge cases: points without finite coordinates are left out, open rings are closed; null, empty and flat shapes (points, lines) have no pieces: no rings, area 0. Edges covered twice cancel.
 A crossing is rounded by half a unit of the last digit; pieces shorter than that vanish.
@@ -25,9 +26,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrainframe.operators.outlines import gathered, ring_places
-from terrainframe.tables import shuffled, written
+from terrainframe.tables import dealt, shuffle_parts, shuffled, written
 
 DIGITS = 9
+#: Shapes of at most so many edges, and of so many pieces, meet within their row; the others by buckets and bands. So the pairs looked at grow with the edges alone.
+FEW_EDGES, FEW_PIECES = 128, 512
 #: Rays run along a slant that no edge of round coordinates has.
 SLANT = 0.6180339887498949
 ENDS = ("x0", "y0", "x1", "y1")
@@ -77,29 +80,60 @@ def _off(p: str, q: str, at: tuple[str, str]) -> Column:
     return F.sqrt(ex * ex + ey * ey)
 
 
-def cuts(edges: DataFrame, digits: int = DIGITS, between: bool = False) -> DataFrame:
-    """shape_id, e, cuts: the places inside edges (with their id e) where others cross, touch or end; with ``between`` only those of owner 0 and owner 1 with each other."""
+def _parted(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of shapes with at most ``most`` of them, and those of the others, if there are any."""
+    large = written(rows.groupBy("shape_id").agg(F.count("*").alias("n")).where(F.col("n") > most).select("shape_id"), "large-shapes")
+    return (rows, None) if large.isEmpty() else (rows.join(large, "shape_id", "left_anti"), rows.join(large, "shape_id", "left_semi"))
+
+
+def _places(met: DataFrame, keep: list[str], digits: int, alone: Column | None = None) -> DataFrame:
+    """``keep``, of_a, x, y: the places inside edge a (of_a) or b of each row where they cross, touch or end; rows that are ``alone`` have one without a place.
+
+    Boxes are compared first, and all is plain arithmetic that Spark compiles: functions over arrays are interpreted.
+    """
     c = F.col
-    met = buckets(edges)
-    once = (c("a.owner") == 0) & (c("b.owner") == 1) if between else c("a.e") < c("b.e")
-    met = met.alias("a").join(met.alias("b"), (c("a.shape_id") == c("b.shape_id")) & (c("a.bx") == c("b.bx")) & (c("a.by") == c("b.by")) & once)
     near = 2.0 * 10**-digits
-    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    on = lambda line, other: [F.when(_off(line, line, (f"{other}.{x}", f"{other}.{y}")) <= near, point(c(f"{other}.{x}"), c(f"{other}.{y}"))) for x, y in (ENDS[:2], ENDS[2:])]
-    on_a, on_b = F.array_compact(F.array(*on("a", "b"))), F.array_compact(F.array(*on("b", "a")))
+    low, high = lambda e, k: F.least(c(f"{e}.{k}0"), c(f"{e}.{k}1")), lambda e, k: F.greatest(c(f"{e}.{k}0"), c(f"{e}.{k}1"))
+    apart = [(low(p, k) > high(q, k) + near) for k in "xy" for p, q in ("ab", "ba")]
+    close = ~reduce(lambda p, q: p | q, apart)
+    met = met.where(close if alone is None else close | alone)
     dx, dy, ex, ey = c("a.x1") - c("a.x0"), c("a.y1") - c("a.y0"), c("b.x1") - c("b.x0"), c("b.y1") - c("b.y0")
     wx, wy = c("b.x0") - c("a.x0"), c("b.y0") - c("a.y0")
     cross = dx * ey - dy * ex
     t, u = F.try_divide(wx * ey - wy * ex, cross), F.try_divide(wx * dy - wy * dx, cross)
-    inner = (t > 0) & (t < 1) & (u > 0) & (u < 1)
-    crossing = F.when(inner, F.array(point(snapped(c("a.x0") + t * dx, digits), snapped(c("a.y0") + t * dy, digits))))
-    found = met.select(c("a.shape_id").alias("shape_id"), c("a.e").alias("ea"), c("b.e").alias("eb"), on_a.alias("on_a"), on_b.alias("on_b"), crossing.alias("p"))
-    touch = (F.size("on_a") > 0) | (F.size("on_b") > 0)
-    sides = F.array(F.struct(c("ea").alias("e"), F.when(touch, c("on_a")).otherwise(c("p")).alias("at")), F.struct(c("eb").alias("e"), F.when(touch, c("on_b")).otherwise(c("p")).alias("at")))
-    each = found.where(touch | c("p").isNotNull()).select("shape_id", F.explode(sides).alias("s")).select("shape_id", "s.e", F.explode("s.at").alias("at"))
+    ends = [(p, q, x, y) for p, q in ("ab", "ba") for x, y in (ENDS[:2], ENDS[2:])]
+    on = {f"_on{k}": _off(p, p, (f"{q}.{x}", f"{q}.{y}")) <= near for k, (p, q, x, y) in enumerate(ends)}
+    told = met.select(*[c(k) for k in keep], "a", "b", *([] if alone is None else [alone.alias("_alone")]), t.alias("_t"), u.alias("_u"), *[v.alias(k) for k, v in on.items()])
+    idle = F.lit(False) if alone is None else c("_alone")
+    place = lambda of_a, when, x, y: F.struct(F.lit(of_a).alias("of_a"), F.when(when & ~idle, x).alias("x"), F.when(when & ~idle, y).alias("y"))
+    inner = (c("_t") > 0) & (c("_t") < 1) & (c("_u") > 0) & (c("_u") < 1) & ~reduce(lambda p, q: p | q, map(c, on))
+    at = snapped(c("a.x0") + c("_t") * dx, digits), snapped(c("a.y0") + c("_t") * dy, digits)
+    found = [place(p == "a", c(f"_on{k}"), c(f"{q}.{x}"), c(f"{q}.{y}")) for k, (p, q, x, y) in enumerate(ends)] + [place(of_a, inner, *at) for of_a in (True, False)]
+    each = told.select(*keep, "a", "b", idle.alias("_alone"), F.inline(F.array(*found)))
+    return each.where(c("x").isNotNull() | (c("_alone") & c("of_a"))).drop("_alone")
+
+
+def cuts(edges: DataFrame, digits: int = DIGITS, between: bool = False) -> DataFrame:
+    """shape_id, e, cuts: the places inside edges (with their id e) where others cross, touch or end; with ``between`` only those of owner 0 and owner 1 with each other."""
+    c = F.col
+    fields = F.struct("e", "owner", *ENDS)
+    rows = dealt(buckets(edges).select("shape_id", "bx", "by", fields.alias("s")), "shape_id", "bx", "by")
+    once = (c("a.owner") == 0) & (c("b.owner") == 1) if between else c("a.e") < c("b.e")
+    met = rows.withColumnRenamed("s", "a").join(rows.withColumnRenamed("s", "b"), ["shape_id", "bx", "by"]).where(once)
+    each = _places(met, ["shape_id"], digits).select("shape_id", F.when(c("of_a"), c("a.e")).otherwise(c("b.e")).alias("e"), F.struct("x", "y").alias("at"))
     return each.groupBy("shape_id", "e").agg(F.collect_set("at").alias("cuts"))
 
 
+def _cut_within(edges: DataFrame, digits: int) -> DataFrame:
+    """shape_id, owner, ends, cuts of the edges of shapes of few edges: a shape's edges meet in its row, so nothing is shuffled but the edges, once."""
+    c = F.col
+    whole = edges.repartition(shuffle_parts(edges), "shape_id").groupBy("shape_id").agg(F.collect_list(F.struct("owner", *ENDS)).alias("es"))
+    pairs = whole.select("shape_id", "es", F.posexplode("es").alias("i", "a")).select("shape_id", "i", "a", F.posexplode("es").alias("j", "b")).where("j >= i")
+    each = _places(pairs, ["shape_id", "i", "j"], digits, c("i") == c("j"))
+    of = each.select("shape_id", F.when(c("of_a"), c("i")).otherwise(c("j")).alias("e"), F.when(c("of_a"), c("a")).otherwise(c("b")).alias("s"), F.when(c("x").isNotNull(), F.struct("x", "y")).alias("at"))
+    return of.groupBy("shape_id", "e", *[c(f"s.{k}").alias(k) for k in ("owner", *ENDS)]).agg(F.collect_set("at").alias("cuts")).drop("e")
+
+
 def way() -> Column:
     """An edge's first end, its ``cuts`` in order and its last end."""
     c = F.col
@@ -107,7 +141,8 @@ def way() -> Column:
     ranked = F.transform(F.coalesce("cuts", F.array().cast("array<struct<x:double,y:double>>")), lambda p: F.struct(((p.x - c("x0")) * dx + (p.y - c("y0")) * dy).alias("t"), p.x.alias("x"), p.y.alias("y")))
     inner = F.transform(F.array_sort(ranked), lambda p: F.struct(p.x.alias("x"), p.y.alias("y")))
     end = lambda x, y: F.array(F.struct(c(x).alias("x"), c(y).alias("y")))
-    return F.concat(end("x0", "y0"), inner, end("x1", "y1"))
+    bare = F.coalesce(F.size("cuts"), F.lit(0)) == 0
+    return F.when(bare, F.concat(end("x0", "y0"), end("x1", "y1"))).otherwise(F.concat(end("x0", "y0"), inner, end("x1", "y1")))
 
 
 def noded(edges: DataFrame, digits: int = DIGITS, all_pieces: bool = False) -> DataFrame:
@@ -115,8 +150,13 @@ def noded(edges: DataFrame, digits: int = DIGITS, all_pieces: bool = False) -> D
     edges against them. Pieces even for both owners are gone, unless ``all_pieces``."""
     c = F.col
     own = written(edges.withColumn("e", F.monotonically_increasing_id()), "shape-edges")
-    walk = own.join(cuts(own, digits), ["shape_id", "e"], "left").select("shape_id", "owner", way().alias("w"))
-    steps = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.get("w", i - 1).alias("p"), F.get("w", i).alias("q")))
+    small, large = _parted(own, FEW_EDGES)
+    walk = _cut_within(small, digits).select("shape_id", "owner", way().alias("w"))
+    if large is not None:
+        large = written(large, "large-edges")
+        walk = walk.unionByName(large.join(cuts(large, digits), ["shape_id", "e"], "left").select("shape_id", "owner", way().alias("w")))
+    one = F.array(F.struct(F.get("w", F.lit(0)).alias("p"), F.get("w", F.lit(1)).alias("q")))
+    steps = F.when(F.size("w") == 2, one).otherwise(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.get("w", i - 1).alias("p"), F.get("w", i).alias("q"))))
     pieces = walk.select("shape_id", "owner", F.inline(steps)).where("p <> q")
     parity = lambda k: (F.count_if(c("owner") == k) % 2).cast("int")
     low, high = F.least("p", "q"), F.greatest("p", "q")
@@ -130,6 +170,29 @@ def _right_of(pieces: DataFrame, weights: dict[str, Column]) -> DataFrame:
     c = F.col
     own = pieces.withColumns({"h0": c("y0") + SLANT * c("x0"), "h1": c("y1") + SLANT * c("x1"), "id": F.monotonically_increasing_id()})
     own = written(own, "pieces")
+    small, large = _parted(own, FEW_PIECES)
+    found = _right_within(small, weights)
+    return found if large is None else found.unionByName(_right_by_bands(written(large, "large-pieces"), weights))
+
+
+def _right_within(own: DataFrame, weights: dict[str, Column]) -> DataFrame:
+    """``_right_of`` for shapes of few pieces: they meet in their shape's row."""
+    c = F.col
+    mx, mh = (c("x0") + c("x1")) / 2, (c("h0") + c("h1")) / 2
+    p, q = F.struct(*ENDS, "a", "b", "net", "h0", "h1", mx.alias("mx"), mh.alias("mh")), F.struct(*[c(k).alias(f"o{k}") for k in ("x0", "x1", "h0", "h1", "a", "b", "net")], F.least("h0", "h1").alias("low"), F.greatest("h0", "h1").alias("high"))
+    whole = own.repartition(shuffle_parts(own), "shape_id").groupBy("shape_id").agg(F.collect_list(F.struct(p.alias("p"), q.alias("q"))).alias("all"))
+    pairs = whole.select("shape_id", "all", F.posexplode("all").alias("i", "at")).select("shape_id", "i", c("at.p").alias("p"), F.posexplode("all").alias("j", "other"))
+    # high > low, and no division by zero, wherever the ray's height lies between
+    right = (c("other.q.low") <= c("p.mh")) & (c("p.mh") < c("other.q.high")) & (c("other.q.ox0") + F.try_divide(c("p.mh") - c("other.q.oh0"), c("other.q.oh1") - c("other.q.oh0")) * (c("other.q.ox1") - c("other.q.ox0")) > c("p.mx"))
+    met = pairs.where((c("i") == c("j")) | right).select("shape_id", "i", "p.*", (c("i") != c("j")).alias("_met"), "other.q.*")
+    keys = [*ENDS, "a", "b", "net", "h0", "h1"]
+    told = met.groupBy("shape_id", "i", *keys).agg(*[F.coalesce(F.sum(F.when(c("_met"), w)), F.lit(0)).alias(k) for k, w in weights.items()])
+    return told.select("shape_id", *ENDS, "a", "b", "net", (c("h1") > c("h0")).alias("rising"), *weights)
+
+
+def _right_by_bands(own: DataFrame, weights: dict[str, Column]) -> DataFrame:
+    """``_right_of`` for shapes of many pieces: they meet by bands of heights."""
+    c = F.col
     own = own.join(own.groupBy("shape_id").agg((2 * F.avg(F.abs(c("h1") - c("h0")))).alias("size")).where("size > 0"), "shape_id")
     low, high = F.least("h0", "h1"), F.greatest("h0", "h1")
     bars = own.withColumn("band", F.explode(F.sequence(F.floor(low / c("size")), F.floor(high / c("size"))))).select("shape_id", "band", c("id").alias("other"), *[c(k).alias(f"o{k}") for k in ("x0", "x1", "h0", "h1", "a", "b", "net")])
@@ -283,11 +346,14 @@ def overlay(pairs: DataFrame, region: str, a: str = "a", b: str = "b", digits: i
 def iou(pairs: DataFrame, a: str = "predicted", b: str = "truth", digits: int = DIGITS) -> DataFrame:
     """shape_id, area_a, area_b, common, iou, status of shapes made valid by the even-odd rule. A shape without area gives a null iou and why; shapes that only touch give 0."""
     c = F.col
-    sides = pair_sides(pairs, a, b, digits)
-    out = pairs.select("shape_id")
-    for name, region in (("area_a", lambda p, q: p), ("area_b", lambda p, q: q), ("common", REGIONS["intersection"])):
-        out = out.join(areas(boundary(sides, region)).withColumnRenamed("area", name), "shape_id", "left")
+    edges = shape_edges(pairs, a, 0, digits).unionByName(shape_edges(pairs, b, 1, digits))
+    shape = Window.partitionBy("shape_id")
+    near = sided(noded(edges, digits)).withColumns({"ox": F.min("x0").over(shape), "oy": F.min("y0").over(shape)})  # turns around a near point keep their digits
+    cross = (c("x0") - c("ox")) * (c("y1") - c("oy")) - (c("x1") - c("ox")) * (c("y0") - c("oy"))
+    regions = {"area_a": lambda p, q: p, "area_b": lambda p, q: q, "common": REGIONS["intersection"]}
+    left, right = ({k: f(c(f"{side}a"), c(f"{side}b")) for k, f in regions.items()} for side in "lr")
+    sums = near.groupBy("shape_id").agg(*[(F.sum(F.when(left[k] & ~right[k], cross).when(right[k] & ~left[k], -cross)) / 2).alias(k) for k in regions])
     zero = lambda k: F.coalesce(c(k), F.lit(0.0))
-    out = out.select("shape_id", *[zero(k).alias(k) for k in ("area_a", "area_b", "common")])
+    out = pairs.select("shape_id").join(shuffled(sums), "shape_id", "left").select("shape_id", *[zero(k).alias(k) for k in regions])
     status = F.when(c("area_a") <= 0, "predicted_no_area").when(c("area_b") <= 0, "truth_no_area").otherwise("valid")
     return out.withColumns({"status": status, "iou": F.when(status == "valid", c("common") / (c("area_a") + c("area_b") - c("common")))})

@@ -105,3 +105,18 @@ def test_equal_shapes_are_overlaid_once(spark):
     seen = []
     whole = overlay.once_each(pairs, ["a", "b"], lambda forms: seen.append(forms.count()) or forms.select("shape_id"))
     assert seen == [2] and sorted(r.shape_id for r in whole.collect()) == list(range(10))
+
+
+def test_shapes_of_few_edges_meet_in_their_row(spark, monkeypatch):
+    """No bucket or band is made for them, and buckets and bands give the same sides."""
+    rng = random.Random(11)
+    ring = lambda: [(p := [(float(rng.randrange(6)), float(rng.randrange(6))) for _ in range(7)]) and [*p, p[0]]]
+    pairs = spark.createDataFrame([(i, ring(), ring()) for i in range(12)], "shape_id long, a array<array<struct<x:double,y:double>>>, b array<array<struct<x:double,y:double>>>")
+    edges = overlay.shape_edges(pairs, "a", 0).unionByName(overlay.shape_edges(pairs, "b", 1)).cache()
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    few = overlay.sided(overlay.noded(edges))
+    assert "band" not in plan(few) and "bx" not in plan(overlay.noded(edges)) and "Join" not in plan(overlay.noded(edges))
+    small = rows(few)
+    monkeypatch.setattr(overlay, "FEW_EDGES", 14)
+    monkeypatch.setattr(overlay, "FEW_PIECES", 0)
+    assert rows(overlay.sided(overlay.noded(edges))) == small and len(small) > 100
