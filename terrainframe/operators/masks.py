@@ -17,13 +17,10 @@ def filled(cells: DataFrame, least_cells: int = 1) -> DataFrame:
 
     Each outer ring's inside is the filled object; objects in the hole of another lie inside it.
     """
-    found = outlines.outlines(cells, 0.0, 0.0, 1.0)
-    each = found.select("pour_id", F.posexplode(F.slice("rings", 1, F.col("n_outer"))).alias("k", "r"))
+    outer = outlines.signed_rings(outlines.corners(cells, 0.0, 0.0, 1.0)).where(F.col("area") > least_cells - 0.5)  # an outer ring's area is its cells; a set's rings may be millions and aren't gathered
     down = F.transform("r", lambda p: F.struct(p.x.alias("x"), (-p.y).alias("y")))  # rows grow downwards again
-    shapes = each.select(F.struct("pour_id", "k").alias("zone_id"), F.array(down).alias("rings"))
-    spans = joins.shape_spans(shapes)
-    big = spans.groupBy("zone_id").agg(F.sum(F.col("high") - F.col("low") + 1).alias("n")).where(F.col("n") >= least_cells).select("zone_id")
-    inside = spans.join(big, "zone_id", "left_semi").select("zone_id.pour_id", F.col("row").cast("long").alias("row"), F.explode(F.sequence(F.col("low").cast("long"), F.col("high").cast("long"))).alias("col"))
+    spans = joins.shape_spans(outer.where("area > 0").select(F.struct("pour_id", "ring").alias("zone_id"), F.array(down).alias("rings")))
+    inside = spans.select("zone_id.pour_id", F.col("row").cast("long").alias("row"), F.explode(F.sequence(F.col("low").cast("long"), F.col("high").cast("long"))).alias("col"))
     return inside.distinct()
 
 

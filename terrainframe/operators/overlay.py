@@ -6,8 +6,8 @@ A shape is an array of rings and inside by the even-odd rule: parts, holes and r
    parity of each owner. Coordinates are held to ``DIGITS`` digits, so a place found from two edges is one node.
 2. ``sided``: which owners lie left and right of each piece: a ray from its middle counts pieces of its height band, and the piece itself separates.
 3. ``boundary``: pieces that have a region on one side only, directed with the region on their left; its area is a sum over them, without tracing.
-4. ``traced``: pieces meet end to start, at a node the first one clockwise from where they came, so parts that touch at a point stay apart. Pointer
-   doubling names rings and places, as for cell outlines.
+4. ``traced``: pieces meet end to start, at a node the first one clockwise from where they came, so parts that touch at a point stay apart. Chains, and pointer
+   doubling over them, name rings and places, as for cell outlines.
 
 Bucket and band sizes follow each shape's mean piece, so there are about as many rows as pieces, however long single ones are. Shapes of few edges need neither: their
 edges are dealt by shape once and meet in its row, whatever they are; both ways use the same arithmetic.
@@ -31,6 +31,8 @@ from terrainframe.tables import dealt, shuffle_parts, shuffled, written
 DIGITS = 9
 #: Shapes of at most so many edges, and of so many pieces, meet within their row; the others by buckets and bands. So the pairs looked at grow with the edges alone.
 FEW_EDGES, FEW_PIECES = 128, 512
+#: Borders of at most so many pieces are traced within a task, others by squares of a hundred mean pieces.
+RING_PIECES = 100_000
 #: Rays run along a slant that no edge of round coordinates has.
 SLANT = 0.6180339887498949
 ENDS = ("x0", "y0", "x1", "y1")
@@ -250,19 +252,31 @@ def traced(border: DataFrame) -> DataFrame:
     """shape_id, rings (closed, by falling area; holes, clockwise, last), n_outer, n_holes, n_corners, area. Points where the only way goes straight on are left out."""
     c = F.col
     own = written(border.withColumn("edge", F.monotonically_increasing_id()), "border")
+    small, large = _parted(own, RING_PIECES)
+    steps = _followed(small.repartition(shuffle_parts(own), "shape_id")).sortWithinPartitions("pour_id")
+    if large is not None:
+        sizes = shuffled(large.groupBy("shape_id").agg((100 * F.avg(F.greatest(F.abs(c("x1") - c("x0")), F.abs(c("y1") - c("y0"))))).alias("size")))
+        square = ["pour_id", F.floor(c("x") / c("size")).alias("_x"), F.floor(c("y") / c("size")).alias("_y")]
+        far = _followed(large).join(sizes.withColumnRenamed("shape_id", "pour_id"), "pour_id").select("*", *square[1:]).drop("size")
+        steps = steps.unionByName(far.repartition(shuffle_parts(own), "pour_id", "_x", "_y").sortWithinPartitions("pour_id", "_x", "_y").drop("_x", "_y"))
+    corners = ring_places(steps).where("bend")
+    return gathered(corners.select("pour_id", "ring", F.struct("place", "x", "y").alias("p"))).withColumnRenamed("pour_id", "shape_id")
+
+
+def _followed(own: DataFrame) -> DataFrame:
+    """pour_id (the shape's), edge, next, bend, x, y (the edge's end) of directed pieces: the way on at a node."""
+    c = F.col
     angle = F.atan2(c("y1") - c("y0"), c("x1") - c("x0"))
     behind = F.atan2(c("y0") - c("y1"), c("x0") - c("x1"))
     none = F.lit(None)
-    starts = own.select("shape_id", c("x0").alias("x"), c("y0").alias("y"), angle.alias("at"), F.struct("edge", angle.alias("at")).alias("out"), none.cast("long").alias("in"))
-    ends = own.select("shape_id", c("x1").alias("x"), c("y1").alias("y"), behind.alias("at"), none.cast("struct<edge:bigint,at:double>").alias("out"), c("edge").alias("in"))
+    start = F.struct(c("x0").alias("x"), c("y0").alias("y"), angle.alias("at"), F.struct("edge", angle.alias("at")).alias("out"), none.cast("long").alias("in"))
+    end = F.struct(c("x1").alias("x"), c("y1").alias("y"), behind.alias("at"), none.cast("struct<edge:bigint,at:double>").alias("out"), c("edge").alias("in"))
     node = Window.partitionBy("shape_id", "x", "y").orderBy("at")
     before, whole = node.rowsBetween(Window.unboundedPreceding, -1), node.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     follow = F.coalesce(F.last("out", ignorenulls=True).over(before), F.last("out", ignorenulls=True).over(whole))
-    met = starts.unionByName(ends).withColumns({"next": follow, "ways": F.count("out").over(whole)}).where(c("in").isNotNull())
+    met = own.select("shape_id", F.inline(F.array(start, end))).withColumns({"next": follow, "ways": F.count("out").over(whole)}).where(c("in").isNotNull())
     bend = (F.abs(F.sin(c("next.at") - c("at"))) > 1e-9) | (c("ways") > 1)
-    steps = met.select(c("shape_id").alias("pour_id"), c("in").alias("edge"), c("next.edge").alias("next"), bend.alias("bend"))
-    corners = ring_places(steps).where("bend").join(own.select("edge", c("x1").alias("x"), c("y1").alias("y")), "edge")
-    return gathered(corners.select("pour_id", "ring", F.struct("place", "x", "y").alias("p"))).withColumnRenamed("pour_id", "shape_id")
+    return met.select(c("shape_id").alias("pour_id"), c("in").alias("edge"), c("next.edge").alias("next"), bend.alias("bend"), "x", "y")
 
 
 def _whole(shapes: DataFrame, found: DataFrame) -> DataFrame:

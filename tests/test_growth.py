@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from terrainframe.functions.quantiles import exact_quantiles
-from terrainframe.operators import hydrology, joins, kernels, layers, overlay, stencil
+from terrainframe.operators import hydrology, joins, kernels, layers, outlines, overlay, stencil
 
 
 def plan(df):
@@ -120,3 +120,30 @@ def test_shapes_of_few_edges_meet_in_their_row(spark, monkeypatch):
     monkeypatch.setattr(overlay, "FEW_EDGES", 14)
     monkeypatch.setattr(overlay, "FEW_PIECES", 0)
     assert rows(overlay.sided(overlay.noded(edges))) == small and len(small) > 100
+
+
+def test_outlines_deal_cells_once(spark):
+    """From cells to chains one exchange, whose rows are little more than the cells, and no rounds of jumps where rings close within tiles."""
+    cells = spark.range(40_000).select((F.col("id") % 1).alias("pour_id"), F.floor(F.col("id") / 200).alias("row"), (F.col("id") % 200).alias("col")).where("(row * 7 + col * 3) % 5 > 1")
+    steps = outlines.steps(cells)
+    assert plan(steps).count("Exchange") == 1 and "Join" not in plan(steps)
+    chained = outlines.chained(steps)
+    assert chained.count() == steps.select("edge").distinct().count() and chained.where("chain IS NOT NULL").isEmpty()
+
+
+def test_rings_hang_on_no_dealing(spark):
+    """Sets over tile borders and below zero, met at corners: the rings are those of edges dealt one by one, and of a walk."""
+    rng = random.Random(2)
+    held = [(p, r, c) for p in (1, 2) for r in range(-6, 9) for c in range(251, 262) if rng.random() < 0.6] + [(3, 0, c) for c in range(600)]
+    cells = spark.createDataFrame([*held, *held[:9]], "pour_id long, row long, col long")
+    rows = lambda df: sorted(tuple(r) for r in df.select("pour_id", "ring", "edge", "bend").collect())
+    order = lambda df: [(r.pour_id, r.ring, r.edges) for r in df.groupBy("pour_id", "ring").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "edge"))), lambda q: q.edge).alias("edges")).orderBy("pour_id", "ring").collect()]
+    tiled = outlines.rings(cells)
+    dealt = outlines.ring_places(outlines.steps(cells).repartition(40, "edge"))
+    assert rows(tiled) == rows(dealt) and order(tiled) == order(dealt)
+    follow = {(r.pour_id, r.edge): r.next for r in outlines.steps(cells).collect()}
+    inside = set(held)
+    assert len(follow) == sum((p, r + dr, c + dc) not in inside for p, r, c in inside for dr, dc in ((0, 1), (0, -1), (1, 0), (-1, 0)))
+    for p, ring, edges in order(tiled):
+        assert ring == edges[0] == min(edges) and all(follow[p, e] == f for e, f in zip(edges, [*edges[1:], edges[0]], strict=True))
+    assert sum(len(edges) for _, _, edges in order(tiled)) == len(follow)
