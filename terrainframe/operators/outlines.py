@@ -88,7 +88,7 @@ def steps(cells: DataFrame) -> DataFrame:
 
 
 def _chains(pour: np.ndarray, edge: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For the edges of a chunk: their ring's or chain's least edge, the chain's first edge (-1: the ring is closed), its last edge's follower, its edges, and each edge's place in it."""
+    """For the edges of a chunk: their ring's or chain's least edge, the chain's first edge (-1: the ring is closed), its last edge's follower, its edges, each edge's place in it, and the least one's."""
     n = len(edge)
     names = np.unique(np.concatenate([edge, after]))
     key = pour * len(names) + np.searchsorted(names, edge)
@@ -118,23 +118,23 @@ def _chains(pour: np.ndarray, edge: np.ndarray, after: np.ndarray) -> tuple[np.n
     first[jump[place == 0]] = own[place == 0]
     back = np.empty(n, np.int64)
     back[order] = own
-    out = edge[low[jump]], np.where(ring, -1, edge[first[jump]]), after[jump], count, place
+    out = edge[low[jump]], np.where(ring, -1, edge[first[jump]]), after[jump], count, place, place[low[jump]]
     return tuple(k[back] for k in out)
 
 
 def chained(steps: DataFrame) -> DataFrame:
-    """``(pour_id, edge, next, ...)`` with least, chain (its first edge; null in a closed ring), onward (the edge after its last; told by its first), n, at (the edge's place in it)."""
+    """``(pour_id, edge, next, ...)`` with least, chain (its first edge; null in a closed ring), onward (the edge after its last; told by its first), n, at (the edge's place in it), least_at (the least edge's; told by its first)."""
     kept = [k for k in steps.columns if k != "next"]
-    schema = T.StructType([*[steps.schema[k] for k in kept], *[T.StructField(k, T.LongType()) for k in ("least", "chain", "onward", "n", "at")]])
+    schema = T.StructType([*[steps.schema[k] for k in kept], *[T.StructField(k, T.LongType()) for k in ("least", "chain", "onward", "n", "at", "least_at")]])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = pa.Table.from_batches(held)
             pour = pd.factorize(rows["pour_id"].to_pandas(), use_na_sentinel=False)[0].astype(np.int64)
-            least, chain, onward, n, at = _chains(pour, rows["edge"].to_numpy(), rows["next"].to_numpy())
-            told = [pa.array(least), pa.array(chain, mask=chain < 0), pa.array(onward, mask=at > 0), pa.array(n), pa.array(at)]
+            least, chain, onward, n, at, least_at = _chains(pour, rows["edge"].to_numpy(), rows["next"].to_numpy())
+            told = [pa.array(least), pa.array(chain, mask=chain < 0), pa.array(onward, mask=at > 0), pa.array(n), pa.array(at), pa.array(least_at, mask=at > 0)]
             out = rows.select(kept)
-            for name, column in zip(("least", "chain", "onward", "n", "at"), told, strict=True):
+            for name, column in zip(("least", "chain", "onward", "n", "at", "least_at"), told, strict=True):
                 out = out.append_column(name, column)
             yield from out.to_batches(max_chunksize=100_000)
 
@@ -159,7 +159,7 @@ def ring_places(steps: DataFrame) -> DataFrame:
     c = F.col
     more = [k for k in steps.columns if k not in ("pour_id", "edge", "next")]
     every = written(chained(steps), "ring-edges")
-    chains = written(every.where("chain IS NOT NULL AND at = 0").select("pour_id", c("chain").alias("edge"), c("onward").alias("next"), "least", "n"), "chains")
+    chains = written(every.where("chain IS NOT NULL AND at = 0").select("pour_id", c("chain").alias("edge"), c("onward").alias("next"), "least", "n", "least_at"), "chains")
     whole = every.where("chain IS NULL").select("pour_id", c("least").alias("ring"), c("at").alias("place"), "edge", *more)
     if chains.isEmpty():
         return whole
@@ -182,9 +182,10 @@ def ring_places(steps: DataFrame) -> DataFrame:
         new = written(state.join(far, ["pour_id", "far"], "left").select("pour_id", "edge", c("further").alias("far"), (c("left") + F.coalesce("more", F.lit(0))).alias("left")), "ranks")
         discard(state)
         state = new
-    told = written(named.select("pour_id", c("edge").alias("chain"), "ring").join(state.select("pour_id", c("edge").alias("chain"), "left"), ["pour_id", "chain"]), "chain-places")
+    told = written(named.select("pour_id", c("edge").alias("chain"), "ring", F.when(c("least") == c("ring"), c("least_at")).otherwise(0).alias("behind")).join(state.select("pour_id", c("edge").alias("chain"), "left"), ["pour_id", "chain"]), "chain-places")
     parts = every.where("chain IS NOT NULL").join(told, ["pour_id", "chain"])
-    return whole.unionByName(parts.select("pour_id", "ring", (c("at") - c("left")).alias("place"), "edge", *more))
+    place = F.when(c("at") < c("behind"), c("at")).otherwise(c("at") - c("left"))  # what lies before the least edge in its chain comes last
+    return whole.unionByName(parts.select("pour_id", "ring", place.alias("place"), "edge", *more))
 
 
 def rings(cells: DataFrame) -> DataFrame:
