@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrainframe.operators import joins, outlines
+from terrainframe.operators import outlines
+from terrainframe.tables import shuffled
 
 CROSS = ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))
 #: Least cells of an object that stays (fixed value).
@@ -15,12 +16,14 @@ LEAST_CELLS = 4
 def filled(cells: DataFrame, least_cells: int = 1) -> DataFrame:
     """``(pour_id, row, col)`` with holes filled and filled objects (side neighbours hang together) of fewer than ``least_cells`` dropped.
 
-    Each outer ring's inside is the filled object; objects in the hole of another lie inside it.
+    Each outer ring's inside is the filled object; objects in the hole of another lie inside it. Its cells in a row lie between its upright edges, two by two, and its area counts them.
     """
-    outer = outlines.signed_rings(outlines.corners(cells, 0.0, 0.0, 1.0)).where(F.col("area") > least_cells - 0.5)  # an outer ring's area is its cells; a set's rings may be millions and aren't gathered
-    down = F.transform("r", lambda p: F.struct(p.x.alias("x"), (-p.y).alias("y")))  # rows grow downwards again
-    spans = joins.shape_spans(outer.where("area > 0").select(F.struct("pour_id", "ring").alias("zone_id"), F.array(down).alias("rings")))
-    inside = spans.select("zone_id.pour_id", F.col("row").cast("long").alias("row"), F.explode(F.sequence(F.col("low").cast("long"), F.col("high").cast("long"))).alias("col"))
+    c, side = F.col, outlines.edge_side(F.col("edge"))
+    upright = outlines.rings(cells).where((side == 1) | (side == 3)).select("pour_id", "ring", (outlines.edge_row(c("edge")) - (side == 3).cast("long")).alias("row"), outlines.edge_col(c("edge")).alias("low"), (side == 1).alias("enters"))
+    big = upright.groupBy("pour_id", "ring").agg(F.sum(F.when(c("enters"), -c("low")).otherwise(c("low"))).alias("n")).where(c("n") >= max(least_cells, 1))  # a hole's is below 0
+    line = Window.partitionBy("pour_id", "ring", "row").orderBy("low")
+    spans = upright.join(shuffled(big), ["pour_id", "ring"], "left_semi").withColumn("high", F.lead("low").over(line)).where("enters")
+    inside = spans.select("pour_id", "row", F.explode(F.sequence("low", c("high") - 1)).alias("col"))
     return inside.distinct()
 
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from terrainframe.functions.quantiles import exact_quantiles
-from terrainframe.operators import hydrology, joins, kernels, layers, outlines, overlay, stencil
+from terrainframe.operators import hydrology, joins, kernels, layers, masks, outlines, overlay, stencil
 
 
 def plan(df):
@@ -147,3 +147,10 @@ def test_rings_hang_on_no_dealing(spark):
     for p, ring, edges in order(tiled):
         assert ring == edges[0] == min(edges) and all(follow[p, e] == f for e, f in zip(edges, [*edges[1:], edges[0]], strict=True))
     assert sum(len(edges) for _, _, edges in order(tiled)) == len(follow)
+
+
+def test_filling_gathers_no_ring(spark):
+    """A set's rings, and a ring's points, may be millions: none of them become an array."""
+    cells = spark.createDataFrame([(1, r, c) for r in range(6) for c in range(6) if (r, c) not in {(1, 1), (2, 2), (4, 4)}] + [(1, 9, 9)], "pour_id long, row long, col long")
+    found = masks.filled(cells, 4)
+    assert "collect_list" not in plan(found) and found.count() == 36
