@@ -154,3 +154,9 @@ def test_filling_gathers_no_ring(spark):
     cells = spark.createDataFrame([(1, r, c) for r in range(6) for c in range(6) if (r, c) not in {(1, 1), (2, 2), (4, 4)}] + [(1, 9, 9)], "pour_id long, row long, col long")
     found = masks.filled(cells, 4)
     assert "collect_list" not in plan(found) and found.count() == 36
+
+
+def test_few_lines_are_dealt_before_they_become_pixels(spark):
+    lines = spark.range(40, numPartitions=1).select(F.col("id").alias("line_id"), F.lit(0).cast("long").alias("r0"), F.col("id").alias("c0"), F.lit(50).cast("long").alias("r1"), (39 - F.col("id")).alias("c1"))
+    found = stencil.bresenham(lines)
+    assert found.rdd.getNumPartitions() == 4 and found.count() == 40 * 51
