@@ -160,3 +160,13 @@ def test_few_lines_are_dealt_before_they_become_pixels(spark):
     lines = spark.range(40, numPartitions=1).select(F.col("id").alias("line_id"), F.lit(0).cast("long").alias("r0"), F.col("id").alias("c0"), F.lit(50).cast("long").alias("r1"), (39 - F.col("id")).alias("c1"))
     found = stencil.bresenham(lines)
     assert found.rdd.getNumPartitions() == 4 and found.count() == 40 * 51
+
+
+def test_borders_are_traced_the_same_by_shape_and_by_square(spark, monkeypatch):
+    lines = spark.createDataFrame([(1, 0.0, 0.0, 3.0, 4.0), (3, -2.0, 0.0, 2.0, 0.0), (3, 0.0, -2.0, 0.0, 2.0), (4, 5.0, 5.0, 5.0, 5.0)], "shape_id long, x0 double, y0 double, x1 double, y1 double")
+    seen = []
+    for most in (100_000, 0):
+        monkeypatch.setattr(overlay, "RING_PIECES", most)
+        rows = overlay.buffered(None, lines, 0.5).collect()
+        seen.append(sorted((r.shape_id, r.n_outer, r.n_holes, r.n_corners, round(r.area, 6), sorted(sorted((p.x, p.y) for p in ring[:-1]) for ring in r.rings)) for r in rows))
+    assert seen[0] == seen[1] and [r[:3] for r in seen[0]] == [(1, 1, 0), (3, 1, 0), (4, 1, 0)]
