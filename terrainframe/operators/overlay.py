@@ -10,7 +10,7 @@ A shape is an array of rings and inside by the even-odd rule: parts, holes and r
    doubling over them, name rings and places, as for cell outlines.
 
 Bucket and band sizes follow each shape's mean piece, so there are about as many rows as pieces, however long single ones are. Shapes of few edges need neither: their
-edges are dealt by shape once and meet in its row, whatever they are; both ways use the same arithmetic.
+edges are dealt by shape once, and a task nodes many shapes at a time and finds the sides of their pieces (``noding``); both ways use the same arithmetic.
 
 Edge cases: points without finite coordinates are left out, open rings are closed; null, empty and flat shapes (points, lines) have no pieces: no rings, area 0. Edges covered twice cancel.
 A crossing is rounded by half a unit of the last digit; pieces shorter than that vanish.
@@ -24,17 +24,19 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from terrainframe.operators import noding
+from terrainframe.operators.noding import SLANT
 from terrainframe.operators.outlines import gathered, ring_places
 from terrainframe.tables import dealt, shuffle_parts, shuffled, written
 
 DIGITS = 9
-#: Shapes of at most so many edges, and of so many pieces, meet within their row; the others by buckets and bands. So the pairs looked at grow with the edges alone.
+#: Shapes of at most so many edges, and of so many pieces, are worked on within a task; the others by buckets and bands. So the pairs looked at grow with the edges alone.
 FEW_EDGES, FEW_PIECES = 128, 512
 #: Borders of at most so many pieces are traced within a task, others by squares of a hundred mean pieces.
 RING_PIECES = 100_000
-#: Rays run along a slant that no edge of round coordinates has.
-SLANT = 0.6180339887498949
 ENDS = ("x0", "y0", "x1", "y1")
 Region = Callable[[Column, Column], Column]
 #: Regions of two owners.
@@ -88,8 +90,8 @@ def _parted(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
     return (rows, None) if large.isEmpty() else (rows.join(large, "shape_id", "left_anti"), rows.join(large, "shape_id", "left_semi"))
 
 
-def _places(met: DataFrame, keep: list[str], digits: int, alone: Column | None = None) -> DataFrame:
-    """``keep``, of_a, x, y: the places inside edge a (of_a) or b of each row where they cross, touch or end; rows that are ``alone`` have one without a place.
+def _places(met: DataFrame, keep: list[str], digits: int) -> DataFrame:
+    """``keep``, of_a, x, y: the places inside edge a (of_a) or b of each row where they cross, touch or end.
 
     Boxes are compared first, and all is plain arithmetic that Spark compiles: functions over arrays are interpreted.
     """
@@ -97,22 +99,19 @@ def _places(met: DataFrame, keep: list[str], digits: int, alone: Column | None =
     near = 2.0 * 10**-digits
     low, high = lambda e, k: F.least(c(f"{e}.{k}0"), c(f"{e}.{k}1")), lambda e, k: F.greatest(c(f"{e}.{k}0"), c(f"{e}.{k}1"))
     apart = [(low(p, k) > high(q, k) + near) for k in "xy" for p, q in ("ab", "ba")]
-    close = ~reduce(lambda p, q: p | q, apart)
-    met = met.where(close if alone is None else close | alone)
+    met = met.where(~reduce(lambda p, q: p | q, apart))
     dx, dy, ex, ey = c("a.x1") - c("a.x0"), c("a.y1") - c("a.y0"), c("b.x1") - c("b.x0"), c("b.y1") - c("b.y0")
     wx, wy = c("b.x0") - c("a.x0"), c("b.y0") - c("a.y0")
     cross = dx * ey - dy * ex
     t, u = F.try_divide(wx * ey - wy * ex, cross), F.try_divide(wx * dy - wy * dx, cross)
     ends = [(p, q, x, y) for p, q in ("ab", "ba") for x, y in (ENDS[:2], ENDS[2:])]
     on = {f"_on{k}": _off(p, p, (f"{q}.{x}", f"{q}.{y}")) <= near for k, (p, q, x, y) in enumerate(ends)}
-    told = met.select(*[c(k) for k in keep], "a", "b", *([] if alone is None else [alone.alias("_alone")]), t.alias("_t"), u.alias("_u"), *[v.alias(k) for k, v in on.items()])
-    idle = F.lit(False) if alone is None else c("_alone")
-    place = lambda of_a, when, x, y: F.struct(F.lit(of_a).alias("of_a"), F.when(when & ~idle, x).alias("x"), F.when(when & ~idle, y).alias("y"))
+    told = met.select(*[c(k) for k in keep], "a", "b", t.alias("_t"), u.alias("_u"), *[v.alias(k) for k, v in on.items()])
+    place = lambda of_a, when, x, y: F.struct(F.lit(of_a).alias("of_a"), F.when(when, x).alias("x"), F.when(when, y).alias("y"))
     inner = (c("_t") > 0) & (c("_t") < 1) & (c("_u") > 0) & (c("_u") < 1) & ~reduce(lambda p, q: p | q, map(c, on))
     at = snapped(c("a.x0") + c("_t") * dx, digits), snapped(c("a.y0") + c("_t") * dy, digits)
     found = [place(p == "a", c(f"_on{k}"), c(f"{q}.{x}"), c(f"{q}.{y}")) for k, (p, q, x, y) in enumerate(ends)] + [place(of_a, inner, *at) for of_a in (True, False)]
-    each = told.select(*keep, "a", "b", idle.alias("_alone"), F.inline(F.array(*found)))
-    return each.where(c("x").isNotNull() | (c("_alone") & c("of_a"))).drop("_alone")
+    return told.select(*keep, "a", "b", F.inline(F.array(*found))).where(c("x").isNotNull())
 
 
 def cuts(edges: DataFrame, digits: int = DIGITS, between: bool = False) -> DataFrame:
@@ -126,14 +125,11 @@ def cuts(edges: DataFrame, digits: int = DIGITS, between: bool = False) -> DataF
     return each.groupBy("shape_id", "e").agg(F.collect_set("at").alias("cuts"))
 
 
-def _cut_within(edges: DataFrame, digits: int) -> DataFrame:
-    """shape_id, owner, ends, cuts of the edges of shapes of few edges: a shape's edges meet in its row, so nothing is shuffled but the edges, once."""
-    c = F.col
-    whole = edges.repartition(shuffle_parts(edges), "shape_id").groupBy("shape_id").agg(F.collect_list(F.struct("owner", *ENDS)).alias("es"))
-    pairs = whole.select("shape_id", "es", F.posexplode("es").alias("i", "a")).select("shape_id", "i", "a", F.posexplode("es").alias("j", "b")).where("j >= i")
-    each = _places(pairs, ["shape_id", "i", "j"], digits, c("i") == c("j"))
-    of = each.select("shape_id", F.when(c("of_a"), c("i")).otherwise(c("j")).alias("e"), F.when(c("of_a"), c("a")).otherwise(c("b")).alias("s"), F.when(c("x").isNotNull(), F.struct("x", "y")).alias("at"))
-    return of.groupBy("shape_id", "e", *[c(f"s.{k}").alias(k) for k in ("owner", *ENDS)]).agg(F.collect_set("at").alias("cuts")).drop("e")
+def _within(rows: DataFrame, work: Callable[[noding.Columns], noding.Columns], names: dict[str, str]) -> DataFrame:
+    """``work`` of ``noding`` on shapes of few rows, dealt by shape: shape_id and columns of ``names``, with their types."""
+    schema = T.StructType([rows.schema["shape_id"], *T.StructType.fromDDL(", ".join(f"{k} {kind}" for k, kind in names.items()))])
+    held = rows.repartition(shuffle_parts(rows), "shape_id").sortWithinPartitions("shape_id")
+    return held.mapInArrow(noding.by_shape(work, to_arrow_schema(schema)), schema)
 
 
 def way() -> Column:
@@ -147,53 +143,53 @@ def way() -> Column:
     return F.when(bare, F.concat(end("x0", "y0"), end("x1", "y1"))).otherwise(F.concat(end("x0", "y0"), inner, end("x1", "y1")))
 
 
-def noded(edges: DataFrame, digits: int = DIGITS, all_pieces: bool = False) -> DataFrame:
+#: Columns of pieces, and what a ray from a piece tells.
+PIECE = {**dict.fromkeys(ENDS, "double"), "a": "int", "b": "int", "n": "long", "net": "long"}
+RAY = {"rising": "boolean", "na": "long", "nb": "long", "w": "long"}
+
+
+def noded(edges: DataFrame, digits: int = DIGITS, all_pieces: bool = False, rays: bool = False) -> DataFrame:
     """shape_id, ends (the lesser first), a, b, n, net: pieces that cross no other, with each owner's parity, the number of edges on them and that of edges along them less that of
-    edges against them. Pieces even for both owners are gone, unless ``all_pieces``."""
-    c = F.col
-    own = written(edges.withColumn("e", F.monotonically_increasing_id()), "shape-edges")
-    small, large = _parted(own, FEW_EDGES)
-    walk = _cut_within(small, digits).select("shape_id", "owner", way().alias("w"))
+    edges against them. Pieces even for both owners are gone, unless ``all_pieces``. With ``rays`` also what ``rayed`` adds, without another exchange for shapes of few edges."""
+    small, large = _parted(written(edges, "shape-edges"), FEW_EDGES)
+    work = (lambda rows: noding.rays(noding.pieces(rows, digits))) if rays else (lambda rows: noding.pieces(rows, digits))
+    found = _within(small.select("shape_id", "owner", *ENDS), work, PIECE | RAY if rays else PIECE)
     if large is not None:
-        large = written(large, "large-edges")
-        walk = walk.unionByName(large.join(cuts(large, digits), ["shape_id", "e"], "left").select("shape_id", "owner", way().alias("w")))
+        far = _noded_by_buckets(large, digits)
+        found = found.unionByName(_right_by_bands(_heights(far)) if rays else far)
+    return found if all_pieces else found.where("a + b > 0")
+
+
+def _noded_by_buckets(edges: DataFrame, digits: int) -> DataFrame:
+    """``noded`` for shapes of many edges."""
+    c = F.col
+    own = written(edges.withColumn("e", F.monotonically_increasing_id()), "large-edges")
+    walk = own.join(cuts(own, digits), ["shape_id", "e"], "left").select("shape_id", "owner", way().alias("w"))
     one = F.array(F.struct(F.get("w", F.lit(0)).alias("p"), F.get("w", F.lit(1)).alias("q")))
     steps = F.when(F.size("w") == 2, one).otherwise(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.get("w", i - 1).alias("p"), F.get("w", i).alias("q"))))
     pieces = walk.select("shape_id", "owner", F.inline(steps)).where("p <> q")
     parity = lambda k: (F.count_if(c("owner") == k) % 2).cast("int")
     low, high = F.least("p", "q"), F.greatest("p", "q")
     named = pieces.select("shape_id", "owner", F.when(c("p") < c("q"), 1).otherwise(-1).alias("way"), low.x.alias("x0"), low.y.alias("y0"), high.x.alias("x1"), high.y.alias("y1"))
-    found = named.groupBy("shape_id", *ENDS).agg(parity(0).alias("a"), parity(1).alias("b"), F.count("*").alias("n"), F.sum("way").alias("net"))
-    return found if all_pieces else found.where("a + b > 0")
+    return named.groupBy("shape_id", *ENDS).agg(parity(0).alias("a"), parity(1).alias("b"), F.count("*").alias("n"), F.sum("way").alias("net"))
 
 
-def _right_of(pieces: DataFrame, weights: dict[str, Column]) -> DataFrame:
-    """``pieces`` with rising, and sums of ``weights`` (columns of other pieces, named o...) over the pieces that a slanted ray from just right of its middle meets."""
-    c = F.col
-    own = pieces.withColumns({"h0": c("y0") + SLANT * c("x0"), "h1": c("y1") + SLANT * c("x1"), "id": F.monotonically_increasing_id()})
-    own = written(own, "pieces")
-    small, large = _parted(own, FEW_PIECES)
-    found = _right_within(small, weights)
-    return found if large is None else found.unionByName(_right_by_bands(written(large, "large-pieces"), weights))
+def _heights(pieces: DataFrame) -> DataFrame:
+    own = pieces.withColumns({"h0": F.col("y0") + SLANT * F.col("x0"), "h1": F.col("y1") + SLANT * F.col("x1"), "id": F.monotonically_increasing_id()})
+    return written(own, "pieces")
 
 
-def _right_within(own: DataFrame, weights: dict[str, Column]) -> DataFrame:
-    """``_right_of`` for shapes of few pieces: they meet in their shape's row."""
-    c = F.col
-    mx, mh = (c("x0") + c("x1")) / 2, (c("h0") + c("h1")) / 2
-    p, q = F.struct(*ENDS, "a", "b", "net", "h0", "h1", mx.alias("mx"), mh.alias("mh")), F.struct(*[c(k).alias(f"o{k}") for k in ("x0", "x1", "h0", "h1", "a", "b", "net")], F.least("h0", "h1").alias("low"), F.greatest("h0", "h1").alias("high"))
-    whole = own.repartition(shuffle_parts(own), "shape_id").groupBy("shape_id").agg(F.collect_list(F.struct(p.alias("p"), q.alias("q"))).alias("all"))
-    pairs = whole.select("shape_id", "all", F.posexplode("all").alias("i", "at")).select("shape_id", "i", c("at.p").alias("p"), F.posexplode("all").alias("j", "other"))
-    # high > low, and no division by zero, wherever the ray's height lies between
-    right = (c("other.q.low") <= c("p.mh")) & (c("p.mh") < c("other.q.high")) & (c("other.q.ox0") + F.try_divide(c("p.mh") - c("other.q.oh0"), c("other.q.oh1") - c("other.q.oh0")) * (c("other.q.ox1") - c("other.q.ox0")) > c("p.mx"))
-    met = pairs.where((c("i") == c("j")) | right).select("shape_id", "i", "p.*", (c("i") != c("j")).alias("_met"), "other.q.*")
-    keys = [*ENDS, "a", "b", "net", "h0", "h1"]
-    told = met.groupBy("shape_id", "i", *keys).agg(*[F.coalesce(F.sum(F.when(c("_met"), w)), F.lit(0)).alias(k) for k, w in weights.items()])
-    return told.select("shape_id", *ENDS, "a", "b", "net", (c("h1") > c("h0")).alias("rising"), *weights)
-
-
-def _right_by_bands(own: DataFrame, weights: dict[str, Column]) -> DataFrame:
-    """``_right_of`` for shapes of many pieces: they meet by bands of heights."""
+def rayed(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with rising, and sums over the other pieces that a slanted ray from just right of its middle meets: na and nb of their parities, w of their net ways upwards."""
+    if "rising" in pieces.columns:
+        return pieces
+    small, large = _parted(written(pieces, "pieces"), FEW_PIECES)
+    found = _within(small.select("shape_id", *PIECE), noding.rays, PIECE | RAY)
+    return found if large is None else found.unionByName(_right_by_bands(_heights(large.select("shape_id", *PIECE))))
+
+
+def _right_by_bands(own: DataFrame) -> DataFrame:
+    """``rayed`` for shapes of many pieces: they meet by bands of heights."""
     c = F.col
     own = own.join(own.groupBy("shape_id").agg((2 * F.avg(F.abs(c("h1") - c("h0")))).alias("size")).where("size > 0"), "shape_id")
     low, high = F.least("h0", "h1"), F.greatest("h0", "h1")
@@ -202,27 +198,26 @@ def _right_by_bands(own: DataFrame, weights: dict[str, Column]) -> DataFrame:
     probes = own.select("shape_id", "id", mx.alias("mx"), mh.alias("mh"), F.floor(mh / c("size")).alias("band"))
     met = probes.join(bars, ["shape_id", "band"]).where((c("id") != c("other")) & (F.least("oh0", "oh1") <= c("mh")) & (c("mh") < F.greatest("oh0", "oh1")))
     right = met.where(c("ox0") + (c("mh") - c("oh0")) / (c("oh1") - c("oh0")) * (c("ox1") - c("ox0")) > c("mx"))
+    weights = {"na": c("oa"), "nb": c("ob"), "w": F.when(c("oh1") > c("oh0"), c("onet")).otherwise(-c("onet"))}
     counts = right.groupBy("id").agg(*[F.sum(w).alias(k) for k, w in weights.items()])
     told = own.join(counts, "id", "left").withColumn("rising", c("h1") > c("h0"))
-    return told.select("shape_id", *ENDS, "a", "b", "net", "rising", *[F.coalesce(k, F.lit(0)).alias(k) for k in weights])
+    return told.select("shape_id", *PIECE, "rising", *[F.coalesce(k, F.lit(0)).alias(k) for k in weights])
 
 
 def sided(pieces: DataFrame) -> DataFrame:
     """``pieces`` with la, lb, ra, rb: whether the owners lie left and right of the way from its first end to its last, by the even-odd rule."""
     c = F.col
-    told = _right_of(pieces, {"na": c("oa"), "nb": c("ob")})
     left = lambda k: (c(f"n{k}") + c("rising").cast("long") * c(k)) % 2 == 1  # noqa: E731  a ray from left of a rising piece meets the piece itself
-    out = told.select("shape_id", *ENDS, "a", "b", left("a").alias("la"), left("b").alias("lb"))
+    out = rayed(pieces).select("shape_id", *ENDS, "a", "b", left("a").alias("la"), left("b").alias("lb"))
     return out.withColumns({"ra": c("la") != (c("a") == 1), "rb": c("lb") != (c("b") == 1)})
 
 
 def wound(pieces: DataFrame) -> DataFrame:
     """``pieces`` (all of them) with la, ra: whether any ring winds around what lies left and right of them; lb and rb are false. So counter-clockwise rings make their union."""
     c = F.col
-    told = _right_of(pieces.where("net <> 0"), {"w": F.when(c("oh1") > c("oh0"), c("onet")).otherwise(-c("onet"))})
     upper = c("w") + F.when(c("rising"), c("net")).otherwise(-c("net"))  # on the side the ray comes from through the piece
     la, ra = F.when(c("rising"), upper).otherwise(c("w")) != 0, F.when(c("rising"), c("w")).otherwise(upper) != 0
-    return told.select("shape_id", *ENDS, "a", "b", la.alias("la"), F.lit(False).alias("lb"), ra.alias("ra"), F.lit(False).alias("rb"))
+    return rayed(pieces.where("net <> 0")).select("shape_id", *ENDS, "a", "b", la.alias("la"), F.lit(False).alias("lb"), ra.alias("ra"), F.lit(False).alias("rb"))
 
 
 def boundary(sides: DataFrame, region: Region = lambda a, b: a) -> DataFrame:
@@ -305,7 +300,7 @@ def make_valid(shapes: DataFrame, digits: int = DIGITS) -> DataFrame:
 def _make_valid(shapes: DataFrame, digits: int) -> DataFrame:
     c = F.col
     edges = shape_edges(shapes, digits=digits)
-    pieces = written(noded(edges, digits, all_pieces=True), "noded")
+    pieces = written(noded(edges, digits, all_pieces=True, rays=True), "noded")
     valid = _whole(shapes, traced(boundary(sided(pieces.where("a > 0")))))
     closed = lambda r: (F.size(r) > 3) & (F.get(r, F.lit(0)) == F.get(r, F.size(r) - 1))
     sound = F.forall(c("rings"), lambda r: F.coalesce(closed(r) & F.forall(r, lambda p: (F.abs(p.x) < float("inf")) & (F.abs(p.y) < float("inf"))), F.lit(False)))
@@ -334,7 +329,7 @@ def buffered(shapes: DataFrame | None, lines: DataFrame | None, radius: float, a
         raise ValueError("the radius is 0 at least, the edges of a turn a multiple of 4")
     parts, keys = [], []
     if shapes is not None:
-        border = written(boundary(sided(noded(shape_edges(shapes, digits=digits), digits))), "buffered-border")
+        border = written(boundary(sided(noded(shape_edges(shapes, digits=digits), digits, rays=True))), "buffered-border")
         parts.append(border.select("shape_id", F.lit(0).alias("owner"), *ENDS))
         lines = border if lines is None else border.unionByName(lines.select("shape_id", *ENDS))
         keys.append(shapes.select("shape_id"))
@@ -342,14 +337,14 @@ def buffered(shapes: DataFrame | None, lines: DataFrame | None, radius: float, a
         keys.append(lines.select("shape_id"))
     if radius > 0:
         parts.append(shape_edges(capsules(lines, radius, arcs), digits=digits))
-    found = traced(boundary(wound(noded(reduce(DataFrame.unionByName, parts), digits, all_pieces=True))))
+    found = traced(boundary(wound(noded(reduce(DataFrame.unionByName, parts), digits, all_pieces=True, rays=True))))
     return _whole(reduce(DataFrame.unionByName, keys).distinct(), found)
 
 
 def pair_sides(pairs: DataFrame, a: str = "a", b: str = "b", digits: int = DIGITS) -> DataFrame:
     """The sided pieces of ``(shape_id, a, b)``, two shapes a row; written, as each region reads them."""
     edges = shape_edges(pairs, a, 0, digits).unionByName(shape_edges(pairs, b, 1, digits))
-    return written(sided(noded(edges, digits)), "pair-sides")
+    return written(sided(noded(edges, digits, rays=True)), "pair-sides")
 
 
 def overlay(pairs: DataFrame, region: str, a: str = "a", b: str = "b", digits: int = DIGITS) -> DataFrame:
@@ -362,7 +357,7 @@ def iou(pairs: DataFrame, a: str = "predicted", b: str = "truth", digits: int =
     c = F.col
     edges = shape_edges(pairs, a, 0, digits).unionByName(shape_edges(pairs, b, 1, digits))
     shape = Window.partitionBy("shape_id")
-    near = sided(noded(edges, digits)).withColumns({"ox": F.min("x0").over(shape), "oy": F.min("y0").over(shape)})  # turns around a near point keep their digits
+    near = sided(noded(edges, digits, rays=True)).withColumns({"ox": F.min("x0").over(shape), "oy": F.min("y0").over(shape)})  # turns around a near point keep their digits
     cross = (c("x0") - c("ox")) * (c("y1") - c("oy")) - (c("x1") - c("ox")) * (c("y0") - c("oy"))
     regions = {"area_a": lambda p, q: p, "area_b": lambda p, q: q, "common": REGIONS["intersection"]}
     left, right = ({k: f(c(f"{side}a"), c(f"{side}b")) for k, f in regions.items()} for side in "lr")

@@ -38,7 +38,7 @@ def _relate(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def shape_measures(zones: DataFrame) -> DataFrame:
     """zone_id, area, cx, cy of ``(zone_id, rings)``, by the even-odd rule."""
     shapes = zones.select(F.col("zone_id").alias("shape_id"), "rings")
-    sides = overlay.sided(overlay.noded(overlay.shape_edges(shapes)))
+    sides = overlay.sided(overlay.noded(overlay.shape_edges(shapes), rays=True))
     return overlay.measures(overlay.boundary(sides)).withColumnRenamed("shape_id", "zone_id")
 
 

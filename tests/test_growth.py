@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from terrainframe.functions.quantiles import exact_quantiles
-from terrainframe.operators import hydrology, joins, kernels, layers, masks, outlines, overlay, stencil
+from terrainframe.operators import hydrology, joins, kernels, layers, masks, noding, outlines, overlay, stencil
 
 
 def plan(df):
@@ -170,3 +172,38 @@ def test_borders_are_traced_the_same_by_shape_and_by_square(spark, monkeypatch):
         rows = overlay.buffered(None, lines, 0.5).collect()
         seen.append(sorted((r.shape_id, r.n_outer, r.n_holes, r.n_corners, round(r.area, 6), sorted(sorted((p.x, p.y) for p in ring[:-1]) for ring in r.rings)) for r in rows))
     assert seen[0] == seen[1] and [r[:3] for r in seen[0]] == [(1, 1, 0), (3, 1, 0), (4, 1, 0)]
+
+
+def test_few_edges_are_noded_and_sided_with_one_exchange(spark):
+    """Edges are dealt once; no array of a shape's edges, no row a pair of them, and sides need no second exchange."""
+    edges = spark.createDataFrame([(1, 0, 0.0, 0.0, 2.0, 2.0), (1, 0, 0.0, 2.0, 2.0, 0.0)], "shape_id long, owner int, x0 double, y0 double, x1 double, y1 double")
+    for found in (overlay.sided(overlay.noded(edges, rays=True)), overlay.wound(overlay.noded(edges, all_pieces=True, rays=True))):
+        assert plan(found).count("Exchange") == 1 and not any(k in plan(found) for k in ("collect_list", "Generate", "Join"))
+        assert found.count() == 4
+
+
+def test_pieces_hang_on_no_passes(monkeypatch):
+    """Shapes in one pass or many, and cut by batches anywhere, give the same pieces; rays meet what a loop over pieces finds."""
+    rng = np.random.default_rng(3)
+    counts = rng.integers(1, 40, 60)
+    ids = np.repeat(np.arange(60), counts)
+    ends = np.where(rng.random((4, len(ids))) < 0.8, rng.integers(0, 9, (4, len(ids))), np.rint(rng.random((4, len(ids))) * 9e9) / 1e9)
+    ends[2] += (ends[0] == ends[2]) & (ends[1] == ends[3])
+    names = pa.array([None if k == 0 else f"s{k}" for k in ids])
+    given = pa.table({"shape_id": names, "owner": pa.array(rng.integers(0, 2, len(ids)), pa.int32()), **{k: pa.array(v) for k, v in zip(overlay.ENDS, ends, strict=True)}})
+    schema = pa.schema([("shape_id", pa.string()), *[(k, pa.float64()) for k in overlay.ENDS], *[(k, pa.int64()) for k in ("a", "b", "n", "net", "na", "nb", "w")], ("rising", pa.bool_())])
+    work = noding.by_shape(lambda rows: noding.rays(noding.pieces(rows, 9)), schema)
+    rows = lambda size: pa.Table.from_batches(work(iter(given.to_batches(max_chunksize=size))), schema)
+    whole = rows(10_000)
+    monkeypatch.setattr(noding, "PAIRS", 50)
+    monkeypatch.setattr(noding, "ROWS", 30)
+    assert rows(7).equals(whole) and len(whole) > len(ids)
+    for k in (1, 17, 59):
+        own = whole.filter(pc.equal(whole["shape_id"], f"s{k}")).to_pylist()
+        for i, p in enumerate(own):
+            h, x, seen = [p[f"y{e}"] + noding.SLANT * p[f"x{e}"] for e in "01"], (p["x0"] + p["x1"]) / 2, []
+            for j, q in enumerate(own):
+                g, at = [q[f"y{e}"] + noding.SLANT * q[f"x{e}"] for e in "01"], sum(h) / 2
+                if i != j and min(g) <= at < max(g) and q["x0"] + (at - g[0]) / (g[1] - g[0]) * (q["x1"] - q["x0"]) > x:
+                    seen.append((q["a"], q["b"], q["net"] if q["rising"] else -q["net"]))
+            assert (p["na"], p["nb"], p["w"]) == tuple(map(sum, zip(*seen, strict=True))) if seen else (p["na"], p["nb"], p["w"]) == (0, 0, 0)
