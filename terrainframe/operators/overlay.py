@@ -311,13 +311,23 @@ def _make_valid(shapes: DataFrame, digits: int) -> DataFrame:
     return told.withColumn("outcome", outcome).drop("sound", "n_given", "n_pieces", "n_most")
 
 
-def capsules(lines: DataFrame, radius: float, arcs: int = 16) -> DataFrame:
-    """shape_id, rings: around each line ``(shape_id, x0, y0, x1, y1)`` the counter-clockwise ring at ``radius`` with half circles of ``arcs`` / 2 edges at its ends; around a point a circle."""
-    c = F.col
-    turn, half = F.atan2(c("y1") - c("y0"), c("x1") - c("x0")), arcs // 2
-    arc = lambda x, y, start: F.transform(F.sequence(F.lit(0), F.lit(half)), lambda k: F.struct((c(x) + radius * F.cos(turn + start + k * (math.pi / half))).alias("x"), (c(y) + radius * F.sin(turn + start + k * (math.pi / half))).alias("y")))
-    ring = F.concat(arc("x1", "y1", -math.pi / 2), arc("x0", "y0", math.pi / 2))
-    return lines.select("shape_id", F.array(F.concat(ring, F.slice(ring, 1, 1))).alias("rings"))
+def capsule_edges(lines: DataFrame, radius: float, arcs: int = 16, owner: int = 0, digits: int = DIGITS) -> DataFrame:
+    """shape_id, owner and ends of the edges of a counter-clockwise ring around each line ``(shape_id, x0, y0, x1, y1)``, at ``radius`` with half circles of ``arcs`` / 2 edges at its ends;
+    around a point a circle. A row an edge, by compiled arithmetic; lines are dealt first, as few rows become many. Of a line with one finite end only that end's half is left."""
+    c, half = F.col, arcs // 2
+    finite = lambda *names: reduce(lambda p, q: p & q, [F.coalesce(F.abs(c(k)) < float("inf"), F.lit(False)) for k in names])
+    told = lines.select("shape_id", *ENDS).repartition(shuffle_parts(lines)).select("shape_id", *ENDS, F.atan2(c("y1") - c("y0"), c("x1") - c("x0")).alias("turn"), finite("x0", "y0").alias("_from"), finite("x1", "y1").alias("_to"))
+    steps = told.select("*", F.explode(F.sequence(F.lit(0), F.lit(2 * half + 1))).alias("k"))
+    onward = F.when((c("k") == half) & ~c("_from"), 0).when(c("k") < 2 * half + 1, c("k") + 1).when(c("_to"), 0).otherwise(half + 1)
+    known = steps.where(F.when(c("k") <= half, c("_to")).otherwise(c("_from"))).withColumn("onward", onward)
+
+    def place(k: Column) -> tuple[Column, Column]:
+        last = k <= half
+        angle = c("turn") + F.when(last, -math.pi / 2).otherwise(math.pi / 2) + F.when(last, k).otherwise(k - (half + 1)) * (math.pi / half)
+        return tuple(snapped(F.when(last, c(f"{axis}1")).otherwise(c(f"{axis}0")) + radius * way(angle), digits) for axis, way in (("x", F.cos), ("y", F.sin)))
+
+    ends = [v.alias(name) for name, v in zip(ENDS, (*place(c("k")), *place(c("onward"))), strict=True)]
+    return known.select("shape_id", F.lit(owner).alias("owner"), *ends).where("x0 <> x1 OR y0 <> y1")
 
 
 def buffered(shapes: DataFrame | None, lines: DataFrame | None, radius: float, arcs: int = 16, digits: int = DIGITS) -> DataFrame:
@@ -329,14 +339,14 @@ def buffered(shapes: DataFrame | None, lines: DataFrame | None, radius: float, a
         raise ValueError("the radius is 0 at least, the edges of a turn a multiple of 4")
     parts, keys = [], []
     if shapes is not None:
-        border = written(boundary(sided(noded(shape_edges(shapes, digits=digits), digits, rays=True))), "buffered-border")
+        border = written(boundary(sided(noded(shape_edges(shapes.repartition(shuffle_parts(shapes)), digits=digits), digits, rays=True))), "buffered-border")
         parts.append(border.select("shape_id", F.lit(0).alias("owner"), *ENDS))
         lines = border if lines is None else border.unionByName(lines.select("shape_id", *ENDS))
         keys.append(shapes.select("shape_id"))
     else:
         keys.append(lines.select("shape_id"))
     if radius > 0:
-        parts.append(shape_edges(capsules(lines, radius, arcs), digits=digits))
+        parts.append(capsule_edges(lines, radius, arcs, digits=digits))
     found = traced(boundary(wound(noded(reduce(DataFrame.unionByName, parts), digits, all_pieces=True, rays=True))))
     return _whole(reduce(DataFrame.unionByName, keys).distinct(), found)
 

@@ -207,3 +207,19 @@ def test_pieces_hang_on_no_passes(monkeypatch):
                 if i != j and min(g) <= at < max(g) and q["x0"] + (at - g[0]) / (g[1] - g[0]) * (q["x1"] - q["x0"]) > x:
                     seen.append((q["a"], q["b"], q["net"] if q["rising"] else -q["net"]))
             assert (p["na"], p["nb"], p["w"]) == tuple(map(sum, zip(*seen, strict=True))) if seen else (p["na"], p["nb"], p["w"]) == (0, 0, 0)
+
+
+def test_few_lines_are_dealt_before_they_become_edges(spark):
+    """A small file of lines is not one task's work, and no ring becomes an array; the edges are those of the ring, of a point's circle, and of the half around a lone finite end."""
+    nan, inf = float("nan"), float("inf")
+    lines = [(1, 0.0, 0.0, 3.0, 4.0), (2, 1.0, 1.0, 1.0, 1.0), (3, 0.0, 0.0, inf, 0.0), (4, inf, 2.0, 0.0, 0.0), (5, nan, 0.0, 1.0, 1.0), (6, None, 0.0, 1.0, 1.0)]
+    found = overlay.capsule_edges(spark.createDataFrame(lines, "shape_id long, x0 double, y0 double, x1 double, y1 double").coalesce(1), 0.5, 8)
+    assert found.rdd.getNumPartitions() == 4 and "transform" not in plan(found)
+    got = {k: sorted(tuple(r)[2:] for r in found.where(F.col("shape_id") == k).collect()) for k, *_ in lines}
+    for k, *line in lines[:4]:
+        x0, y0, x1, y1 = line
+        turn = np.arctan2(y1 - y0, x1 - x0)
+        ring = [(x + 0.5 * np.cos(turn + start + i * np.pi / 4), y + 0.5 * np.sin(turn + start + i * np.pi / 4)) for x, y, start in ((x1, y1, -np.pi / 2), (x0, y0, np.pi / 2)) for i in range(5) if np.isfinite([x, y]).all()]
+        edges = sorted((*p, *q) for p, q in zip(np.round(ring, 9), np.round([*ring[1:], ring[0]], 9), strict=True) if tuple(p) != tuple(q))
+        assert len(got[k]) == len(edges) == {1: 10, 2: 8, 3: 5, 4: 5}[k] and np.allclose(got[k], edges, atol=2e-9)
+    assert got[5] == got[6] == []
