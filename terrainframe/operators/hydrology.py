@@ -107,7 +107,11 @@ def hops_to_outlet(flow: DataFrame, grid: Grid) -> DataFrame:
 
 
 def watersheds(flow: DataFrame, grid: Grid, pours: DataFrame) -> DataFrame:
-    """pour_id, row, col: each pour cell and every cell whose walk reaches it, for all pours ``(pour_id, row, col)`` at once."""
+    """pour_id, row, col: each pour cell and every cell whose walk reaches it, for all pours ``(pour_id, row, col)`` at once.
+
+    A flow that is still a plan is written first: filters on its codes would be pushed below them, with a copy of the whole stencil's arithmetic for each use of a code.
+    """
+    flow = flow if hasattr(flow, "_terrainframe_path") else written(flow.select("row", "col", "code"), "flow")
     jumps = written(downstream(flow, grid), "walks")
     held = written(pours.select("pour_id", "row", "col").where(F.col("row").between(0, grid.height - 1) & F.col("col").between(0, grid.width - 1)), "held")
     while not jumps.isEmpty():

@@ -223,3 +223,17 @@ def test_few_lines_are_dealt_before_they_become_edges(spark):
         edges = sorted((*p, *q) for p, q in zip(np.round(ring, 9), np.round([*ring[1:], ring[0]], 9), strict=True) if tuple(p) != tuple(q))
         assert len(got[k]) == len(edges) == {1: 10, 2: 8, 3: 5, 4: 5}[k] and np.allclose(got[k], edges, atol=2e-9)
     assert got[5] == got[6] == []
+
+
+def test_a_flow_is_worked_out_once_for_watersheds(spark, monkeypatch):
+    """The walks read written codes; before, each filter on a code had the stencil's arithmetic in it again."""
+    cells = spark.range(400).select(F.floor(F.col("id") / 20).alias("row"), (F.col("id") % 20).alias("col"), ((F.col("id") * 37) % 101).cast("double").alias("elev"))
+    grid = stencil.Grid(cells, 20, 20)
+    pours = cells.select((F.col("row") * 20 + F.col("col")).alias("pour_id"), "row", "col")
+    seen, real = [], hydrology.written
+    monkeypatch.setattr(hydrology, "written", lambda df, name: seen.append((name, plan(df).count("greatest("))) or real(df, name))
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    found = rows(hydrology.watersheds(stencil.d8(grid), grid, pours))
+    assert seen[0][0] == "flow" and seen[0][1] > 0 and all(n == 0 for _, n in seen[1:])
+    seen.clear()
+    assert rows(hydrology.watersheds(real(stencil.d8(grid), "test-flow"), grid, pours)) == found and "flow" not in dict(seen) and len(found) > 400
