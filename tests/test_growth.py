@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terrainframe.functions.quantiles import exact_quantiles
 from terrainframe.operators import hydrology, joins, kernels, layers, masks, noding, outlines, overlay, stencil
+from terrainframe.plans import vector
 
 
 def plan(df):
@@ -237,3 +238,24 @@ def test_a_flow_is_worked_out_once_for_watersheds(spark, monkeypatch):
     assert seen[0][0] == "flow" and seen[0][1] > 0 and all(n == 0 for _, n in seen[1:])
     seen.clear()
     assert rows(hydrology.watersheds(real(stencil.d8(grid), "test-flow"), grid, pours)) == found and "flow" not in dict(seen) and len(found) > 400
+
+
+def test_shuffled_mb_of_watershed_polygons_follow_the_input(spark, tmp_path):
+    """A cell costs as many shuffled bytes on three times the tables, and fewer than where every border edge went through rounds of joins."""
+    sc, each = spark.sparkContext._jsc.sc(), []
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty()
+        executors = sc.statusStore().executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    for copies in (1, 3):
+        made = {}
+        for name, key in (("orders", "o_orderkey"), ("customer", "c_custkey")):
+            one = spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+            made[name] = one.crossJoin(spark.range(copies).toDF("copy")).withColumn(key, F.col(key) + F.col("copy") * one.count()).drop("copy").coalesce(1).sortWithinPartitions(key)
+            made[name].write.parquet(f"{tmp_path}/{copies}/{name}.parquet")
+        cells, pours, began = made["orders"].count(), made["customer"].count(), shuffled()
+        assert len(vector.watershed_polygons(spark, f"{tmp_path}/{copies}").collect()) == pours
+        each.append((shuffled() - began) / cells)
+    assert each[1] < 1.1 * each[0] and each[1] < 200, each
