@@ -94,3 +94,22 @@ def test_groups_and_edges(spark):
     kept = sh.representatives(df)
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, {c for _, c in got}))
     assert sh.groups(df.limit(0)).count() == 0
+
+
+def test_few_edges_take_no_rounds(spark, monkeypatch):
+    """A long chain and a star are joined within tasks; what one task can't hold goes on in rounds, with the same components."""
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(50)] + [(5, 5), (None, 3), (2000, 1999)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    want = brute_components({x for e in edges if None not in e and e[0] != e[1] for x in e}, [e for e in edges if None not in e])
+    names, real = [], cc.materialise
+    monkeypatch.setattr(cc, "materialise", lambda df, name: names.append(name) or real(df, name))
+    got = lambda: {r.node: r.component for r in cc.components(df).collect()}
+    assert got() == want and names == ["edges", "task-stars"]
+    for most in (40, 345):
+        names.clear()
+        monkeypatch.setattr(cc, "EDGES", most)
+        assert got() == want and "task-stars" in names
+    monkeypatch.setattr(cc, "EDGES", 40)
+    names.clear()
+    got()
+    assert "stars" in names
