@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from terrainframe.functions import geometry as g
-from terrainframe.operators import joins, overlay, predicates, validity
+from terrainframe.operators import overlay, predicates, validity
 from terrainframe.plans.registry import query
 from terrainframe.plans.vector import _QUADS, BASINS, _shape, basins
 from terrainframe.sources import bridge
@@ -101,6 +101,12 @@ def stream_density_shapes(spark, sf_dir):
     return found.select("zone_id", F.round("stream_km", 5).alias("stream_km"), F.round("area", 6).alias("area"), F.round("density", 5).alias("density"))
 
 
+def _near(spark, sf_dir):
+    c = F.col
+    at = basins(spark, sf_dir).select(c("basin_id").alias("point_id"), ((c("x0") + c("x1")) / 2 + 0.3).alias("px"), ((c("y0") + c("y1")) / 2 + 0.7).alias("py"))
+    return at, _shapes(bridge.view(spark, sf_dir, "part", bridge.CATCHMENTS), "catchment_id")
+
+
 _NEAR = f"""pts AS (SELECT basin_id AS point_id, (x0 + x1) / 2 + 0.3 AS px, (y0 + y1) / 2 + 0.7 AS py FROM basins), {_TILED}, z AS (SELECT catchment_id, x0 + a * (x1 - x0) AS bx0, y0 + b * (y1 - y0) AS by0, x0 + c * (x1 - x0) AS bx1, y0 + d * (y1 - y0) AS by1 FROM catchments CROSS JOIN tiles),
     size AS (SELECT catchment_id, sum((bx1 - bx0) * (by1 - by0)) AS area, sum((bx1 - bx0) * (by1 - by0) * (bx0 + bx1) / 2) / sum((bx1 - bx0) * (by1 - by0)) AS cx, sum((bx1 - bx0) * (by1 - by0) * (by0 + by1) / 2) / sum((bx1 - bx0) * (by1 - by0)) AS cy FROM z GROUP BY 1),
     met AS (SELECT point_id, catchment_id, px, py, min(pow(greatest(0.0, bx0 - px, px - bx1), 2) + pow(greatest(0.0, by0 - py, py - by1), 2)) AS d2 FROM pts JOIN z ON px BETWEEN bx0 - 6 AND bx1 + 6 AND py BETWEEN by0 - 6 AND by1 + 6 GROUP BY 1, 2, 3, 4)"""
@@ -109,10 +115,7 @@ _NEAR = f"""pts AS (SELECT basin_id AS point_id, (x0 + x1) / 2 + 0.3 AS px, (y0
 @query(f"WITH {BASINS}, {bridge.sql('catchments', bridge.CATCHMENTS, 'part')}, {_NEAR} SELECT point_id, catchment_id AS zone_id, d2 = 0 AS holds, round(area, 6) AS area, round(sqrt(pow(cx - px, 2) + pow(cy - py, 2)), 5) AS centre_distance FROM met JOIN size USING (catchment_id) WHERE d2 <= 36")
 def truth_candidates_shapes(spark, sf_dir):
     """Catchments as concave polygons with a hole and a part of their own, within six units of points."""
-    c = F.col
-    at = basins(spark, sf_dir).select(c("basin_id").alias("point_id"), ((c("x0") + c("x1")) / 2 + 0.3).alias("px"), ((c("y0") + c("y1")) / 2 + 0.7).alias("py"))
-    zones = _shapes(bridge.view(spark, sf_dir, "part", bridge.CATCHMENTS), "catchment_id")
-    found = predicates.shape_candidates(at, zones, 6.0)
+    found = predicates.shape_candidates(*_near(spark, sf_dir), 6.0)
     return found.select("point_id", "zone_id", "holds", F.round("area", 6).alias("area"), F.round("centre_distance", 5).alias("centre_distance"))
 
 
@@ -121,8 +124,8 @@ def truth_candidates_shapes(spark, sf_dir):
     SELECT point_id, catchment_id, CASE WHEN n = 1 THEN 'single_catchment' WHEN nh > 1 THEN 'largest_containing' WHEN nh = 1 THEN 'contains_point' ELSE 'nearest_centroid' END AS method FROM k WHERE r = 1""")
 def truth_pick_shapes(spark, sf_dir):
     """One catchment a point, by the rules of the pick, over polygons."""
-    found = truth_candidates_shapes(spark, sf_dir).withColumnRenamed("zone_id", "catchment_id")
-    return joins.truth_pick(found).select("point_id", "catchment_id", "method")
+    found = predicates.shape_pick(*_near(spark, sf_dir), 6.0, 6)
+    return found.select("point_id", F.col("zone_id").alias("catchment_id"), "method")
 
 
 #: Radius and edges a turn of the buffers, and the area of their corner circle.
